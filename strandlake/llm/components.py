@@ -1,14 +1,18 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
+Each partition first contracts its own edges, which leaves at most one per node.
 Neighbourhood minima come from map-side partial sums and a join with a unique side, so a hub
 never meets in one task. Each round's edges are written to the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,11 +36,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars: each node with the least node it reaches there."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    stars = [(x, root(x)) for x in up]
+    stars = [s for s in stars if s[0] != s[1]]
+    for lo in range(0, len(stars), 50_000):
+        part = stars[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in part], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of an edge in ``edges`` (x, y): root is the least reachable id.
 
     Loops and repeated edges are harmless; without edges the result is empty."""
-    now = materialize(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v").distinct(), "links")
+    ship(edges.sparkSession)
+    linked = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
+    now = materialize(linked.mapInArrow(_contracted, "u long, v long").distinct(), "links")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

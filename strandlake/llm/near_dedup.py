@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on whole shingle sets.
 
-Plain banding with ``side**2`` tables of four rows would need ``4 * side**2`` minhashes for each
-document. Tensoring draws two collections of ``side`` keys, each a pair of minhashes
-(``4 * side`` in all), and forms table (i, j) from key i of the first and key j of the second.
-Two sets of similarity 0.85 miss every table with a probability below
-``2 * (1 - 0.85**2)**side``, 6e-6 for ten keys a side.
+Plain banding needs minhashes of its own for each table. Tensoring draws two collections of
+``side`` keys, each a pair of minhashes (``4 * side`` in all), and forms table (i, j) from key i
+of the first and key j of the second. Two sets of similarity 0.85 hardly miss unless they agree
+in no key of one collection, which has a probability of ``2 * (1 - 0.85**2)**side``, 6e-6 for
+ten keys a side. A few partners j = i + offset for each i come within a tenth of that (by
+summing over the numbers of keys that agree), so 40 of the 100 tables are formed.
 
 1. One scan of the text: shingle count, a 128-bit digest of the set, the keys, and a *parity
    sketch* (bit p is the parity of the shingles that hash to p). The sketches of two sets
@@ -12,12 +13,14 @@ Two sets of similarity 0.85 miss every table with a probability below
    a link; pairs that fail it need no look at the sets.
 2. Documents with equal sets form a class; only its smallest doc_id goes on.
 3. Table keys with one class only are dropped, and of keys with the same members all but one.
-4. In each bucket every pair from different components is screened by sketch. A survivor joins
-   the components for the rest of that bucket, so a group of copies yields a spanning tree and
-   not all its pairs. Buckets over ``block`` members are cut into pairs of blocks, each a unit
-   of bounded size.
-5. Survivors are confirmed on whole sets, components are rebuilt from confirmed links, and
-   steps 4 and 5 repeat until no untried pair survives: what a wrong guess hid is found then.
+4. In each bucket every pair is screened by sketch. A survivor is taken to link its two sides
+   for the rest of that bucket, so a group of copies yields a spanning tree and not all its
+   pairs. Buckets over ``block`` members are cut into pairs of blocks, each a unit of bounded
+   size.
+5. Survivors are confirmed on whole sets and components built from confirmed links. Where a
+   guess of step 4 proves wrong, it may have hidden another link: that group is screened again,
+   for pairs from different components that were not tried, and with ever more of them at once,
+   until no guess fails.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, map_arrow, materialize
+from .common import id_back, id_key, map_arrow, materialize, ship
 from .components import components
 from .texthash import Chunk, chunks, grams, mix, spans
 
 SHINGLE = 5
 SIDE = 10
+#: Key i of the first collection meets keys i + offset of the second.
+OFFSETS = (0, 1, 3, 6)
 BLOCK = 4096
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -120,12 +125,15 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def survivors(
-    ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], tried: list, halves: np.ndarray | None, percent: int
-) -> list[tuple[int, int]]:
-    """Pairs of one bucket that may be links, a spanning tree of them over the labels.
+    ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], tried: list, halves: np.ndarray | None, percent: int, tries: int
+) -> list[tuple[int, int, int]]:
+    """(i, j, component) of pairs of one bucket that may be links.
 
+    With ``tries`` 0 a pair links its labels at once, and the pairs are a spanning tree of the
+    components so guessed; else each member gives up to ``tries`` pairs for each other label.
     ``halves``: if given, only pairs from different halves count. ``tried``: for each member
-    the ids it has been compared with and found too different."""
+    the ids it has been compared with and found too different. Components are -1 where their
+    two members leave no other pair."""
     out: list[tuple[int, int]] = []
     label = labels.copy()
     words = np.array([len(b) for b in bits])
@@ -156,15 +164,25 @@ def survivors(
             far = np.bitwise_count(table[place[mine]] ^ _folded(bits[i], width)).sum(axis=1, dtype=np.int64)
             # difference <= (100 - percent) / (100 + percent) * (both sizes) exactly where linked
             found.append(mine[(100 + percent) * far <= (100 - percent) * (sizes[mine] + sizes[i])])
-        for j in np.sort(np.concatenate(found)) if found else ():
-            if label[j] != label[i]:
-                out.append((i, int(j)))
+        given: dict[int, int] = {}
+        for j in np.sort(np.concatenate(found)).tolist() if found else ():
+            if tries:
+                given[label[j]] = given.get(label[j], 0) + 1
+                if given[label[j]] <= tries:
+                    out.append((i, j))
+            elif label[j] != label[i]:
+                out.append((i, j))
                 label[label == label[j]] = label[i]
-    return out
+    if tries:
+        return [(i, j, 0) for i, j in out]
+    root, size = np.unique(label, return_counts=True)
+    big = set(root[size > 2].tolist())
+    return [(i, j, int(label[i]) if label[i] in big else -1) for i, j in out]
 
 
-def _screen(percent: int):
-    """Over partitions sorted by bucket and block pair: the survivors of each group.
+def _screen(percent: int, tries: int):
+    """Over partitions sorted by bucket and block pair: (x, y, g) of each group's survivors; g
+    numbers the guessed component, null where it can hide no pair.
 
     Only the group at hand is held; its size is bounded by two blocks."""
 
@@ -176,15 +194,16 @@ def _screen(percent: int):
             cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [key.shape[1]]])
             ids, labels, sizes, half = (table.column(c).to_numpy() for c in ("id", "label", "n", "half"))
             tried, bits = table.column("tried").to_pylist(), table.column("sketch").to_pylist()
-            x, y = [], []
+            x, y, g = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo > 1 and (labels[lo:hi] != labels[lo]).any():
                     each = [np.frombuffer(b, np.uint64) for b in bits[lo:hi]]
                     split = half[lo:hi] if key[1, lo] != key[2, lo] else None
-                    for i, j in survivors(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, tried[lo:hi], split, percent):
+                    for i, j, part in survivors(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, tried[lo:hi], split, percent, tries):
                         x.append(ids[lo + i])
                         y.append(ids[lo + j])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+                        g.append(None if part == -1 else hash((*key[:, lo].tolist(), part)))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(g, pa.int64())], ["x", "y", "g"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -208,10 +227,9 @@ def _screen(percent: int):
 
 def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
     """(key, p, q, half, id): the members of buckets with several classes, in pairs of blocks."""
-    keyed = (
-        reps.select("id", "b", F.posexplode("a").alias("i", "left"))
-        .select("id", "i", "left", F.posexplode("b").alias("j", "right"))
-        .select(F.xxhash64("i", "j", "left", "right").alias("key"), "id")
+    partners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + d) % side).alias("j")) for i in range(side) for d in OFFSETS))
+    keyed = reps.select("id", "a", "b", F.explode(partners).alias("t")).select(
+        F.xxhash64("t", F.col("a")[F.col("t.i")], F.col("b")[F.col("t.j")]).alias("key"), "id"
     )
     counted = (
         keyed.groupBy("key")
@@ -252,36 +270,43 @@ def near_dedup(
     reps = materialize(
         filled.join(classes.withColumnRenamed("id", "k"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k", "d1", "d2"]).withColumnRenamed("k", "id"), "representatives"
     )
-    buckets = materialize(_buckets(reps, side, block), "members")
-    rows = buckets.join(reps.select("id", "n", "sketch"), "id")
+    sketches = reps.select("id", "n", "sketch")
+    rows = _buckets(reps, side, block).join(sketches, "id").select(
+        "key", "p", "q", "id", "half", F.col("id").alias("label"), "n", "sketch", F.lit(None).cast("array<long>").alias("tried")
+    )
     links = failed = roots = None
+    tries = 0
     while True:
-        now = rows.join(roots, "id", "left") if roots is not None else rows.withColumn("root", F.lit(None).cast("long"))
-        now = now.withColumn("label", F.coalesce("root", "id")).drop("root")
-        if failed is not None:
-            now = now.join(failed.groupBy(F.col("x").alias("id")).agg(F.collect_list("y").alias("tried")), "id", "left")
-        else:
-            now = now.withColumn("tried", F.lit(None).cast("array<long>"))
-        now = now.select("key", "p", "q", "id", "half", "label", "n", "sketch", "tried")
-        ready = now.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-        found = materialize(ready.mapInArrow(_screen(percent), "x long, y long").distinct(), "pairs")
+        ready = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+        ship(docs.sparkSession)
+        found = materialize(ready.mapInArrow(_screen(percent, tries), "x long, y long, g long"), "pairs")
         if found.isEmpty():
             break
-        ends = materialize(found.select(F.col("x").alias("k")).union(found.select("y")).distinct(), "ends")
+        pairs = found.select("x", "y").distinct()
+        ends = materialize(found.select(F.explode(F.array("x", "y")).alias("k")).distinct(), "ends")
         sets = materialize(map_arrow(base.join(ends, "k", "left_semi"), _sets(width), "k long, members array<long>"), "sets")
         shared = (
-            found.join(sets.select(F.col("k").alias("x"), F.col("members").alias("mx")), "x")
+            pairs.join(sets.select(F.col("k").alias("x"), F.col("members").alias("mx")), "x")
             .join(sets.select(F.col("k").alias("y"), F.col("members").alias("my")), "y")
             .select("x", "y", F.size("mx").alias("nx"), F.size("my").alias("ny"), F.size(F.array_intersect("mx", "my")).alias("both"))
         )
         linked = F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))
         judged = materialize(shared.groupBy("x", "y").agg(F.max(linked).alias("linked")), "judged")
         links = judged.where("linked") if links is None else links.unionByName(judged.where("linked"))
-        bad = judged.where("not linked").select("x", "y")
+        roots = components(links.select("x", "y"))
+        wrong = judged.where("not linked").select("x", "y")
+        open_ = materialize(found.join(wrong, ["x", "y"]).select("g").distinct(), "open")
+        if open_.isEmpty():
+            break
         # each end has to know
-        bad = bad.unionByName(bad.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        failed = bad if failed is None else failed.unionByName(bad)
-        roots = materialize(components(links.select("x", "y")), "roots")
+        failed = wrong if failed is None else failed.unionByName(wrong)
+        told = failed.select(F.col("x").alias("id"), "y").unionByName(failed.select(F.col("y").alias("id"), F.col("x").alias("y")))
+        told = told.groupBy("id").agg(F.collect_list("y").alias("tried"))
+        again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
+        now = again.join(sketches, "id").join(roots, "id", "left").join(told, "id", "left")
+        zero = F.lit(0).cast("long")
+        rows = now.select("key", zero.alias("p"), zero.alias("q"), "id", zero.alias("half"), F.coalesce("root", "id").alias("label"), "n", "sketch", "tried")
+        tries = 8 if tries == 0 else 4 * tries
     out = signed.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     if roots is not None:
         out = out.join(roots, "id", "left")
