@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _SEED = np.random.default_rng(20240229)
@@ -39,11 +39,11 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; short tables stay for the next chunk."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 2 * CHUNK_BYTES:
+        if size <= 4 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 
