@@ -37,9 +37,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = near_dedup.near_dedup(docs).where("kept").select(id_key().alias("_k")).distinct()
-    found = materialize(found, "kept")
-    return docs.withColumn("_k", id_key()).join(found, "_k", "left_semi").select(*docs.columns)
+    found = near_dedup.near_dedup(docs).groupBy(id_key().alias("_k")).agg(F.max("kept").alias("kept"))
+    # those to drop are far fewer than those to keep, so their list is the smaller side
+    dropped = materialize(found.where("not kept").select("_k"), "dropped")
+    return docs.withColumn("_k", id_key()).join(dropped, "_k", "left_anti").select(*docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
