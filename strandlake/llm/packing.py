@@ -29,7 +29,7 @@ from .common import NO_ID, id_key, ship
 #: The id that ends each document.
 END = 2
 _END = np.array([END], dtype="<u4").tobytes()
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 GROUP_BYTES = 1_000_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
