@@ -1 +1,62 @@
-def oracle_sql(): return {}
+"""DuckDB SQL for the operators that SQL can express, written independently of them.
+
+Learned scores, span selection by trees, media files, tokens and the licence scan's inherited
+rows are tested against plain Python instead."""
+
+from __future__ import annotations
+
+from .queries import TARGET
+
+_SEP = "[\\x20\\x09-\\x0D]"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SEP}+'), lambda x: x <> '')"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SUBSTRINGS = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    g AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS body FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+    again AS (SELECT doc_id, s FROM g QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1),
+    gone AS (SELECT DISTINCT doc_id, s + i AS pos FROM again, range(0, 20) AS r(i)),
+    words AS (SELECT doc_id, ws[pos] AS word, pos FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w)),
+    kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY pos) AS body FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1),
+    cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM w LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_EXACT = f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '{_SEP}', '', 'g') AS body FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+           doc_id = first_value(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id)"""
+
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '{_SEP}+'), lambda x: x <> '') AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+    sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT y, root FROM reach JOIN sides ON x = doc_id)
+    SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+    FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+def _mix() -> str:
+    """The repetition limit has a closed form: shares p keep it from the exponent
+    1 - ln(limit) / ln(max p / min p) on."""
+    hashed = lambda epoch: f"md5('{TARGET.seed}|' || {epoch} || '|' || coalesce(doc_id::VARCHAR, ''))"
+    block = lambda h, n: f"(('0x' || substr({h}, 1, 7))::BIGINT % {n})"
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT + 1 AS tokens FROM documents),
+    t AS (SELECT source, sum(tokens)::BIGINT AS total FROM d GROUP BY 1),
+    a AS (SELECT round(greatest(0, 1 - ln({TARGET.max_repetition}) / greatest(ln(max(total)::DOUBLE / min(total)), 1e-12)), 6) AS a, sum(total)::BIGINT AS everything FROM t),
+    raw AS (SELECT source, total, pow(total::DOUBLE / everything, a) AS raw FROM t, a),
+    cover AS (SELECT max(total / raw) AS cover FROM raw),
+    want AS (SELECT source, total, round(raw * cover)::BIGINT AS wanted FROM raw, cover),
+    plan AS (SELECT source, total, wanted // total AS passes, wanted % total AS rest, ceil(total / {float(TARGET.block_tokens)})::BIGINT AS blocks FROM want),
+    part AS (SELECT d.*, passes AS epoch, rest, {hashed('passes')} AS h, {block(hashed('passes'), 'blocks')} AS block FROM d JOIN plan USING (source) WHERE rest > 0),
+    upto AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block, h, doc_id) AS upto FROM part),
+    lead_part AS (SELECT doc_id, source, tokens, epoch, h, block FROM upto WHERE upto <= rest),
+    whole AS (SELECT doc_id, source, tokens, e AS epoch, {hashed('e')} AS h, {block(hashed('e'), 'blocks')} AS block
+              FROM (SELECT d.*, blocks, unnest(range(0, passes)) AS e FROM d JOIN plan USING (source))),
+    every AS (SELECT * FROM whole UNION ALL SELECT * FROM lead_part)
+    SELECT doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY source, epoch, block ORDER BY h, doc_id) AS position FROM every"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "op8_near_dedup": _NEAR}
