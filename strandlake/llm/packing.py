@@ -29,8 +29,8 @@ from .common import NO_ID, id_key, ship
 #: The id that ends each document.
 END = 2
 _END = np.array([END], dtype="<u4").tobytes()
-CACHE_WORDS = 800_000
-GROUP_BYTES = 1_000_000
+CACHE_WORDS = 250_000
+GROUP_BYTES = 2_000_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -268,6 +268,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
         packer.finish()
         if packer.out:
             yield rows(packer.taken())
+        if words:
+            words.old.clear()  # the worker may stay for other work
 
     ship(docs.sparkSession)
     bears = F.lit(True) if trained is None else F.coalesce(F.col(trained).cast("boolean"), F.lit(False))
