@@ -29,7 +29,7 @@ from .common import NO_ID, id_key, ship
 #: The id that ends each document.
 END = 2
 _END = np.array([END], dtype="<u4").tobytes()
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 GROUP_BYTES = 2_000_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -62,13 +62,12 @@ class WordIds:
         if len(self.young) + len(words) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         miss = []
-        for word in words:
-            if word not in self.young:
-                ids = self.old.get(word)
-                if ids is None:
-                    miss.append(word)
-                else:
-                    self.young[word] = ids
+        for word in words.difference(self.young):
+            ids = self.old.get(word)
+            if ids is None:
+                miss.append(word)
+            else:
+                self.young[word] = ids
         simple, parts, other = [], [], []
         for word in miss:
             text = word.decode("utf-8")
