@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE = 2048
+TILE = 128
 
 
 def tiles(sequences: DataFrame, halo: int, size: int = TILE, column: str = "seq", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
