@@ -27,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the strict rules.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A leftmost match never starts inside a run of digits nor gives digits back, so long runs cost
+#: linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -276,15 +278,21 @@ def find(text: str, model: Boosted) -> tuple[dict[str, list[Span]], dict[str, li
     """(strict spans, added spans) by kind. Added spans overlap no strict one and, best score
     first, no other added one."""
     base = strict(text)
-    taken = [s for spans in base.values() for s in spans]
     more: dict[str, list[Span]] = {k: [] for k in KINDS}
-    open_ = [c for c in candidates(text) if not any(c[1] < y and x < c[2] for x, y in taken)]
+    proposed = candidates(text)
+    if not proposed:
+        return base, more
+    # one mark a code point, so a text with many spans costs no comparison of all with all
+    taken = bytearray(len(text))
+    for a, b in (s for spans in base.values() for s in spans):
+        taken[a:b] = b"\x01" * (b - a)
+    open_ = [c for c in proposed if taken.find(1, c[1], c[2]) < 0]
     if open_:
         score = model.score(np.array([describe(text, *c) for c in open_], dtype=float))
         for i in np.argsort(-score, kind="stable").tolist():
             kind, a, b = open_[i]
-            if score[i] >= model.thresholds[kind] and not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            if score[i] >= model.thresholds[kind] and taken.find(1, a, b) < 0:
+                taken[a:b] = b"\x01" * (b - a)
                 more[KINDS[kind]].append((a, b))
     return base, more
 

@@ -42,6 +42,14 @@ def test_rules_equal_patterns():
         assert pii.strict(text) == rules_by_pattern(text), text
 
 
+def test_many_spans_in_one_text():
+    text = "call (212) 555-0123 now, or a.b@c.de; " * 20_000 + "7" * 200_000
+    base, more = pii.find(text, pii.trained())
+    assert len(base["email"]) == 20_000 and len(more["phone"]) == 20_000
+    spans = sorted(s for found in (base, more) for kind in found.values() for s in kind)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_pii_columns(docs_of):
     rows = [(1, "é mail a.b@c.de or +1 (234) 555-0000"), (2, None), (3, ""), (None, "10.0.0.1"), (5, "call (212) 555-0123 now"), (6, "0" * 5000 + ".1.2.3")]
     got = {r.doc_id: r for r in pii.find_pii(docs_of(rows), texts=True).collect()}
@@ -365,7 +373,8 @@ def test_toxicity_learns_from_positives(docs_of, spark):
 # -- licences
 
 
-def test_licence_scan(spark):
+@pytest.mark.parametrize("hot_share", [1000, 3, 1])
+def test_licence_scan(spark, hot_share):
     rows = [
         ("a/LICENSE", 1, "Released under the MIT License."),
         ("a/x.py", 2, "code\nmore"),
@@ -376,7 +385,7 @@ def test_licence_scan(spark):
         ("a/b/COPYING", None, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ]
     df = spark.createDataFrame([(p, i, t, "x") for p, i, t in rows], "path string, doc_id long, text string, term string")
-    got = {r.doc_id: r for r in licenses.scan(df, F.col("path")).collect()}
+    got = {r.doc_id: r for r in licenses.scan(df, F.col("path"), hot_share=hot_share).collect()}
     assert len(got) == 7
     assert got[1].own_licence == "MIT" and got[2].licence == "MIT" and got[2].inherited_from == "a"
     assert got[3].licence == "Apache-2.0" and got[3].inherited_from is None
