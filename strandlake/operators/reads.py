@@ -35,6 +35,12 @@ def sample_reads(reference: DataFrame, reads: int = 2000, min_len: int = 100, ma
     return plan.crossJoin(one).select("read_id", "start", "len", F.substr("_seq", F.col("start") + 1, F.col("len")).alias("seq"))
 
 
+def _draw(seed: int, what: str, room: F.Column) -> F.Column:
+    """A number below ``room`` from 60 bits of a hash of (seed, sequence, read, what)."""
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("seq_id").cast("string"), F.col("read_id").cast("string"), F.lit(what)))
+    return F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"), room.cast("long")).cast("int")
+
+
 def sample_reads_at_scale(sequences: DataFrame, reads: int, min_len: int = 100, max_len: int = 150, seed: int = 42, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, read_id, start, len, seq): ``reads`` of every sequence that is long enough.
 
@@ -42,10 +48,8 @@ def sample_reads_at_scale(sequences: DataFrame, reads: int, min_len: int = 100,
     stream than that of ``sample_reads``."""
     n = F.length(column)
     drawn = sequences.where(n >= max_len).select(F.col(keep).alias("seq_id"), F.col(column).alias("_seq"), F.explode(F.sequence(F.lit(0), F.lit(reads - 1))).alias("read_id"))
-    size = min_len + F.pmod(F.xxhash64(F.lit(seed), "seq_id", "read_id", F.lit("len")), F.lit(max_len - min_len + 1)).cast("int")
-    drawn = drawn.withColumn("len", size)
-    room = (F.length("_seq") - F.col("len") + 1).cast("long")
-    drawn = drawn.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "seq_id", "read_id", F.lit("start")), room).cast("int"))
+    drawn = drawn.withColumn("len", min_len + _draw(seed, "len", F.lit(max_len - min_len + 1)))
+    drawn = drawn.withColumn("start", _draw(seed, "start", F.length("_seq") - F.col("len") + 1))
     return drawn.select("seq_id", "read_id", "start", "len", F.substr("_seq", F.col("start") + 1, F.col("len")).alias("seq"))
 
 

@@ -118,6 +118,35 @@ _PAIRS = f"""{_READS},
              FROM shifts LEFT JOIN hits USING (pair_id, off))"""
 
 
+def _draw(what: str, room: str) -> str:
+    return f"(('0x' || substr(md5('42|' || seq_id || '|' || read_id || '|{what}'), 1, 15))::BIGINT % ({room}))::INTEGER"
+
+
+_SAMPLED = f"""{_SEQ}, dr AS (SELECT seq_id, q, unnest(range(0, 6))::INTEGER AS read_id FROM seqs WHERE length(q) >= 60),
+    ln AS (SELECT *, 40 + {_draw('len', '21')} AS len FROM dr),
+    st AS (SELECT *, {_draw('start', 'length(q) - len + 1')} AS start FROM ln),
+    sm AS (SELECT seq_id, read_id, start, len, substring(q, start + 1, len) AS seq FROM st)"""
+
+
+def _walk(name: str, meets: str, longer: str) -> str:
+    """Steps from the seed to the first unused read that meets the end, as a recursive table."""
+    return f"""{name}(id, seq, used, contig) AS (SELECT id, seq, used, contig FROM {'seed' if name == 'ahead' else 'turned'} UNION ALL
+        SELECT id, r.seq, list_append(used, r.uid), {longer} FROM {name} w, LATERAL (SELECT arg_min(un.seq, un.uid) AS seq, min(un.uid) AS uid FROM un
+            WHERE un.id = w.id AND {meets} AND NOT list_contains(w.used, un.uid)) AS r WHERE r.uid IS NOT NULL)"""
+
+
+_ASSEMBLED = f"""WITH RECURSIVE {_SAMPLED},
+    uq AS (SELECT seq_id AS id, seq, min(read_id) AS first_id FROM sm GROUP BY 1, 2),
+    un AS (SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY first_id) - 1 AS uid FROM uq),
+    seed AS (SELECT id, seq, [uid] AS used, seq AS contig FROM un QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(seq) DESC, uid) = 1),
+    {_walk('ahead', 'left(un.seq, 12) = right(w.seq, 12)', 'contig || substring(r.seq, 13)')},
+    turned AS (SELECT id, seed.seq, last.used, last.contig FROM (SELECT id, arg_max(used, len(used)) AS used, arg_max(contig, len(used)) AS contig FROM ahead GROUP BY 1) AS last
+               JOIN seed USING (id)),
+    {_walk('back', 'right(un.seq, 12) = left(w.seq, 12)', 'left(r.seq, length(r.seq) - 12) || contig')}
+    SELECT id AS assembly_id, arg_max(contig, len(used)) AS contig, max(len(used))::BIGINT AS reads_used,
+           any_value((SELECT count(*) FROM un WHERE un.id = back.id)) AS reads FROM back GROUP BY 1"""
+
+
 def _foods(table: dict[str, list[str]], default: list[str]) -> str:
     cases = " ".join(f"WHEN '{aa}' THEN '{'; '.join(foods)}'" for aa, foods in table.items())
     return f"CASE aa {cases} ELSE '{'; '.join(default)}' END"
@@ -193,6 +222,8 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY assembly_id ORDER BY length(seq) DESC, uid) = 1""",
         "read_overlaps": f"""WITH {_READS} SELECT l.assembly_id, l.uid AS left_uid, r.uid AS right_uid FROM un l JOIN un r
             ON l.assembly_id = r.assembly_id AND l.uid <> r.uid AND right(l.seq, 2) = left(r.seq, 2) WHERE length(l.seq) >= 2 AND length(r.seq) >= 2""",
+        "sample_reads": f"WITH {_SAMPLED} SELECT * FROM sm",
+        "assemble": _ASSEMBLED,
         "identity_profile": f"WITH {_PAIRS} SELECT pair_id, off, matches, total FROM prof WHERE total >= 5",
         "best_shift": f"""WITH {_PAIRS} SELECT pair_id, CASE WHEN matches > 0 THEN off * sign ELSE 0 END::BIGINT AS shift, matches::DOUBLE / total AS identity
             FROM prof QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY matches::DOUBLE / total DESC, off) = 1""",
