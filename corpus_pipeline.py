@@ -20,11 +20,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``kept`` (k, digest), each once."""
-    marked = docs.withColumns({"_k": id_key(), "_digest": digest(F.col("text"))})
-    kept = kept.select(F.col("k").alias("_k"), F.col("digest").alias("_digest"))
-    return marked.join(kept, ["_k", "_digest"], "left_semi").dropDuplicates(["_k", "_digest"]).select(*docs.columns)
+    on = [_unused(docs, "_k"), _unused(docs, "_digest")]
+    marked = docs.withColumns({on[0]: id_key(), on[1]: digest(F.col("text"))})
+    kept = kept.select(F.col("k").alias(on[0]), F.col("digest").alias(on[1]))
+    return marked.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +46,11 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = near_dedup.near_dedup(docs).groupBy(id_key().alias("_k")).agg(F.max("kept").alias("kept"))
+    on = _unused(docs, "_k")
+    found = near_dedup.near_dedup(docs).groupBy(id_key().alias(on)).agg(F.max("kept").alias("kept"))
     # those to drop are far fewer than those to keep, so their list is the smaller side
-    dropped = materialize(found.where("not kept").select("_k"), "dropped")
-    return docs.withColumn("_k", id_key()).join(dropped, "_k", "left_anti").select(*docs.columns)
+    dropped = materialize(found.where("not kept").select(on), "dropped")
+    return docs.withColumn(on, id_key()).join(dropped, on, "left_anti").select(*docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,15 @@ def test_stages(spark, folder):
     assert {p.doc_id for p in packed} == want
 
 
+def test_stages_keep_columns_whose_names_clash(spark, folder):
+    rows = [(1, "a b c d e f g", "x", 7), (2, "a b c d e f g", "y", 8), (None, None, None, None), (4, "p q r s t u v", "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _K string, _digest int")
+    distinct = materialize(pipeline.distinct_documents(spark, docs, folder), "a")
+    assert sorted(distinct.collect(), key=str) == sorted([r for r in docs.collect() if r.doc_id != 2], key=str)
+    unlike = pipeline.unlike_documents(spark, docs, folder)
+    assert unlike.columns == docs.columns and sorted((r["_K"] or "") for r in unlike.collect()) == ["", "x", "z"]
+
+
 def test_run_equals_stages(spark, folder):
     got = pipeline.run(spark, folder)
     total = sum(zlib.crc32(repr((r.doc_id, r.start, r.length)).encode()) for r in got.collect())
