@@ -18,9 +18,9 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    pairs. Buckets over ``block`` members are cut into pairs of blocks, each a unit of bounded
    size.
 5. Survivors are confirmed on whole sets and components built from confirmed links. Where a
-   guess of step 4 proves wrong, it may have hidden another link: that group is screened again,
-   for pairs from different components that were not tried, and with ever more of them at once,
-   until no guess fails.
+   guess of step 4 proves wrong, it may have hidden another link: that group is screened again
+   with all its members, for pairs from different components that were not tried, and with ever
+   more of them at once, until no guess fails.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def survivors(
 
 def _screen(percent: int, tries: int):
     """Over partitions sorted by bucket and block pair: (x, y, g) of each group's survivors; g
-    numbers the guessed component, null where it can hide no pair.
+    numbers the guessed component, null where it can hide no pair; with ``tries`` it is the key.
 
     Only the group at hand is held; its size is bounded by two blocks."""
 
@@ -202,7 +202,7 @@ def _screen(percent: int, tries: int):
                     for i, j, part in survivors(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, tried[lo:hi], split, percent, tries):
                         x.append(ids[lo + i])
                         y.append(ids[lo + j])
-                        g.append(None if part == -1 else hash((*key[:, lo].tolist(), part)))
+                        g.append(int(key[0, lo]) if tries else None if part == -1 else hash((*key[:, lo].tolist(), part)))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(g, pa.int64())], ["x", "y", "g"])
 
         for batch in batches:
@@ -274,7 +274,7 @@ def near_dedup(
     rows = _buckets(reps, side, block).join(sketches, "id").select(
         "key", "p", "q", "id", "half", F.col("id").alias("label"), "n", "sketch", F.lit(None).cast("array<long>").alias("tried")
     )
-    links = failed = roots = None
+    links = failed = roots = groups = None
     tries = 0
     while True:
         ready = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
@@ -302,8 +302,13 @@ def near_dedup(
         failed = wrong if failed is None else failed.unionByName(wrong)
         told = failed.select(F.col("x").alias("id"), "y").unionByName(failed.select(F.col("y").alias("id"), F.col("x").alias("y")))
         told = told.groupBy("id").agg(F.collect_list("y").alias("tried"))
-        again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
-        now = again.join(sketches, "id").join(roots, "id", "left").join(told, "id", "left")
+        # at first the pairs span the group; later a member without a pair may still have untried ones
+        if groups is None:
+            again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
+        else:
+            again = groups.join(open_.withColumnRenamed("g", "key"), "key", "left_semi")
+        groups = materialize(again, "groups")
+        now = groups.join(sketches, "id").join(roots, "id", "left").join(told, "id", "left")
         zero = F.lit(0).cast("long")
         rows = now.select("key", zero.alias("p"), zero.alias("q"), "id", zero.alias("half"), F.coalesce("root", "id").alias("label"), "n", "sketch", "tried")
         tries = 8 if tries == 0 else 4 * tries

@@ -107,6 +107,37 @@ def test_near_dedup_against_brute_force(docs_of, block):
     assert got == near_by_hand(rows)
 
 
+@pytest.mark.parametrize("others", [9, 12, 45])
+def test_near_dedup_reopens_groups_with_all_members(docs_of, others):
+    """h is linked to every m, i only to the last m; all pass the sketch and meet in every table."""
+    import numpy as np
+    import pyarrow as pa
+
+    def signed(*texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["k", "text"])
+        return [r for out in near_dedup._signatures(5, near_dedup.SIDE)(batch) for r in out.to_pylist()]
+
+    keys = lambda body: [signed(" ".join(body))[0][c] for c in "ab"]
+    # every document has the minhashes of its first 371 words
+    base = next(x for n in range(999) if keys(x := [f"b{n}x{i}" for i in range(404)]) == keys(x[:371]))
+    want = keys(base)
+
+    def longer(body, names):
+        return next(new for name in names if keys(new := [*body, name]) == want)
+
+    i = base[:371]
+    for step in range(33):
+        i = longer(i, (f"i{step}x{n}" for n in range(99)))
+    ms = [longer(base, (f"m{k}x{n}" for n in range(99))) for k in range(others - 1)] + [i[:391]]
+    rows = [(k, " ".join(body)) for k, body in enumerate([base, i, *ms])]
+    sign = signed(*(text for _, text in rows))
+    bits = [np.frombuffer(r["sketch"], np.uint64) for r in sign]
+    far = [int(np.bitwise_count(bits[1] ^ b).sum()) for b in bits]
+    assert all(185 * d <= 15 * (sign[1]["n"] + r["n"]) for d, r in zip(far, sign))
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(docs_of(rows)).collect()}
+    assert got == near_by_hand(rows) and got[1][1] == 0
+
+
 def test_near_dedup_edges(docs_of):
     assert near_dedup.near_dedup(docs_of([])).count() == 0
     got = near_dedup.near_dedup(docs_of([(None, "a b c"), (3, "A B c"), (4, ""), (5, None)])).collect()
