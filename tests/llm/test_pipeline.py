@@ -63,6 +63,18 @@ def test_stages_keep_columns_whose_names_clash(spark, folder):
     assert unlike.columns == docs.columns and sorted((r["_K"] or "") for r in unlike.collect()) == ["", "x", "z"]
 
 
+def test_near_stage_drops_similarity_of_four_fifths(spark, folder):
+    rows = []
+    for i in range(8):
+        base = [f"d{i}x{n}" for n in range(104)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[:-4] + ["y"] * (i + 2))), (10 * i + 2, " ".join(base[:-18]))]
+        rows.append((10 * i + 3, " ".join([f"z{n}" for n in range(10 + i)] + base)))
+    want = {k for k, v in near_by_hand(rows, 80).items() if v[2]}
+    assert want < {k for k, v in near_by_hand(rows, 85).items() if v[2]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.unlike_documents(spark, docs, folder).collect()} == want
+
+
 def test_run_equals_stages(spark, folder):
     got = pipeline.run(spark, folder)
     total = sum(zlib.crc32(repr((r.doc_id, r.start, r.length)).encode()) for r in got.collect())
