@@ -1,11 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every text that speaks of a licence is a candidate header. It becomes a sparse
-vector over the templates' words, plus one dimension for all other words; inverse document
-frequencies come from all candidate lines of the corpus. The nearest template by cosine, if near
-enough, is the row's own licence. A text that is mostly such a line is a licence file and speaks
-for its directory; rows without an own licence take that of the nearest ancestor directory that
-has one, by joins on paths.
+In every text that speaks of a licence, every line is a candidate header, alone and joined with
+the lines below it until they have as many words as the longest template, so wrapped notices are
+found. The whole text is compared with the full licence texts. Each becomes a sparse vector over
+the templates' words, plus one dimension for all other words; inverse document frequencies come
+from all candidates of the corpus. The nearest template by cosine, if near enough, is the row's
+own licence; a near full text comes before any header. A text that is near a full licence text,
+or mostly a header, is a licence file and speaks for its directory; rows without an own licence
+take that of the nearest ancestor directory that has one, by joins on paths.
 
 The vocabulary and the templates are fixed and small, so they are broadcast; what is joined by
 path is one row per directory, and of a directory's files only the best stays. Rows meet the result
@@ -14,10 +16,16 @@ for their directory by broadcast where the directory is hot, and by a shuffle el
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialize
+from .common import id_back, id_key, map_arrow, materialize
 
 #: Notices that these licences prescribe or that are customary for them.
 TEMPLATES = {
@@ -45,20 +53,27 @@ TEMPLATES = {
 MARKS = "(?i)licen[sc]e|copyright|rights reserved|redistribution and use|spdx"
 #: A header needs this cosine to its template.
 NEAR = 0.6
-#: A licence file has this share of its words in one licence line.
+#: A full licence text needs this cosine to its template.
+NEAR_FULL = 0.85
+#: A licence file is a full text, or has this share of its words in one header.
 FILE_SHARE = 0.5
 #: A directory with over this part of all rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 _OTHER = ""
 
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9.]+"), lambda t: F.length(F.regexp_replace(t, "\\.", "")) > 0)
+#: The line number that stands for the whole text.
+WHOLE = -1
+
 
+def full_texts() -> dict[str, str]:
+    """The licences' whole texts; Creative Commons' are not among them."""
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
-def _clean(terms: Column) -> Column:
+
+def terms(text: str) -> list[str]:
     """Without full stops at either end, so "2.0" stays and "license." is "license"."""
-    return F.transform(terms, lambda t: F.regexp_replace(t, "^\\.+|\\.+$", ""))
+    return [t for t in (x.strip(".") for x in re.split("[^a-z0-9.]+", text.lower())) if t]
 
 
 def default_path() -> Column:
@@ -66,31 +81,68 @@ def default_path() -> Column:
     return F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_")))
 
 
-def headers(docs: DataFrame, path: Column) -> DataFrame:
-    """(k, path, line, text, words): the candidate lines of whole texts; words: of the text."""
-    marked = docs.where(F.col("text").rlike(MARKS)).select(id_key().alias("k"), path.alias("path"), F.col("text").cast("string").alias("text"))
-    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    lines = marked.select("k", "path", words.alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "header"))
-    return lines.where(F.col("header").rlike(MARKS))
-
-
-def nearest(lines: DataFrame) -> DataFrame:
-    """(k, path, line, words, licence, cosine, share) of the best template of each line."""
-    spark = lines.sparkSession
-    pairs = [(i, licence, body) for i, (licence, body) in enumerate((x, y) for x, bodies in TEMPLATES.items() for y in bodies)]
-    templates = spark.createDataFrame(pairs, "template int, licence string, body string")
-    counts = (
-        templates.select("template", "licence", F.explode(_clean(_terms(F.col("body")))).alias("term"))
-        .groupBy("template", "licence", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    # the templates' words: fixed and small
-    vocabulary = F.broadcast(counts.select("term").distinct())
+def _vectors(vocabulary: frozenset[str], full: frozenset[str], longest: int):
+    """Per text (k, path, line, words, here, term, tf): its candidates' words, the whole's too."""
+    marks, word = re.compile(MARKS), re.compile("[^\x20\x09-\x0D]+")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def put(k: int, path: str, line: int, words: int, here: int, said: list[str], known: frozenset[str]) -> None:
+            counts = Counter(t if t in known else _OTHER for t in said)
+            out.extend((k, path, line, words, here, t, n) for t, n in counts.items())
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "path", "line", "words", "here", "term", "tf"])
+
+        for k, path, text in zip(*(batch.column(c).to_pylist() for c in ("k", "path", "text"))):
+            lines = [x for x in text.split("\n") if terms(x)]
+            said = [terms(x) for x in lines]
+            sizes = [len(word.findall(x)) for x in lines]
+            words = len(word.findall(text))
+            put(k, path, WHOLE, words, words, [t for x in said for t in x], full)
+            number = 0
+            for i in range(len(lines)):
+                end, length = i, 0
+                # each start with every number of lines that a template can take up
+                while end < len(lines) and length < longest:
+                    length += len(said[end])
+                    end += 1
+                    if marks.search(" ".join(lines[i:end])):
+                        put(k, path, number, words, sum(sizes[i:end]), [t for x in said[i:end] for t in x], vocabulary)
+                        number += 1
+                if len(out) > 20_000:
+                    yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _marked(docs: DataFrame, path: Column) -> DataFrame:
+    """(k, path, text): the whole texts that have a candidate."""
+    return docs.where(F.col("text").rlike(MARKS)).select(id_key().alias("k"), path.alias("path"), F.col("text").cast("string").alias("text"))
+
+
+def nearest(docs: DataFrame, path: Column) -> tuple[DataFrame, DataFrame]:
+    """(k, path, line, words, licence, cosine, share) of the best template of each header, and of
+    the best full text of each whole text. Equal copies of (k, path) count as one."""
+    short = [(licence, terms(body)) for licence, bodies in TEMPLATES.items() for body in bodies]
+    whole = [(licence, terms(body)) for licence, body in full_texts().items()]
+    known, full = (frozenset(t for _, body in group for t in body) for group in (short, whole))
+    schema = "k long, path string, line long, words long, here long, term string, tf long"
+    vector = materialize(map_arrow(_marked(docs, path), _vectors(known, full, max(len(b) for _, b in short)), schema), "vectors")
+    return _scored(vector.where(F.col("line") != WHOLE), short), _scored(vector.where(F.col("line") == WHOLE), whole)
+
+
+def _scored(vector: DataFrame, bodies: list[tuple[str, list[str]]]) -> DataFrame:
+    rows = [(i, licence, t, n) for i, (licence, body) in enumerate(bodies) for t, n in Counter(body).items()]
+    counts = vector.sparkSession.createDataFrame(rows, "template int, licence string, term string, tf long")
     row = ["k", "path", "line", "words"]
-    said = lines.select(*row, F.regexp_count("header", F.lit("[^\\x20\\x09-\\x0D]+")).alias("here"), F.explode(_clean(_terms(F.col("header")))).alias("term"))
-    known = said.join(vocabulary.withColumn("known", F.lit(True)), "term", "left")
-    vector = known.groupBy(*row, "here", F.when(F.col("known"), F.col("term")).otherwise(_OTHER).alias("term")).agg(F.count("*").alias("tf"))
-    vector = materialize(vector, "vectors")
+    vector = vector.groupBy(*row, "here", "term").agg(F.max("tf").alias("tf"))
     total = vector.select("k", "path", "line").distinct().count()
     # at most one row per word of the vocabulary
     idf = materialize(vector.groupBy("term").agg((F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.count("*"))) + 1).alias("idf")), "idf")
@@ -119,7 +171,7 @@ def scan(docs: DataFrame, path: Column | None = None, near: float = NEAR, file_s
     """Per row of ``docs`` (doc_id, text, and what ``path`` needs): doc_id, path, own_licence,
     own_cosine, licence, inherited_from, licence_files.
 
-    own_licence: of the row's nearest line (ties: by name). licence: that, or of the nearest
+    own_licence: of the nearest full text, else of the nearest header (ties: by name). licence: that, or of the nearest
     ancestor directory with licence files (there: of the best cosine, then smallest path, then
     doc_id). licence_files: of that directory. Nothing near: nulls.
 
@@ -127,8 +179,10 @@ def scan(docs: DataFrame, path: Column | None = None, near: float = NEAR, file_s
     null. Rows that repeat path and doc_id share the best header of all of them. Empty table:
     empty result. Other columns are ignored."""
     path = F.coalesce(path if path is not None else default_path(), F.lit(""))
-    found = nearest(headers(docs, path)).where(F.col("cosine") >= near)
-    best = F.max_by(F.struct("licence", "cosine"), F.struct("cosine", "licence")).alias("b")
+    lines, wholes = nearest(docs, path)
+    full = F.lit(True)
+    found = lines.where(F.col("cosine") >= near).withColumn("full", ~full).unionByName(wholes.where(F.col("cosine") >= NEAR_FULL).withColumn("full", full))
+    best = F.max_by(F.struct("licence", "cosine"), F.struct("full", "cosine", "licence")).alias("b")
     own = materialize(
         found.groupBy("k", "path").agg(best, F.max("share").alias("share")).select(
             "k", "path", F.col("b.licence").alias("own_licence"), F.col("b.cosine").alias("own_cosine"), "share"

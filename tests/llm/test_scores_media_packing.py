@@ -393,3 +393,17 @@ def test_licence_scan(spark, hot_share):
     assert got[4].licence == "GPL-3.0" and got[4].inherited_from == "a/b"
     assert got[5].licence is None and got[6].own_licence is None
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
+
+
+def test_licence_files_of_many_lines(spark):
+    texts = licenses.full_texts()
+    rows = [(f"{name}/LICENSE", i, text.replace("<year> <holders>", "2020 A. Person")) for i, (name, text) in enumerate(texts.items())]
+    rows += [(f"{name}/src/x.py", 100 + i, "x = 1") for i, name in enumerate(texts)]
+    rows.append(("code/x.py", 200, texts["MIT"] + "\n" + "some code\n" * 200))
+    rows.append(("code/y.py", 201, "y = 1"))
+    df = spark.createDataFrame(rows, "path string, doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, F.col("path")).collect()}
+    for i, name in enumerate(texts):
+        assert got[i].own_licence == name
+        assert (got[100 + i].licence, got[100 + i].inherited_from) == (name, name)
+    assert got[200].own_licence == "MIT" and got[201].licence is None
