@@ -50,7 +50,10 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License."),
     "All-rights-reserved": ("All rights reserved.", "Copyright"),
 }
-MARKS = "(?i)licen[sc]e|copyright|rights reserved|redistribution and use|spdx"
+#: Every template has one of these; words may be parted by line ends and comment signs.
+MARKS = "(?i)licen[sc]e|copyright|spdx|" + "|".join(
+    p.replace(" ", "[^a-z0-9]+") for p in ("rights reserved", "redistribution and use", "permission is hereby", "free software", "source code form")
+)
 #: A header needs this cosine to its template.
 NEAR = 0.6
 #: A full licence text needs this cosine to its template.

@@ -407,3 +407,16 @@ def test_licence_files_of_many_lines(spark):
         assert got[i].own_licence == name
         assert (got[100 + i].licence, got[100 + i].inherited_from) == (name, name)
     assert got[200].own_licence == "MIT" and got[201].licence is None
+
+
+def test_each_licence_template_finds_itself_whole_and_wrapped(spark):
+    rows, want = [], {}
+    for name, bodies in licenses.TEMPLATES.items():
+        for body in bodies:
+            said = body.split()
+            for per in (99, len(said) // 2 + 1, 5, 1):
+                want[len(rows)] = name
+                lines = [" * " + " ".join(said[i : i + per]) for i in range(0, len(said), per)]
+                rows.append((f"p/{len(rows)}", len(rows), "\n".join(["int x;"] * 40 + lines + ["int y;"] * 40)))
+    df = spark.createDataFrame(rows, "path string, doc_id long, text string")
+    assert {r.doc_id: r.own_licence for r in licenses.scan(df, F.col("path")).collect()} == want
