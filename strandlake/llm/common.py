@@ -28,16 +28,49 @@ def id_back(key: Column) -> Column:
     return F.nullif(key, F.lit(NO_ID).cast("long"))
 
 
+#: What this session wrote below spark.checkpoint.dir, by application, in order.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a local folder is chosen."""
+    Where that setting is missing a local folder is chosen, but only if the executors run on
+    this machine; on a cluster it is an error, as they could not read each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession) -> int:
+    """How many folders this application has written so far; see ``clean``."""
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate folders written after ``since``, but for those ``keep`` reads.
+
+    For when every result that is built on them has been written elsewhere."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    used = keep.inputFiles() if keep is not None else []
+    stay = [p for p in paths[since:] if any(p.rsplit("/", 1)[1] in file for file in used)]
+    for path in paths[since:]:
+        if path not in stay:
+            delete(spark, path)
+    paths[since:] = stay
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -47,6 +80,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, limit: int, key: str = "k") -> DataFrame:
+    """About ``limit`` of ``rows``, or all if there are no more: those with small hashes of
+    ``key``, so every task filters its own and none has to order them."""
+    n = rows.count()
+    if n <= limit:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(limit / n * (1 << 40)))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 _shipped: set[str] = set()
 
 

@@ -44,7 +44,7 @@ def statistics(chunk: Chunk) -> np.ndarray:
     sizes = np.diff(chunk.offsets)
     doc = np.repeat(np.arange(rows, dtype=np.int64), sizes)
     kinds = np.bincount(doc * _CLASSES + _CLASS[chunk.data], minlength=rows * _CLASSES).reshape(rows, _CLASSES)
-    hashes, owner = chunk.word_hashes(lower=True), chunk.owner()
+    hashes, owner = chunk.digests(lower=True)[0], chunk.owner()
     n = chunk.word_counts()
     length = chunk.ends - chunk.starts
     sums = np.bincount(owner, weights=length, minlength=rows)

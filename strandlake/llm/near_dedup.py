@@ -7,20 +7,23 @@ in no key of one collection, which has a probability of ``2 * (1 - 0.85**2)**sid
 ten keys a side. A few partners j = i + offset for each i come within a tenth of that (by
 summing over the numbers of keys that agree), so 40 of the 100 tables are formed.
 
-1. One scan of the text: shingle count, a 128-bit digest of the set, the keys, and a *parity
+1. One scan of the text: shingle count, a 128-bit digest of the set (of 128-bit shingles), the keys, and a *parity
    sketch* (bit p is the parity of the shingles that hash to p). The sketches of two sets
    differ in no more bits than the sets differ in members, so a threshold on bits never loses
    a link; pairs that fail it need no look at the sets.
 2. Documents with equal sets form a class; only its smallest doc_id goes on.
 3. Table keys with one class only are dropped, and of keys with the same members all but one.
-4. In each bucket every pair is screened by sketch. A survivor is taken to link its two sides
-   for the rest of that bucket, so a group of copies yields a spanning tree and not all its
-   pairs. Buckets over ``block`` members are cut into pairs of blocks, each a unit of bounded
-   size.
-5. Survivors are confirmed on whole sets and components built from confirmed links. Where a
-   guess of step 4 proves wrong, it may have hidden another link: that group is screened again
-   with all its members, for pairs from different components that were not tried, and with ever
-   more of them at once, until no guess fails.
+4. Buckets are cut into slices of ``block`` members. In each slice every pair is screened by
+   sketch. A survivor is taken to link its two sides for the rest of that slice, so a group of
+   copies yields a spanning tree and not all its pairs.
+5. Survivors are confirmed on the words of both texts and components built from confirmed
+   links. Where a guess of step 4 proves wrong, it may have hidden another link: that group is
+   screened again with all its members, for pairs from different components that were not tried,
+   and with ever more of them at once, until no guess fails.
+6. Where a bucket of several slices still has several components, one member of each is
+   compared first, which joins the slices of a large group of copies at linear cost. Only
+   buckets that then still have several components are compared across slices, in pairs of
+   slices, each a unit of bounded size.
 """
 
 from __future__ import annotations
@@ -30,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_back, id_key, map_arrow, materialize, ship
 from .components import components
-from .texthash import Chunk, chunks, grams, mix, spans
+from .texthash import Chunk, chunks, grams, mix
 
 SHINGLE = 5
 SIDE = 10
 #: Key i of the first collection meets keys i + offset of the second.
 OFFSETS = (0, 1, 3, 6)
-BLOCK = 4096
+BLOCK = 1024
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -51,24 +54,28 @@ _ADD = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every shingle occurrence, by document; short documents have one."""
-    hashes, owner = chunk.word_hashes(lower=True), chunk.owner()
-    long_ = np.zeros(0, np.int64)
-    if len(hashes) >= width:
-        long_ = np.flatnonzero(owner[: len(hashes) - width + 1] == owner[width - 1 :])
+    """(document, two lanes of hashes) of every shingle occurrence, by document; short documents
+    have one."""
+    lanes, owner = chunk.digests(lower=True), chunk.owner()
+    n = len(owner) - width + 1
+    long_ = np.flatnonzero(owner[:n] == owner[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
     counts = chunk.word_counts()
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    doc = np.concatenate([owner[long_], short])
-    value = np.concatenate([grams(hashes, width)[long_], spans(hashes, chunk.first[short], chunk.first[short + 1], 1)])
-    order = np.argsort(doc, kind="stable")
-    return doc[order], value[order]
+    doc, value = [owner[long_]], [np.stack([grams(lane, width)[long_] for lane in lanes])]
+    for size in range(1, width):
+        short = np.flatnonzero(counts == size)
+        if len(short):
+            doc.append(short)
+            value.append(np.stack([grams(lane, size)[chunk.first[short]] for lane in lanes]))
+    docs, values = np.concatenate(doc), np.concatenate(value, axis=1)
+    order = np.argsort(docs, kind="stable")
+    return docs[order], values[:, order]
 
 
 def _signatures(width: int, side: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, chunk in chunks(batch.column("text")):
-            doc, value = shingles(chunk, width)
-            rows = hi - lo
+            doc, lanes = shingles(chunk, width)
+            value, rows = lanes[0], hi - lo
             cuts = np.searchsorted(doc, np.arange(rows + 1))
             full = np.flatnonzero(np.diff(cuts))
             keys = np.zeros((rows, 2 * side), np.uint64)
@@ -76,16 +83,20 @@ def _signatures(width: int, side: int):
                 for i in range(2 * side):
                     two = [np.minimum.reduceat((value * _MUL[x] + _ADD[x]) >> np.uint64(32), cuts[full]) for x in (2 * i, 2 * i + 1)]
                     keys[full, i] = mix((two[0] << np.uint64(32)) | two[1])
-            sets = [np.unique(value[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
+            sets, digests = [], np.empty((rows, 2), np.int64)
+            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                members, place = np.unique(value[a:b], return_index=True)
+                sets.append(members)
+                whole = hashlib.blake2b(members.tobytes() + lanes[1, a:b][place].tobytes(), digest_size=16)
+                digests[i] = np.frombuffer(whole.digest(), np.int64)
             flat = keys.view(np.int64)
             offsets = np.arange(rows + 1, dtype=np.int32) * side
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k").slice(lo, rows),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digests[:, 0]),
-                    pa.array(digests[:, 1]),
+                    pa.array(np.ascontiguousarray(digests[:, 0])),
+                    pa.array(np.ascontiguousarray(digests[:, 1])),
                     pa.ListArray.from_arrays(offsets, np.ascontiguousarray(flat[:, :side]).ravel()),
                     pa.ListArray.from_arrays(offsets, np.ascontiguousarray(flat[:, side:]).ravel()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
@@ -103,16 +114,33 @@ def sketch(members: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def _sets(width: int):
+def common_shingles(a: list[bytes], b: list[bytes], width: int) -> tuple[int, int, int]:
+    """(distinct shingles of a, of b, of both), exactly: words are numbered, and runs of words
+    by the pairs of numbers they are made of, so no hash is involved."""
+    if len(a) < width or len(b) < width:
+        # a short text's one shingle is its whole sequence
+        sizes = [len(set(zip(*(x[i:] for i in range(width))))) or min(1, len(x)) for x in (a, b)]
+        return sizes[0], sizes[1], int(a == b and len(a) > 0)
+    names: dict[bytes, int] = {}
+    words = np.array([names.setdefault(w, len(names)) for w in (*a, *b)], dtype=np.int64)
+    runs = words
+    for i in range(1, width):
+        now = runs[: len(words) - i] * len(names) + words[i:]
+        runs = np.unique(now, return_inverse=True)[1]
+    n = len(a) - width + 1
+    left, right = np.unique(runs[:n]), np.unique(runs[len(a) :])
+    return len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))
+
+
+def _compared(width: int, percent: int):
+    """(x, y, linked) of pairs of texts (x, y, tx, ty), by their words."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, chunk in chunks(batch.column("text")):
-            doc, value = shingles(chunk, width)
-            cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
-            sets = [np.unique(value[a:b]).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], ["k", "members"]
-            )
+        linked = []
+        for one, other in zip(batch.column("tx"), batch.column("ty")):
+            a, b, both = common_shingles(*((t.as_py() or "").encode().lower().split() for t in (one, other)), width)
+            linked.append(100 * both >= percent * (a + b - both) and both > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
     return run
 
@@ -226,7 +254,7 @@ def _screen(percent: int, tries: int):
 
 
 def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
-    """(key, p, q, half, id): the members of buckets with several classes, in pairs of blocks."""
+    """(key, id, half, slices): the members of buckets with several classes, each in a slice."""
     partners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + d) % side).alias("j")) for i in range(side) for d in OFFSETS))
     keyed = reps.select("id", "a", "b", F.explode(partners).alias("t")).select(
         F.xxhash64("t", F.col("a")[F.col("t.i")], F.col("b")[F.col("t.j")]).alias("key"), "id"
@@ -238,13 +266,91 @@ def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
     )
     # buckets with the same members need one look
     kept = materialize(counted.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("long")
     # the key's members are unique, so only its hot side needs splitting, which AQE does
-    members = keyed.join(kept, "key").select("key", "id", blocks.alias("g"))
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("g"))
-    return members.select("key", "id", mine.alias("half"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o")).select(
-        "key", F.least("half", "o").alias("p"), F.greatest("half", "o").alias("q"), "half", "id"
-    )
+    return keyed.join(kept, "key").select("key", "id", *_sliced(F.col("size"), block))
+
+
+def _sliced(size: Column, block: int) -> list[Column]:
+    slices = F.ceil(size / F.lit(block)).cast("long")
+    return [F.pmod(F.xxhash64("id", F.lit(1)), slices).alias("half"), slices.alias("slices")]
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """Units of one slice each."""
+    return members.select("key", F.col("half").alias("p"), F.col("half").alias("q"), "half", "id")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Units of two different slices each."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("o")
+    paired = members.select("key", "id", "half", other).where("o <> half")
+    return paired.select("key", F.least("half", "o").alias("p"), F.greatest("half", "o").alias("q"), "half", "id")
+
+
+class _Links:
+    """Confirmed links so far, and the components that they make."""
+
+    def __init__(self, base: DataFrame, sketches: DataFrame, width: int, percent: int):
+        self.base, self.sketches, self.width, self.percent = base, sketches, width, percent
+        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """``members`` (id, ...) with the component of each (``label``)."""
+        if self.roots is None:
+            return members.withColumn("label", F.col("id"))
+        return members.join(self.roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+
+    def _judged(self, found: DataFrame) -> DataFrame:
+        """(x, y, linked) of the pairs, by the words of their texts."""
+        ends = materialize(found.select(F.explode(F.array("x", "y")).alias("k")).distinct(), "ends")
+        texts = materialize(self.base.join(ends, "k", "left_semi"), "texts")
+        pairs = (
+            found.select("x", "y").distinct()
+            .join(texts.select(F.col("k").alias("x"), F.col("text").alias("tx")), "x")
+            .join(texts.select(F.col("k").alias("y"), F.col("text").alias("ty")), "y")
+        )
+        each = map_arrow(pairs, _compared(self.width, self.percent), "x long, y long, linked boolean")
+        return materialize(each.groupBy("x", "y").agg(F.max("linked").alias("linked")), "judged")
+
+    def search(self, units: DataFrame) -> None:
+        """Add the links inside ``units`` (key, p, q, half, id) that components don't imply."""
+        tries, failed, groups = 0, None, None
+        rows = self.labelled(units).withColumn("tried", F.lit(None).cast("array<long>"))
+        ship(units.sparkSession)
+        while True:
+            ready = rows.join(self.sketches, "id").select("key", "p", "q", "id", "half", "label", "n", "sketch", "tried")
+            ready = ready.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+            found = materialize(ready.mapInArrow(_screen(self.percent, tries), "x long, y long, g long"), "pairs")
+            if found.isEmpty():
+                return
+            judged = self._judged(found)
+            good = judged.where("linked").select("x", "y")
+            self.links = good if self.links is None else self.links.unionByName(good)
+            self.roots = materialize(components(self.links), "roots")
+            # what a group tried in vain; a group is a part of one unit, so its list is bounded
+            wrong = materialize(found.where("g is not null").join(judged.where("not linked"), ["x", "y"]).select("g", "x", "y"), "wrong")
+            if wrong.isEmpty():
+                return
+            failed = wrong if failed is None else failed.unionByName(wrong)
+            told = failed.select("g", F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("o")), F.struct(F.col("y").alias("id"), F.col("x").alias("o")))).alias("f"))
+            told = told.groupBy(F.col("g").alias("key"), "f.id").agg(F.collect_set("f.o").alias("tried"))
+            open_ = wrong.select("g").distinct()
+            # at first the pairs span the group; later a member without a pair may still have untried ones
+            if groups is None:
+                again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
+            else:
+                again = groups.join(open_.withColumnRenamed("g", "key"), "key", "left_semi")
+            groups = materialize(again, "groups")
+            zero = F.lit(0).cast("long")
+            rows = self.labelled(groups).join(told, ["key", "id"], "left").select("key", zero.alias("p"), zero.alias("q"), zero.alias("half"), "id", "label", "tried")
+            tries = 8 if tries == 0 else 4 * tries
+
+    def several(self, members: DataFrame) -> DataFrame:
+        """``members`` with labels, of the buckets that still have several components."""
+        now = materialize(self.labelled(members), "labelled")
+        more = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+        return now.join(more, "key", "left_semi")
 
 
 def near_dedup(
@@ -257,10 +363,10 @@ def near_dedup(
     links reach; kept marks the row that has it.
 
     Null or empty text: no shingles, linked with nothing. Fewer words than ``width``: the whole
-    sequence is the one shingle. Null doc_id: before every other doc_id; its component_id is
-    null too. Rows that repeat a doc_id are rows of one document if their texts have equal sets
-    (each is kept or not alike); else the doc_id links them. Empty table: empty result. Other
-    columns are ignored."""
+    sequence is the one shingle. Very long texts are compared whole. Null doc_id: before every
+    other doc_id; its component_id is null too. Rows that repeat a doc_id are rows of one document
+    if their texts have equal sets (each is kept or not alike); else the doc_id links them. Empty
+    table: empty result. Other columns are ignored."""
     base = docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"))
     signed = materialize(
         map_arrow(base, _signatures(width, side), "k long, n long, d1 long, d2 long, a array<long>, b array<long>, sketch binary"), "signatures"
@@ -270,51 +376,19 @@ def near_dedup(
     reps = materialize(
         filled.join(classes.withColumnRenamed("id", "k"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k", "d1", "d2"]).withColumnRenamed("k", "id"), "representatives"
     )
-    sketches = reps.select("id", "n", "sketch")
-    rows = _buckets(reps, side, block).join(sketches, "id").select(
-        "key", "p", "q", "id", "half", F.col("id").alias("label"), "n", "sketch", F.lit(None).cast("array<long>").alias("tried")
-    )
-    links = failed = roots = groups = None
-    tries = 0
-    while True:
-        ready = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-        ship(docs.sparkSession)
-        found = materialize(ready.mapInArrow(_screen(percent, tries), "x long, y long, g long"), "pairs")
-        if found.isEmpty():
-            break
-        pairs = found.select("x", "y").distinct()
-        ends = materialize(found.select(F.explode(F.array("x", "y")).alias("k")).distinct(), "ends")
-        sets = materialize(map_arrow(base.join(ends, "k", "left_semi"), _sets(width), "k long, members array<long>"), "sets")
-        shared = (
-            pairs.join(sets.select(F.col("k").alias("x"), F.col("members").alias("mx")), "x")
-            .join(sets.select(F.col("k").alias("y"), F.col("members").alias("my")), "y")
-            .select("x", "y", F.size("mx").alias("nx"), F.size("my").alias("ny"), F.size(F.array_intersect("mx", "my")).alias("both"))
-        )
-        linked = F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))
-        judged = materialize(shared.groupBy("x", "y").agg(F.max(linked).alias("linked")), "judged")
-        links = judged.where("linked") if links is None else links.unionByName(judged.where("linked"))
-        roots = components(links.select("x", "y"))
-        wrong = judged.where("not linked").select("x", "y")
-        open_ = materialize(found.join(wrong, ["x", "y"]).select("g").distinct(), "open")
-        if open_.isEmpty():
-            break
-        # each end has to know
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        told = failed.select(F.col("x").alias("id"), "y").unionByName(failed.select(F.col("y").alias("id"), F.col("x").alias("y")))
-        told = told.groupBy("id").agg(F.collect_list("y").alias("tried"))
-        # at first the pairs span the group; later a member without a pair may still have untried ones
-        if groups is None:
-            again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
-        else:
-            again = groups.join(open_.withColumnRenamed("g", "key"), "key", "left_semi")
-        groups = materialize(again, "groups")
-        now = groups.join(sketches, "id").join(roots, "id", "left").join(told, "id", "left")
-        zero = F.lit(0).cast("long")
-        rows = now.select("key", zero.alias("p"), zero.alias("q"), "id", zero.alias("half"), F.coalesce("root", "id").alias("label"), "n", "sketch", "tried")
-        tries = 8 if tries == 0 else 4 * tries
+    links = _Links(base, reps.select("id", "n", "sketch"), width, percent)
+    members = materialize(_buckets(reps, side, block), "members")
+    links.search(_within(members))
+    large = members.where("slices > 1")
+    if not large.isEmpty():
+        # one member of each component, whose slices are counted anew
+        parts = links.several(large).groupBy("key", "label").agg(F.min("id").alias("id"))
+        parts = parts.join(parts.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "id", *_sliced(F.col("size"), block))
+        links.search(_within(materialize(parts, "parts")))
+        links.search(_across(links.several(large).drop("label")))
     out = signed.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    if roots is not None:
-        out = out.join(roots, "id", "left")
+    if links.roots is not None:
+        out = out.join(links.roots, "id", "left")
     else:
         out = out.withColumn("root", F.lit(None).cast("long"))
     own = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("k"))

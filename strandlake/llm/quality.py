@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, in_fold, map_arrow, materialize, ship
+from .common import id_back, id_key, in_fold, map_arrow, materialize, sampled, ship
 from .document_stats import STATS, stats_batches
 
-#: The fit takes at most this many labelled rows, those with the smallest hashes of their ids.
+#: The fit takes about this many labelled rows at most, those with small hashes of their ids.
 MAX_LABELS = 60_000
 FEATURES = 256
 WIDTH = 8.0
@@ -87,16 +87,18 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return total / n, np.maximum.accumulate((ones + 0.5) / (n + 1))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """Fit on the labelled rows outside fold 0; fold 1 calibrates. None if a class is missing."""
     marked = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (in_fold() != 0))
         .groupBy(id_key().alias("k"))
         .agg(F.max("quality").alias("y"), F.first(in_fold()).alias("fold"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(MAX_LABELS)
     )
-    rows = materialize(stats.join(marked, "k").repartition(PARTITIONS, "k"), "labelled")
+    # bounded by MAX_LABELS, so only the texts that have a label are measured for the fit
+    marked = F.broadcast(materialize(sampled(marked, MAX_LABELS), "marked"))
+    base = docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text")).join(marked.select("k"), "k", "left_semi")
+    measured = map_arrow(base, stats_batches, "k long, stats binary")
+    rows = materialize(measured.join(marked, "k").repartition(PARTITIONS, "k"), "labelled")
     found = {r["y"] for r in rows.where("fold > 1").select("y").distinct().collect()}
     if len(found) < 2:
         return None
@@ -120,34 +122,34 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel | None:
     return QualityModel(mean, scale, weights, *isotonic(raw, held.column("y").to_numpy().astype(float)))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    base = docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"))
-    return map_arrow(base, stats_batches, "k long, stats binary")
-
-
-def _scores(model: QualityModel | None, stats: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        score = np.full(batch.num_rows, 0.5) if model is None else model.score(_matrix(batch.column("stats")))
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(score)], ["k", "score"])
-
-    return map_arrow(stats, run, "k long, score double")
-
-
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_back(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _scores(model: QualityModel | None, text: pa.Array) -> np.ndarray:
+    """The score of each text, null counting as empty."""
+    if model is None:
+        return np.full(len(text), 0.5)
+    keys = pa.array(np.arange(len(text)))
+    parts = stats_batches(pa.RecordBatch.from_arrays([keys, text], ["k", "text"]))
+    return np.concatenate([model.score(_matrix(p.column("stats"))) for p in parts])
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     ``labels`` (doc_id, quality): null labels are ignored, of repeated ones the largest counts.
-    Null text counts as empty; an empty text has the score of its (zero) statistics. Without
-    labels of both classes every score is 0.5. Null doc_id: held out, as the empty string
-    would be. Repeated rows: equal scores. Empty table: empty result. Other columns of either
-    table are ignored."""
-    stats = materialize(document_statistics(docs), "statistics")
-    out = _scores(fit(stats, labels), stats)
-    return out.select(
+    Null text counts as empty; an empty text has the score of its (zero) statistics. Very long
+    texts are measured whole. Without labels of both classes every score is 0.5. Null doc_id:
+    held out, as the empty string would be. Ties and repeated rows: equal scores. Empty table:
+    empty result. Other columns of either table are ignored."""
+    model = fit(docs, labels)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(_scores(model, batch.column("text")))], ["k", "score"])
+
+    base = docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"))
+    return map_arrow(base, run, "k long, score double").select(
         id_back(F.col("k")).alias("doc_id"),
         held_out(F.col("k")).alias("held_out"),
         "score",
@@ -158,18 +160,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns.
 
-    Scoring is a map over the rows, so nothing but labels and statistics is shuffled."""
-    model = fit(materialize(document_statistics(docs), "statistics"), labels)
+    Nulls, empty and long texts, ties and empty tables as in ``classify``; without labels of both
+    classes every row stays. Scoring is a map over the rows, so nothing but the labelled rows'
+    statistics is shuffled."""
+    model = fit(docs, labels)
     schema = docs.schema
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if model is None:
-            yield batch
-            return
-        text = batch.column("text")
-        keys = pa.array(np.arange(batch.num_rows))
-        parts = stats_batches(pa.RecordBatch.from_arrays([keys, text], ["k", "text"]))
-        scores = np.concatenate([model.score(_matrix(p.column("stats"))) for p in parts])
-        yield batch.filter(pa.array(scores >= threshold))
+        yield batch if model is None else batch.filter(pa.array(_scores(model, batch.column("text")) >= threshold))
 
     return map_arrow(docs, run, schema)

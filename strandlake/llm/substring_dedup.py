@@ -3,24 +3,25 @@
 The edges of the graph are windows of ``width`` words, its nodes the (width - 1)-word overlaps.
 Consecutive edges of a document that share their *anchor* (the smallest hash among the
 ``anchor``-word grams within the window) form one *super-edge*: an anchor, and a label that
-hashes all words the super-edge spans. Equal windows have equal anchors, so everything that
-can decide a window meets at its anchor:
+hashes its edges in order. Equal windows have equal anchors, so everything that can decide a
+window meets at its anchor:
 
 1. Super-edges are summed per anchor: smallest and largest document, smallest and largest
    label. An anchor of one document only decides nothing and goes.
 2. A join brings the rest back to the documents. Where all labels of an anchor agree, the
-   path does not branch: every document but the first drops the whole path, in one decision.
-3. Where labels differ the path branches. It is expanded into its single edges, which are
-   summed and joined back likewise, on (anchor, window) as a 128-bit identity.
-4. Each document gets the anchors and edges it has to drop and finds their coordinates in its
-   own words again; the coordinates cover words, and what is uncovered is kept.
-
-Anchor and window hashes come from independent polynomials, so an agreement of anchors is
-confirmed by the label (or the window) at the coordinates of both documents.
+   path does not branch and stays compacted as one span; where they differ the path branches
+   and is expanded into its single edges.
+3. Hashes only found these candidates. Each document goes to the coordinates of its spans and
+   edges and digests the words that stand there (128-bit BLAKE2 over the words joined by
+   spaces); spans of equal words are summed, joined back, and every document but the first has
+   to drop its own, by coordinates. A wrong agreement of hashes therefore removes nothing.
+4. Dropped coordinates cover words, and what is uncovered is kept. Repeats inside one document
+   never leave it; they are compared word by word.
 
 Sums have map-side partials and joins a unique right side, which adaptive execution can split
-for a frequent anchor: no group of copies meets in one task. Text is shuffled once (both uses
-read the same exchange). Repeats inside one document never leave it.
+for a frequent anchor: no group of copies meets in one task. What a document collects is a set
+of its own anchors, so it is bounded by its text, however many rows share an identifier. Text is
+shuffled once (both uses read the same exchange).
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, map_arrow, materialize
-from .texthash import Chunk, chunks, grams, mix, sliding_min, spans
+from .common import id_back, id_key, map_arrow, materialize
+from .texthash import Chunk, chunks, grams, mix, sliding_min
 
 WIDTH = 20
 ANCHOR = 6
@@ -44,31 +45,26 @@ class Edges:
     """The edges (windows) of a chunk's documents and the super-edges they form."""
 
     def __init__(self, chunk: Chunk, width: int, anchor: int):
-        hashes = chunk.word_hashes()
+        lanes = chunk.digests()
         owner = chunk.owner()
-        n = len(hashes) - width + 1
-        if n <= 0:
-            at = np.zeros(0, dtype=np.int64)
-        else:
-            at = np.flatnonzero(owner[:n] == owner[width - 1 :])
-        self.at, self.owner, self.width = at, owner[at], width
-        # anchors and window hashes use different families: one confirms the other
-        low = sliding_min(grams(hashes, anchor, 1), width - anchor + 1)
-        self.anchor = low[at] if len(at) else at.astype(np.uint64)
-        self.hashes = hashes
-        new = np.ones(len(at), dtype=bool)
-        if len(at):
+        n = len(owner) - width + 1
+        self.at = np.flatnonzero(owner[:n] == owner[width - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
+        self.owner, self.width = owner[self.at], width
+        # anchors and windows come from different lanes: one confirms the other
+        self.anchor = sliding_min(grams(lanes[0], anchor), width - anchor + 1)[self.at] if n > 0 else np.zeros(0, np.uint64)
+        self.windows = grams(lanes[1], width)[self.at] if n > 0 else np.zeros(0, np.uint64)
+        new = np.ones(len(self.at), dtype=bool)
+        if len(self.at):
             new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.owner[1:] != self.owner[:-1])
-        #: the first edge of each super-edge
+        #: the first edge of each super-edge, and how many it has
         self.heads = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.heads, len(self.at)))
 
     def labels(self) -> np.ndarray:
-        tails = np.append(self.heads[1:], len(self.at)) - 1
-        return spans(self.hashes, self.at[self.heads], self.at[tails] + self.width)
-
-    def windows(self) -> np.ndarray:
-        all_ = grams(self.hashes, self.width, 3)
-        return all_[self.at] if len(self.at) else self.at.astype(np.uint64)
+        if not len(self.heads):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.at)) - np.repeat(self.heads, self.sizes)
+        return mix(np.add.reduceat(mix(self.windows + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), self.heads))
 
 
 def _distinct(*columns: np.ndarray) -> np.ndarray:
@@ -83,7 +79,6 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
 
 def _super_edges(width: int, anchor: int, labels: bool):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = batch.column("k").to_numpy()
         for lo, _, chunk in chunks(batch.column("text")):
             edges = Edges(chunk, width, anchor)
             owner, low = edges.owner[edges.heads], edges.anchor[edges.heads]
@@ -92,10 +87,10 @@ def _super_edges(width: int, anchor: int, labels: bool):
                 pick = _distinct(owner, low, label)
                 more = [pa.array(label[pick].view(np.int64))]
             else:
-                pick, more = _distinct(owner, low), []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(low[pick].view(np.int64)), pa.array(keys[lo + owner[pick]]), *more], ["h", "k", "label"][: 2 + labels]
-            )
+                pick = _distinct(owner, low)
+                more = [batch.column("t").take(pa.array(lo + owner[pick]))]
+            k = batch.column("k").take(pa.array(lo + owner[pick]))
+            yield pa.RecordBatch.from_arrays([pa.array(low[pick].view(np.int64)), k, *more], ["h", "k", "label" if labels else "t"])
 
     return run
 
@@ -129,52 +124,81 @@ def _member(owner: np.ndarray, value: np.ndarray, of_owner: np.ndarray, of_value
     return known & np.isin(mine, wanted)
 
 
-def _expand(width: int, anchor: int):
-    """The single edges of the branching anchors in ``branch``."""
+def _spans_of(edges: Edges, whole: np.ndarray, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge, number of edges) of the spans to confirm, each at its first place in a document:
+    the compacted super-edges in ``whole`` and the single edges in ``branch`` (masks)."""
+    heads, sizes = edges.heads[whole], edges.sizes[whole]
+    pick = _distinct(edges.owner[heads], edges.anchor[heads], sizes)
+    singles = np.flatnonzero(branch)
+    first = singles[_distinct(edges.owner[singles], edges.windows[singles])]
+    return np.concatenate([heads[pick], first]), np.concatenate([sizes[pick], np.ones(len(first), np.int64)])
+
+
+def _confirmed(width: int, anchor: int):
+    """(s1, s2, k, t, at): digests of the words of every candidate span and where it stands."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = batch.column("k").to_numpy()
-        branch = batch.column("branch")
+        whole, branch = batch.column("whole"), batch.column("branch")
         for lo, hi, chunk in chunks(batch.column("text")):
             edges = Edges(chunk, width, anchor)
-            hit = _member(edges.owner, edges.anchor, *_gather(branch, lo, hi))
-            owner, low, window = edges.owner[hit], edges.anchor[hit], edges.windows()[hit]
-            pick = _distinct(owner, low, window)
+            compact = _member(edges.owner[edges.heads], edges.anchor[edges.heads], *_gather(whole, lo, hi))
+            single = _member(edges.owner, edges.anchor, *_gather(branch, lo, hi))
+            edge, size = _spans_of(edges, compact, single)
+            body, begins = chunk.joined()
+            a, b = begins[edges.at[edge]].tolist(), (begins[edges.at[edge] + size + width - 1] - 1).tolist()
+            digests = b"".join([hashlib.blake2b(body[x:y], digest_size=16).digest() for x, y in zip(a, b)])
+            two = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            owner = edges.owner[edge]
+            row = pa.array(lo + owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low[pick].view(np.int64)), pa.array(window[pick].view(np.int64)), pa.array(keys[lo + owner[pick]])], ["h", "w", "k"]
+                [
+                    pa.array(np.ascontiguousarray(two[:, 0])),
+                    pa.array(np.ascontiguousarray(two[:, 1])),
+                    batch.column("k").take(row),
+                    batch.column("t").take(row),
+                    # the first word within the document, and the number of edges
+                    pa.array(((edges.at[edge] - chunk.first[owner]) << 32) | size),
+                ],
+                ["s1", "s2", "k", "t", "at"],
             )
 
     return run
 
 
-def _repeats_inside(edges: Edges, windows: np.ndarray) -> np.ndarray:
-    """Edges that occur earlier in their own document."""
-    out = np.zeros(len(windows), dtype=bool)
+def _repeats_inside(lanes: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Windows (their first words) whose words occur earlier in their own document."""
+    if not len(at):
+        return at
+    windows = grams(lanes[1], width)[at]
     # most chunks have no repeat at all, which one sort of mixed keys shows
-    keys = np.sort(windows ^ mix(edges.owner.astype(np.uint64)))
-    if (keys[1:] == keys[:-1]).any():
-        order = np.lexsort((windows, edges.owner))
-        same = (windows[order[1:]] == windows[order[:-1]]) & (edges.owner[order[1:]] == edges.owner[order[:-1]])
-        same &= edges.anchor[order[1:]] == edges.anchor[order[:-1]]
-        out[order[1:][same]] = True  # the sort is stable: the first start stays
-    return out
-
-
-def _cut(width: int, anchor: int, texts: bool):
+    keys = np.sort(windows ^ mix(owner.astype(np.uint64)))
+    if not (keys[1:] == keys[:-1]).any():
+        return at[:0]
+    order = np.lexsort((windows, owner))  # stable: the first start stays
+    same = np.flatnonzero((windows[order[1:]] == windows[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]]))
+    x, y = at[order[same]], at[order[same + 1]]
+    alike = np.ones(len(x), dtype=bool)
+    for i in range(width):
+        alike &= (lanes[:, x + i] == lanes[:, y + i]).all(axis=0)
+    return y[alike]
+
+
+def _cut(width: int, texts: bool):
     """Apply the decisions: (row columns, n_words, n_removed, kept_sha256[, kept_text])."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        whole, parts = batch.column("whole"), batch.column("edges")
+        drops = batch.column("drops")
         for lo, hi, chunk in chunks(batch.column("text")):
-            edges = Edges(chunk, width, anchor)
-            windows = edges.windows()
-            drop = _repeats_inside(edges, windows)
-            drop |= _member(edges.owner, edges.anchor, *_gather(whole, lo, hi))
-            drop |= _member(edges.owner, windows, *_gather(parts, lo, hi))
-            n = len(chunk.starts)
+            owner = chunk.owner()
+            n = len(owner)
+            at = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :]) if n >= width else np.zeros(0, np.int64)
+            inside = _repeats_inside(chunk.digests(), at, owner[at], width)
+            doc, packed = _gather(drops, lo, hi)
+            first = chunk.first[doc] + (packed >> np.uint64(32)).astype(np.int64)
+            last = first + (packed & np.uint64(0xFFFFFFFF)).astype(np.int64) + width - 1
             cover = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(cover, edges.at[drop], 1)
-            np.add.at(cover, edges.at[drop] + width, -1)
+            np.add.at(cover, np.concatenate([inside, first]), 1)
+            np.add.at(cover, np.concatenate([inside + width, last]), -1)
             kept = np.cumsum(cover[:n]) == 0
             removed = np.concatenate([[0], np.cumsum(~kept)])[chunk.first]
             out = _joined(chunk, kept)
@@ -218,33 +242,30 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, t
     doc_id, or earlier in the same row. With ``texts`` the kept text comes too.
 
     Null or empty text: no words, nothing removed. Null doc_id: before every other doc_id.
-    Rows that share a doc_id never remove each other's words; each gets its own output row.
-    Fewer than ``width`` words: all kept. An empty table gives an empty result. Other columns
-    are ignored, whatever their names."""
-    base = docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"))
-    supers = map_arrow(base, _super_edges(width, anchor, True), "h long, k long, label long")
+    Ties, that is rows that share a doc_id (null ones too), never remove each other's words;
+    each gets its own output row. Fewer than ``width`` words: all kept. Very long texts are
+    processed whole, one to a chunk. An empty table gives an empty result. Other columns are
+    ignored, whatever their names."""
+    text = F.col("text").cast("string")
+    # t splits rows that share an id, so none of their lists meet
+    base = docs.select(id_key().alias("k"), F.hash(text).alias("t"), text.alias("text"))
+    supers = map_arrow(base.select("k", "text"), _super_edges(width, anchor, True), "h long, k long, label long")
     nodes = (
         supers.groupBy("h")
         .agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("label").alias("a"), F.max("label").alias("b"))
         .where("hi > lo")
-        .select("h", "lo", (F.col("a") != F.col("b")).alias("branches"))
-    )
-    mine = map_arrow(base, _super_edges(width, anchor, False), "h long, k long")
-    hits = mine.join(nodes, "h").where("branches or k > lo")
-    decided = materialize(
-        hits.groupBy("k").agg(
-            F.collect_list(F.when(~F.col("branches"), F.col("h"))).alias("whole"),
-            F.collect_list(F.when(F.col("branches"), F.col("h"))).alias("branch"),
-        ),
-        "anchors",
+        .select("h", (F.col("a") != F.col("b")).alias("branches"))
     )
-    joined = base.join(decided.hint("merge"), "k", "left")
-    single = map_arrow(
-        joined.where(F.size("branch") > 0).select("k", "text", "branch"), _expand(width, anchor), "h long, w long, k long"
+    mine = map_arrow(base, _super_edges(width, anchor, False), "h long, k long, t int")
+    # equal rows bring equal anchors, which a set holds once
+    listed = mine.join(nodes, "h").groupBy("k", "t").agg(
+        F.collect_set(F.when(~F.col("branches"), F.col("h"))).alias("whole"), F.collect_set(F.when(F.col("branches"), F.col("h"))).alias("branch")
     )
-    first = single.groupBy("h", "w").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("hi > lo").select("h", "w", "lo")
-    again = single.join(first, ["h", "w"]).where("k > lo").groupBy("k").agg(F.collect_list("w").alias("edges"))
-    ready = joined.select("k", "text", "whole").join(again.hint("merge"), "k", "left")
+    decided = materialize(listed, "anchors")
+    spans = map_arrow(base.join(decided.hint("merge"), ["k", "t"]), _confirmed(width, anchor), "s1 long, s2 long, k long, t int, at long")
+    first = spans.groupBy("s1", "s2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("hi > lo").select("s1", "s2", "lo")
+    again = spans.join(first, ["s1", "s2"]).where("k > lo").groupBy("k", "t").agg(F.collect_set("at").alias("drops"))
+    ready = base.join(again.hint("merge"), ["k", "t"], "left").select("k", "text", "drops")
     schema = "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    out = map_arrow(ready, _cut(width, anchor, texts), schema)
-    return out.withColumn("k", F.when(F.col("k") != F.lit(-(2**63)).cast("long"), F.col("k"))).withColumnRenamed("k", "doc_id")
+    out = map_arrow(ready, _cut(width, texts), schema)
+    return out.select(id_back(F.col("k")).alias("doc_id"), *out.columns[1:])

@@ -1,13 +1,18 @@
-"""Vectorised word splitting and hashing over the raw UTF-8 bytes of an Arrow string column.
+"""Word splitting and hashing over the raw UTF-8 bytes of an Arrow string column.
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; all of these separators are
 ASCII, so cutting bytes cuts exactly where cutting code points would. Everything works on a
 *chunk*: the concatenated bytes of some whole documents plus their offsets. Chunks hold a few
 megabytes (or one longer document), so memory does not follow the partition.
+
+A word has two hashes of 64 bits (lanes), and runs of words have hashes built from a lane. All
+steps stir in a way that isn't linear, so no pattern of letters or words cancels out. Hashes find
+candidates; whatever is decided is confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +63,47 @@ def _ranges(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray) -> np
     return mix((total[hi] - total[lo]) * _power(inverse, n + 1)[lo])
 
 
+#: Longer words are digested one by one.
+LONG_WORD = 64
+#: How many bytes of a block belong to a word.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
+
+
+def _word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two lanes of 64 bits for each word, as the rows of an array.
+
+    A word's blocks of eight bytes go through a state of 128 bits, whose halves stir each other
+    after each block; all words take a step at once."""
+    # eight bytes from any position
+    blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    length = ends - starts
+    x = mix(length.astype(np.uint64) ^ _U(0x9E3779B97F4A7C15))
+    y = mix(x + _U(0xC2B2AE3D27D4EB4F))
+    left, at, who = length, starts, slice(None)
+    for _ in range(LONG_WORD // 8):
+        block = blocks[at] & _MASKS[np.minimum(left, 8)]
+        p = mix(x[who] ^ block) + y[who]
+        y[who] = mix((y[who] ^ (p >> _U(23))) + block * _U(0xD6E8FEB86659FD93))
+        x[who] = p * _U(0xA0761D6478BD642F) ^ y[who]
+        more = left > 8
+        if not more.any():
+            break
+        who = np.flatnonzero(more) if isinstance(who, slice) else who[more]
+        left, at = left[more] - 8, at[more] + 8
+    lanes = np.stack([mix(x + (y ^ (y >> _U(31))) * _U(0x9FB21C651E98DF25)), mix(y + (x ^ (x >> _U(33))) * _U(0xE7037ED1A0B428DB))])
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        lanes[:, i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+    return lanes
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, ascending; by sorting, which is faster here than a hash table."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
+
+
 class Chunk:
     """Whole documents: ``data`` bytes, ``offsets`` of documents, and their words by index."""
 
@@ -89,28 +135,46 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        data = self.data
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        return _ranges(_BYTE[data], _BASES[0], self.starts, self.ends)
+    def digests(self, lower: bool = False) -> np.ndarray:
+        """Two lanes of 64 bits for each word, as the rows of an array; with ``lower``, of the
+        words with a-z for A-Z."""
+        data = np.frombuffer(self.data.tobytes().lower(), np.uint8) if lower else self.data
+        return _word_lanes(data, self.starts, self.ends)
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, parted by one space each, and where each begins (and one more, the end).
+        bytes.split cuts at the six separators."""
+        body = self.data.tobytes()
+        offsets = self.offsets.tolist()
+        parts = (b" ".join(body[a:b].split()) for a, b in zip(offsets[:-1], offsets[1:]))
+        return b" ".join([p for p in parts if p]), np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
 
     def owner(self) -> np.ndarray:
         """The document index of each word."""
         return np.repeat(np.arange(len(self)), self.word_counts())
 
 
-def grams(hashes: np.ndarray, k: int, family: int = 1) -> np.ndarray:
-    """Hashes of the len - k + 1 runs of k words; families are independent of each other."""
-    if len(hashes) < k:
-        return np.zeros(0, dtype=np.uint64)
-    at = np.arange(len(hashes) - k + 1)
-    return _ranges(hashes, _BASES[family], at, at + k)
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _U(0x9E3779B97F4A7C15) + (right ^ (right >> _U(29))))
 
 
-def spans(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, family: int = 2) -> np.ndarray:
-    """Hashes of words lo .. hi - 1, for each pair."""
-    return _ranges(hashes, _BASES[family], lo, hi)
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the len - k + 1 runs of k words, put together from runs of powers of two."""
+    if len(hashes) < k:
+        return np.zeros(0, dtype=np.uint64)
+    size, part, out, done = 1, hashes, None, 0
+    while True:
+        if k & size:
+            if out is None:
+                out = part
+            else:
+                n = min(len(out), len(part) - done)
+                out = _joined(out[:n], part[done : done + n])
+            done += size
+        if done == k:
+            return mix(out[: len(hashes) - k + 1] ^ _U(k))
+        part = _joined(part[:-size], part[size:])
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -74,6 +75,37 @@ def test_digest_index_persists(docs_of, spark, tmp_path):
     assert again.read().count() == 3
 
 
+def test_digest_index_keeps_its_number_of_buckets(docs_of, spark, tmp_path):
+    place = f"file://{tmp_path}/index"
+    rows = [(i, f"t{i}") for i in range(200)]
+    assert sum(r.kept for r in exact_dedup.exact_dedup(docs_of(rows), place, 8).collect()) == 200
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, place, 4)
+    again = exact_dedup.exact_dedup(docs_of(rows), place).collect()
+    assert len(again) == 200 and not any(r.kept for r in again)
+    with exact_dedup.DigestIndex(spark, place) as index:
+        assert index.buckets == 8 and index.read().count() == 200
+    assert not [t for t in spark.catalog.listTables() if t.name == index.table]
+
+
+def test_a_batch_can_be_added_again(docs_of, spark, tmp_path):
+    place = f"file://{tmp_path}/index"
+    exact_dedup.exact_dedup(docs_of([(1, "a"), (2, "b")]), place, batch="first").collect()
+    rows = docs_of([(5, "b"), (7, "c"), (6, "c"), (8, None)])
+    once = sorted(tuple(r) for r in exact_dedup.exact_dedup(rows, place, batch="second").collect())
+    twice = sorted(tuple(r) for r in exact_dedup.exact_dedup(rows, place, batch="second").collect())
+    assert once == twice and {r[0]: r[3] for r in once} == {5: False, 6: True, 7: False, 8: True}
+
+
+def test_keep_first(docs_of):
+    rows = [(1, "a b"), (2, "ab"), (3, "c"), (3, "d"), (3, "c"), (4, None), (5, ""), (None, "e"), (None, "f"), (None, "e "), (6, "a  b"), (7, "d")]
+    kept = exact_dedup.keep_first(docs_of(rows))
+    assert kept.columns == docs_of(rows).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(6, "a  b"), (3, "c"), (3, "d"), (4, None), (None, "e "), (None, "f")], key=str)
+    assert exact_dedup.keep_first(docs_of([])).count() == 0
+
+
 def near_by_hand(rows, percent=85):
     sets = {}
     for key, text in rows:
@@ -164,3 +196,80 @@ def test_components(spark):
     got = {r.id: r.root for r in C.components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
     assert C.components(df.where("x < 0")).count() == 0
+
+
+def thue_morse(letters):
+    """A word of ``letters`` letters a and b, and its complement: polynomial hashes modulo 2**64
+    of the two are equal for every odd base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(letters))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_words_that_collide_in_polynomial_hashes(docs_of, letters):
+    one, other = thue_morse(letters)
+    body = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*body[:10], w, *body[10:]])) for i, w in enumerate((one, other))]
+    # words a and b in the same two orders
+    rows += [(10 + i, " ".join(w)) for i, w in enumerate((one, other))]
+    rows += [(20 + i, " ".join(w[:64]) + f" t{i} " + " ".join(body[:4])) for i, w in enumerate((one, other))]
+    rows += [(30, f"a b c {one}"), (31, f"a b c {other}"), (32, f"x {one}"), (33, f"x {other}")]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs_of(rows)).collect()}
+    assert got == cut_by_hand(rows, 20) and got[1][1] < 41
+    found = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(docs_of(rows)).collect()}
+    assert found == near_by_hand(rows) and found[31][1] == 31 and found[33][1] == 33
+
+
+def test_wrong_hashes_remove_and_link_nothing(docs_of, monkeypatch):
+    """With hashes of words that nearly always agree, only the words themselves can tell."""
+    import numpy as np
+
+    from strandlake.llm import texthash
+
+    lanes = texthash.Chunk.digests
+    monkeypatch.setattr(texthash.Chunk, "digests", lambda self, lower=False: lanes(self, lower) & np.uint64(1))
+    rows = [(i, t) for i, t in corpus(3, 30) if i % 4]
+    batches = {}
+    words = lambda key, text: batches.setdefault(key, split(text))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([t for _, t in rows])], ["k", "t", "text"]
+    )
+    supers = [r for out in substring_dedup._super_edges(7, 3, False)(batch) for r in out.to_pylist()]
+    every = [sorted({r["h"] for r in supers if r["k"] == k}) for k, _ in rows]
+    batch = pa.RecordBatch.from_arrays(
+        [*batch.columns, pa.array([[]] * len(rows), pa.list_(pa.int64())), pa.array(every, pa.list_(pa.int64()))], ["k", "t", "text", "whole", "branch"]
+    )
+    spans = {}
+    for out in substring_dedup._confirmed(7, 3)(batch):
+        for r in out.to_pylist():
+            at, size = r["at"] >> 32, r["at"] & 0xFFFFFFFF
+            assert size == 1
+            body = words(r["k"], dict(rows)[r["k"]])[at : at + 7]
+            assert spans.setdefault((r["s1"], r["s2"]), body) == body
+    assert spans
+
+
+def test_common_shingles_are_exact():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice([b"x", b"y", b"z"]) for _ in range(rng.randrange(0, 14))] for _ in "ab")
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (a, b)]
+        assert near_dedup.common_shingles(a, b, 5) == (len(sets[0]), len(sets[1]), len(sets[0] & sets[1]))
+
+
+def test_many_rows_without_an_id(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text + f" x{i % 7}") for i in range(300)] + [(1, text), (2, "y " + text)]
+    got = substring_dedup.substring_dedup(docs_of(rows)).collect()
+    assert len(got) == 302 and all(r.n_removed == (0 if r.doc_id is None else 60) for r in got)
+
+
+def test_large_groups_of_near_copies(docs_of):
+    """Buckets of several slices: copies, and two families that only differ across slices."""
+    base = [f"g{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, f"e{i}"])) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:30], *[f"h{n}" for n in range(70)], f"e{i}"])) for i in range(25)]
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(docs_of(rows), block=6).collect()}
+    assert got == near_by_hand(rows)
