@@ -26,6 +26,13 @@ _EXACT = f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, reg
            doc_id = first_value(doc_id) OVER w AS kept, sha256(body) AS text_sha256
     FROM d WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id)"""
 
+_BATCHES = f"""WITH d AS (SELECT doc_id, doc_id % 2 AS batch, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '{_SEP}', '', 'g') AS body FROM documents),
+    g AS (SELECT *, first_value(doc_id) OVER w AS best, count(*) OVER (PARTITION BY body, batch) AS n, min(batch) OVER (PARTITION BY body) AS brought
+          FROM d WINDOW w AS (PARTITION BY body, batch ORDER BY points DESC, doc_id)),
+    b AS (SELECT DISTINCT body, best, n FROM g WHERE batch = brought)
+    SELECT g.doc_id, b.best AS keep_id, b.n AS group_size, g.batch = g.brought AND g.doc_id = b.best AS kept, sha256(g.body) AS text_sha256, g.batch::INTEGER AS batch
+    FROM g JOIN b USING (body)"""
+
 _NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '{_SEP}+'), lambda x: x <> '') AS ws FROM documents),
     sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM w WHERE len(ws) > 0)),
     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
@@ -59,4 +66,4 @@ def _mix() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "op8_near_dedup": _NEAR}
+    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR}

@@ -3,9 +3,11 @@
 Each open sequence has what is left of three limits: tokens, segments and loss-bearing tokens.
 The next piece is the one whose demand has the largest dot product with that remainder (both
 in units of the limits), among pieces that fit. Once none fits, a piece is cut to fill the
-sequence. A partition packs its own documents: nothing is shuffled, and the pieces held are
-bounded by ``window`` tokens. What is left at a partition's end is cut at powers of two, which
-need no padding.
+sequence. Pieces of equal demand are alike to the heuristic, so it scores distinct demands only
+and places as many of the best one as it stays the best. A partition packs its own documents:
+nothing is shuffled, and the pieces held are bounded in number and by ``window`` tokens. What is left at a
+partition's end, or is closed by another limit than that of tokens, is cut at powers of two,
+which need no padding.
 
 Tokens of whole texts come from a public word tokenizer. Its pieces never cross white space, so
 the ids of a text are those of its words, and the words of a task meet in a bounded cache.
@@ -30,6 +32,8 @@ from .common import NO_ID, id_key, ship
 END = 2
 _END = np.array([END], dtype="<u4").tobytes()
 CACHE_WORDS = 350_000
+#: Pieces that wait at most, however short they are.
+HELD_PIECES = 100_000
 GROUP_BYTES = 2_000_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -40,6 +44,10 @@ class Limits:
     segments: int = 256
     loss_tokens: int = 4096
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss_tokens) < 1:
+            raise ValueError("a sequence has room for a token, a segment and a loss-bearing token at least")
+
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.segments, self.loss_tokens], dtype=np.float64)
 
@@ -110,77 +118,101 @@ def word_ids(path: str) -> WordIds:
 
 
 class Packer:
-    """Collects documents and gives out pieces with their places in closed sequences."""
+    """Collects documents and gives out pieces with their places in closed sequences.
+
+    A piece is (key, start, stop, ids, bears, document tokens); all its tokens bear loss, or none.
+    Pieces wait in a stack for each demand, numbered 2 * tokens + bears."""
 
     def __init__(self, limits: Limits, window: int, first_sequence: int):
         self.limits, self.window, self.next = limits, window, first_sequence
         self.full = limits.vector()
-        self.items: list[tuple] = []  # (key, start, ids, loss prefix sums, document tokens)
-        self.held = 0
+        number = np.arange(2 * (limits.tokens + 1))
+        self.demand = np.stack([number // 2, np.ones(len(number)), number // 2 * (number % 2)], axis=1).astype(np.float64)
+        self.scaled = self.demand / self.full
+        self.count = np.zeros(len(number), dtype=np.int64)
+        self.stacks: dict[int, list[tuple]] = {}
+        self.held = self.pieces = 0
         self.out: list[tuple] = []
 
-    def add(self, key: int, ids: np.ndarray, loss: np.ndarray) -> None:
-        """``loss``: 1 for each loss-bearing id."""
-        sums = np.concatenate([[0], np.cumsum(loss, dtype=np.int64)])
-        start, n = 0, len(ids)
-        while start < n:
-            stop = min(n, start + self.limits.tokens)
-            # no piece may exceed the loss limit by itself
-            stop = min(stop, int(np.searchsorted(sums, sums[start] + self.limits.loss_tokens, side="right")) - 1)
-            self._hold(key, start, stop, ids, sums)
-            start = stop
-
-    def _hold(self, key, start, stop, ids, sums) -> None:
-        if stop - start == self.limits.tokens:
-            self._close([(key, start, stop, ids, sums)])
-        else:
-            self.items.append((key, start, stop, ids, sums))
-            self.held += stop - start
-            if self.held >= self.window:
-                self._pack(final=False)
+    def add(self, key: int, ids: np.ndarray, bears: bool) -> None:
+        # no piece may exceed a limit by itself
+        most = min(self.limits.tokens, self.limits.loss_tokens) if bears else self.limits.tokens
+        for start in range(0, len(ids), most):
+            piece = (key, start, min(len(ids), start + most), ids, int(bears))
+            if piece[2] - start == self.limits.tokens:
+                self._close([piece])
+            else:
+                self._hold(piece)
+        if self.held >= self.window or self.pieces >= HELD_PIECES:
+            self._pack(final=False)
+
+    def _hold(self, piece: tuple) -> None:
+        size = piece[2] - piece[1]
+        number = 2 * size + piece[4]
+        self.stacks.setdefault(number, []).append(piece)
+        self.count[number] += 1
+        self.held += size
+        self.pieces += 1
+
+    def _take(self, number: int) -> tuple:
+        self.count[number] -= 1
+        self.held -= number // 2
+        self.pieces -= 1
+        return self.stacks[number].pop()
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
-        for key, start, stop, ids, _ in pieces:
+        for key, start, stop, ids, bears in pieces:
             part = ids[start:stop]
-            self.out.append((key, start, stop - start, zlib.crc32(part.tobytes()), len(ids), self.next, offset))
-            offset += stop - start
+            size = stop - start
+            self.out.append((key, start, size, zlib.crc32(part.tobytes()), len(ids), self.next, offset, size * bears))
+            offset += size
         self.next += 1
 
+    def _best(self, left: np.ndarray) -> tuple[int, int] | None:
+        """The demand that fits and has the largest dot product with what is left, and how often
+        it is placed before another one is better."""
+        live = np.flatnonzero(self.count)
+        live = live[(self.demand[live] <= left).all(axis=1)]
+        if not len(live):
+            return None
+        score = self.scaled[live] @ (left / self.full)
+        i = int(np.argmax(score))
+        number = int(live[i])
+        # after n placements the scores have fallen by n times these
+        fall = self.scaled[live] @ self.scaled[number]
+        lead, speed = score[i] - score, fall[i] - fall
+        overtakes = speed > 1e-12
+        times = int((lead[overtakes] / speed[overtakes]).min()) + 1 if overtakes.any() else int(self.count[number])
+        need = self.demand[number]
+        room = int((left[need > 0] // need[need > 0]).min())
+        return number, min(times, room, int(self.count[number]))
+
+    def _longest(self, left: np.ndarray) -> int | None:
+        """The longest piece that can be cut: where no loss is left, one that bears none."""
+        live = np.flatnonzero(self.count)
+        if left[2] < 1:
+            live = live[live % 2 == 0]
+        return int(live[-1]) if len(live) else None
+
     def _pack(self, final: bool) -> None:
-        """Fill sequences while a full one's worth of tokens is held; at the end, all."""
-        items, self.items = self.items, []
-        demand = np.array([[b - a, 1, s[b] - s[a]] for _, a, b, _, s in items], dtype=np.float64).reshape(-1, 3)
-        alive = np.ones(len(items), dtype=bool)
-        held = self.held
-        while held >= self.limits.tokens or (final and held > 0):
+        """Fill sequences while a full one's worth of tokens, or too many pieces, are held; at the
+        end, all."""
+        while self.held >= self.limits.tokens or self.pieces >= HELD_PIECES or (final and self.held > 0):
             left, bin_ = self.full.copy(), []
-            while left[0] > 0 and left[1] > 0:
-                fits = alive & (demand <= left).all(axis=1)
-                if not fits.any():
-                    break
-                score = np.where(fits, (demand / self.full) @ (left / self.full), -1.0)
-                i = int(np.argmax(score))
-                bin_.append(items[i])
-                alive[i] = False
-                left -= demand[i]
-                held -= int(demand[i, 0])
-            while left[0] > 0 and left[1] > 0 and alive.any():
-                # nothing fits whole: the longest piece that has room by its loss is cut
-                i = int(np.argmax(np.where(alive, demand[:, 0], -1)))
-                key, a, b, ids, sums = items[i]
-                cut = min(b, a + int(left[0]), int(np.searchsorted(sums, sums[a] + left[2], side="right")) - 1)
-                if cut <= a:
-                    break
-                bin_.append((key, a, cut, ids, sums))
-                left -= [cut - a, 1, sums[cut] - sums[a]]
-                held -= cut - a
-                items[i] = (key, cut, b, ids, sums)
-                demand[i] = [b - cut, 1, sums[b] - sums[cut]]
-                alive[i] = b > cut
+            while left[0] > 0 and left[1] > 0 and (found := self._best(left)) is not None:
+                number, times = found
+                bin_ += [self._take(number) for _ in range(times)]
+                left -= times * self.demand[number]
+            while left[0] > 0 and left[1] > 0 and (number := self._longest(left)) is not None:
+                # nothing fits whole
+                key, start, stop, ids, bears = self._take(number)
+                cut = min(stop, start + int(min(left[0], left[2] if bears else left[0])))
+                bin_.append((key, start, cut, ids, bears))
+                left -= [cut - start, 1, (cut - start) * bears]
+                if cut < stop:
+                    self._hold((key, cut, stop, ids, bears))
             self._emit(bin_)
-        self.items = [x for x, y in zip(items, alive) if y]
-        self.held = held
 
     def _emit(self, bin_: list[tuple]) -> None:
         """Close a sequence; one that is not full is cut at powers of two."""
@@ -188,18 +220,19 @@ class Packer:
         while room:
             want = self.limits.tokens if room >= self.limits.tokens else 1 << (room.bit_length() - 1)
             now, rest, size = [], [], 0
-            for key, a, b, ids, sums in bin_:
+            for key, a, b, ids, bears in bin_:
                 cut = min(b, a + want - size)
                 if cut > a:
-                    now.append((key, a, cut, ids, sums))
+                    now.append((key, a, cut, ids, bears))
                     size += cut - a
                 if cut < b:
-                    rest.append((key, max(a, cut), b, ids, sums))
+                    rest.append((key, max(a, cut), b, ids, bears))
             self._close(now)
             bin_, room = rest, room - size
 
     def finish(self) -> None:
         self._pack(final=True)
+        self.stacks.clear()
 
     def taken(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -228,12 +261,14 @@ _FIELDS = [
     ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()),
     ("offset", pa.int64()),
+    ("loss_tokens", pa.int64()),
 ]
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int = 1_000_000, trained: str | None = None) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text): its place in its document and sequence.
+    """One row per piece of ``docs`` (doc_id, text): its place in its document and sequence, and
+    how many of its tokens bear loss.
 
     A sequence has at most ``limits.tokens`` tokens, ``limits.segments`` pieces and
     ``limits.loss_tokens`` loss-bearing tokens; it is full, or its length is a power of two.
@@ -241,8 +276,9 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
     do and prompts do not); without it all do. Null in it counts as false.
 
     Null or empty text: the end id alone. Very long texts are cut into full sequences. Null
-    doc_id: pieces with null doc_id. Repeated rows are packed each for itself. Empty table:
-    empty result. Other columns are ignored."""
+    doc_id: pieces with null doc_id. Ties (pieces of equal demand) go in any order. Repeated rows
+    are packed each for itself. Empty table: empty result. Other columns are ignored. Limits below
+    one are an error."""
     names = [name for name, _ in _FIELDS]
     types = [kind for _, kind in _FIELDS]
 
@@ -261,7 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
             rows_ = zip(batch.column("k").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("bears").to_pylist())
             for group in _groups(rows_):
                 for (key, _, bears), ids in zip(group, words.encode([text for _, text, _ in group])):
-                    packer.add(key, ids, np.full(len(ids), int(bears), dtype=np.int64))
+                    packer.add(key, ids, bears)
                 if len(packer.out) >= 20_000:
                     yield rows(packer.taken())
         packer.finish()
@@ -273,3 +309,18 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
     ship(docs.sparkSession)
     bears = F.lit(True) if trained is None else F.coalesce(F.col(trained).cast("boolean"), F.lit(False))
     return docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"), bears.alias("bears")).mapInArrow(run, SCHEMA)
+
+
+def padding(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row about the sequences of ``pieces``: sequences, tokens, padding (to the limit, for
+    those whose length is no power of two), most_segments, most_loss. Nulls in keys don't matter;
+    without pieces the counts are 0 and the rest is null."""
+    each = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"))
+    even = F.col("n").bitwiseAND(F.col("n") - 1) == 0
+    return each.agg(
+        F.count("*").alias("sequences"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.when(even, 0).otherwise(limits.tokens - F.col("n"))), F.lit(0)).alias("padding"),
+        F.max("segments").alias("most_segments"),
+        F.max("loss").alias("most_loss"),
+    )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, progressive_jpeg, quality, substring_dedup, toxicity
-from .common import documents
+from .common import documents, shared_dir
 
 #: The mixture that the query and the pipeline use: at most one and a half passes.
 TARGET = mixing.Target(max_repetition=1.5)
@@ -55,6 +56,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+#: Instruction data: long answers fill the loss limit, short turns that of segments.
+CONVERSATION_LIMITS = packing.Limits(4096, 16, 1536)
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a segment of which only the assistant's bear loss."""
+    turns = documents(spark, sf_dir, "conversations")
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", (F.col("role") == "assistant").alias("answer"))
+    return packing.pack(rows, tokenizer_path(), CONVERSATION_LIMITS, trained="answer")
+
+
+def exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of even ids as one batch, those of odd ids as the next against its index."""
+    docs = documents(spark, sf_dir)
+    place = f"{shared_dir(spark)}/index"
+    odd = F.col("doc_id") % 2
+    first = exact_dedup.exact_dedup(docs.where(odd == 0), place).withColumn("batch", F.lit(0))
+    return first.unionByName(exact_dedup.exact_dedup(docs.where(odd != 0), place).withColumn("batch", F.lit(1)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -68,5 +89,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_source_mixing, op3_exact_dedup, op4_pii, op5_toxicity, op6_media, op7_licenses, op8_near_dedup,
-        op9_packing, op10_quality, pipeline,
+        op9_packing, op10_quality, pipeline, exact_dedup_batches, pack_conversations,
     )}
