@@ -80,6 +80,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame, each: int) -> int:
+    """Tasks for a table that was written, at ``each`` rows a task: small tables that go through
+    many steps then don't cost a task for each of spark.sql.shuffle.partitions."""
+    return max(1, -(-df.count() // each))
+
+
 def sampled(rows: DataFrame, limit: int, key: str = "k") -> DataFrame:
     """About ``limit`` of ``rows``, or all if there are no more: those with small hashes of
     ``key``, so every task filters its own and none has to order them."""

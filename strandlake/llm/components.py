@@ -12,25 +12,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tasks
+
+#: Edges a task has at most on average.
+EDGES = 100_000
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """u -> the smallest of u and its neighbours."""
+    """u -> the smallest of u and its neighbours; ``edges`` are partitioned by u."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(n, "u")
     return both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(n, "u")
     least = _least(down)
     others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
@@ -64,13 +63,14 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are harmless; without edges the result is empty."""
     ship(edges.sparkSession)
     linked = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
-    now = materialize(linked.mapInArrow(_contracted, "u long, v long").distinct(), "links")
+    n = tasks(linked, EDGES)
+    now = materialize(linked.mapInArrow(_contracted, "u long, v long").repartition(n, "u").distinct(), "links")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)
-        now = materialize(_small_star(_large_star(now)).distinct(), "links")
-    roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        now = materialize(_small_star(_large_star(now, n), n).repartition(n, "u").distinct(), "links")
+    roots = now.repartition(n, "u").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+    return roots.unionByName(now.select(F.col("v").alias("id")).repartition(n, "id").distinct().select("id", F.col("id").alias("root")))

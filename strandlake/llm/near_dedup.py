@@ -20,10 +20,9 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    links. Where a guess of step 4 proves wrong, it may have hidden another link: that group is
    screened again with all its members, for pairs from different components that were not tried,
    and with ever more of them at once, until no guess fails.
-6. Where a bucket of several slices still has several components, one member of each is
-   compared first, which joins the slices of a large group of copies at linear cost. Only
-   buckets that then still have several components are compared across slices, in pairs of
-   slices, each a unit of bounded size.
+6. Each bucket is sliced in its own way, so the slices of a large group of copies, which meets in
+   many buckets, are joined by then at linear cost. Only buckets that still have several
+   components are compared across slices, in pairs of slices, each a unit of bounded size.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, map_arrow, materialize, ship
+from .common import id_back, id_key, map_arrow, materialize, ship, tasks
 from .components import components
 from .texthash import Chunk, chunks, grams, mix
 
@@ -44,7 +43,10 @@ SHINGLE = 5
 SIDE = 10
 #: Key i of the first collection meets keys i + offset of the second.
 OFFSETS = (0, 1, 3, 6)
-BLOCK = 1024
+BLOCK = 512
+#: Pairs to confirm, and members of reopened groups, that a task has on average.
+PAIRS = 5_000
+MEMBERS = 10_000
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -272,7 +274,8 @@ def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
 
 def _sliced(size: Column, block: int) -> list[Column]:
     slices = F.ceil(size / F.lit(block)).cast("long")
-    return [F.pmod(F.xxhash64("id", F.lit(1)), slices).alias("half"), slices.alias("slices")]
+    # buckets with much the same members are sliced differently, so what one slice parts another joins
+    return [F.pmod(F.xxhash64("id", "key"), slices).alias("half"), slices.alias("slices")]
 
 
 def _within(members: DataFrame) -> DataFrame:
@@ -290,8 +293,8 @@ def _across(members: DataFrame) -> DataFrame:
 class _Links:
     """Confirmed links so far, and the components that they make."""
 
-    def __init__(self, base: DataFrame, sketches: DataFrame, width: int, percent: int):
-        self.base, self.sketches, self.width, self.percent = base, sketches, width, percent
+    def __init__(self, texts: DataFrame, sketches: DataFrame, width: int, percent: int):
+        self.texts, self.sketches, self.width, self.percent = texts, sketches, width, percent
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -303,15 +306,14 @@ class _Links:
 
     def _judged(self, found: DataFrame) -> DataFrame:
         """(x, y, linked) of the pairs, by the words of their texts."""
-        ends = materialize(found.select(F.explode(F.array("x", "y")).alias("k")).distinct(), "ends")
-        texts = materialize(self.base.join(ends, "k", "left_semi"), "texts")
-        pairs = (
-            found.select("x", "y").distinct()
-            .join(texts.select(F.col("k").alias("x"), F.col("text").alias("tx")), "x")
-            .join(texts.select(F.col("k").alias("y"), F.col("text").alias("ty")), "y")
-        )
-        each = map_arrow(pairs, _compared(self.width, self.percent), "x long, y long, linked boolean")
-        return materialize(each.groupBy("x", "y").agg(F.max("linked").alias("linked")), "judged")
+        n = tasks(found, PAIRS)
+        pairs = found.select("x", "y").repartition(n, "x", "y").distinct()
+        ends = found.select(F.explode(F.array("x", "y")).alias("k")).repartition(n, "k").distinct()
+        texts = self.texts.join(ends, "k", "left_semi").repartition(n, "k")
+        one = pairs.repartition(n, "x").join(texts.select(F.col("k").alias("x"), F.col("text").alias("tx")), "x")
+        both = one.repartition(n, "y").join(texts.select(F.col("k").alias("y"), F.col("text").alias("ty")), "y")
+        each = map_arrow(both.select("x", "y", "tx", "ty"), _compared(self.width, self.percent), "x long, y long, linked boolean")
+        return materialize(each.repartition(n, "x", "y").groupBy("x", "y").agg(F.max("linked").alias("linked")), "judged")
 
     def search(self, units: DataFrame) -> None:
         """Add the links inside ``units`` (key, p, q, half, id) that components don't imply."""
@@ -320,7 +322,8 @@ class _Links:
         ship(units.sparkSession)
         while True:
             ready = rows.join(self.sketches, "id").select("key", "p", "q", "id", "half", "label", "n", "sketch", "tried")
-            ready = ready.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+            dealt = ready.repartition("key", "p", "q") if groups is None else ready.repartition(tasks(groups, MEMBERS), "key", "p", "q")
+            ready = dealt.sortWithinPartitions("key", "p", "q", "id")
             found = materialize(ready.mapInArrow(_screen(self.percent, tries), "x long, y long, g long"), "pairs")
             if found.isEmpty():
                 return
@@ -334,11 +337,12 @@ class _Links:
                 return
             failed = wrong if failed is None else failed.unionByName(wrong)
             told = failed.select("g", F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("o")), F.struct(F.col("y").alias("id"), F.col("x").alias("o")))).alias("f"))
-            told = told.groupBy(F.col("g").alias("key"), "f.id").agg(F.collect_set("f.o").alias("tried"))
-            open_ = wrong.select("g").distinct()
+            n = tasks(failed, MEMBERS)
+            told = told.select(F.col("g").alias("key"), "f.id", "f.o").repartition(n, "key", "id").groupBy("key", "id").agg(F.collect_set("o").alias("tried"))
+            open_ = wrong.select("g").repartition(n, "g").distinct()
             # at first the pairs span the group; later a member without a pair may still have untried ones
             if groups is None:
-                again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).distinct()
+                again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).repartition(n, "key", "id").distinct()
             else:
                 again = groups.join(open_.withColumnRenamed("g", "key"), "key", "left_semi")
             groups = materialize(again, "groups")
@@ -348,9 +352,9 @@ class _Links:
 
     def several(self, members: DataFrame) -> DataFrame:
         """``members`` with labels, of the buckets that still have several components."""
-        now = materialize(self.labelled(members), "labelled")
+        now = self.labelled(members)
         more = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        return now.join(more, "key", "left_semi")
+        return materialize(now.join(more, "key", "left_semi"), "apart")
 
 
 def near_dedup(
@@ -376,16 +380,14 @@ def near_dedup(
     reps = materialize(
         filled.join(classes.withColumnRenamed("id", "k"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k", "d1", "d2"]).withColumnRenamed("k", "id"), "representatives"
     )
-    links = _Links(base, reps.select("id", "n", "sketch"), width, percent)
     members = materialize(_buckets(reps, side, block), "members")
+    # whatever may be compared, read from the documents once
+    texts = materialize(base.join(members.select(F.col("id").alias("k")).distinct(), "k", "left_semi"), "texts")
+    links = _Links(texts, reps.select("id", "n", "sketch"), width, percent)
     links.search(_within(members))
-    large = members.where("slices > 1")
-    if not large.isEmpty():
-        # one member of each component, whose slices are counted anew
-        parts = links.several(large).groupBy("key", "label").agg(F.min("id").alias("id"))
-        parts = parts.join(parts.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "id", *_sliced(F.col("size"), block))
-        links.search(_within(materialize(parts, "parts")))
-        links.search(_across(links.several(large).drop("label")))
+    apart = links.several(members.where("slices > 1"))
+    if not apart.isEmpty():
+        links.search(_across(apart.drop("label")))
     out = signed.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     if links.roots is not None:
         out = out.join(links.roots, "id", "left")

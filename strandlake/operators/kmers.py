@@ -11,8 +11,8 @@ from .tiles import grams
 
 def domain(spark: SparkSession, k: int) -> DataFrame:
     """(kmer): all 4**k in lexicographic order, from the digits of a range."""
-    if not 1 <= k <= 12:
-        raise ValueError("k must be between 1 and 12")
+    if not 1 <= k <= 31:
+        raise ValueError("k must be between 1 and 31, as the k-mers are numbered in 64 bits")
     digits = F.lpad(F.conv(F.col("id").cast("string"), 10, 4), k, "0")
     return spark.range(4**k).select(F.translate(digits, "0123", S.BASES).alias("kmer"))
 

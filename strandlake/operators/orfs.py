@@ -1,19 +1,21 @@
 """Open reading frames, codon usage and translation.
 
 The scan of all frames is gaps-and-islands: within one frame the stops cut the codons into
-islands, and an island's first start codon opens its only reading frame. Codons are never
-brought together by sequence: an island is found by a running count of stops that tiles
-prepare, so a long sequence is spread over tasks."""
+islands, and an island's first start codon opens its only reading frame. A record finds its own
+frames: each frame becomes a string of signs, one a codon, which one regular pass cuts into
+islands, so nothing is shuffled and no text is joined back. Sequences over ``LONG`` symbols are
+cut into tiles instead, dealt to all tasks; there only start and stop codons move, and islands
+are numbered by blocks whose stops are summed first."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
 from ..functions.genetic_code import code_map, code_table
-from .tiles import TILE, tiles
+from .tiles import LONG, TILE, tiles
 
 MIN_ORF = 90
 
@@ -23,46 +25,95 @@ def rna_of(records: DataFrame, column: str = "seq", keep: tuple[str, ...] = ("se
     return records.select(*keep, S.to_rna(F.coalesce(F.col(column), F.lit(""))).alias("rna"))
 
 
-def marks(rna: DataFrame, column: str = "rna", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, n, pos, stop): start and stop codons at any position; only these, a few in a
-    hundred positions, go on."""
-    cut = tiles(rna, 2, TILE, column, (keep,))
+def _found(rna: DataFrame, min_len: int, column: str, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, frame, start, end, terminated, _codons) of the records up to LONG symbols."""
+    r = F.col(column)
+    short = rna.where(F.length(r) <= LONG).select(*keep, F.length(r).alias("_n"), r.alias("_r"), F.explode(F.array(*(F.lit(f) for f in range(3)))).alias("frame"))
+    split = short.where("_n - frame >= 3").select(*keep, "_n", "frame", S.codons(F.substr("_r", F.col("frame") + 1)).alias("_all"))
+    sign = lambda c: F.when(c == S.START, "S").when(c.isin(*S.STOPS), "*").otherwise(".")
+    signs = split.withColumn("_signs", F.array_join(F.transform("_all", sign), ""))
+    island = "([^S]*)(S[^*]*[*]?)"
+    heads, bodies = (F.regexp_extract_all("_signs", F.lit(island), i) for i in (1, 2))
+    n, frame = F.col("_n"), F.col("frame")
+
+    def step(state: Column, pair: Column) -> Column:
+        at = state["at"] + F.length(pair["h"])
+        stop = F.endswith(pair["b"], F.lit("*"))
+        size = F.length(pair["b"]) - stop.cast("int")
+        long_ = F.when(stop, 3 * size).otherwise(n - frame - 3 * at) >= min_len
+        one = F.array(F.struct(at.alias("at"), size.alias("size"), stop.alias("stop")))
+        return F.struct((at + F.length(pair["b"])).alias("at"), F.when(long_, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int,stop:boolean>>").alias("found"))
+    pairs = F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("h"), b.alias("b")))
+    o = F.explode(F.aggregate(pairs, begin, step)["found"]).alias("_o")
+    start = F.col("frame") + 3 * F.col("_o.at")
+    return signs.select(*keep, "frame", "_all", o).select(
+        *keep,
+        "frame",
+        start.cast("long").alias("start"),
+        (start + 3 * F.col("_o.size")).cast("long").alias("end"),
+        F.col("_o.stop").alias("terminated"),
+        F.slice("_all", F.col("_o.at") + 1, F.col("_o.size")).alias("_codons"),
+    )
+
+
+def marks(rna: DataFrame, column: str = "rna", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """(*keep, n, pos, stop): start and stop codons at any position of the sequences over LONG
+    symbols; only these, a few in a hundred positions, go on."""
+    cut = tiles(rna, 2, TILE, column, keep, dealt=True)
     last = F.least(F.length("tile") - 3, F.lit(TILE - 1))
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     codons = F.transform(starts, lambda i: F.struct(i.alias("i"), F.substr(F.col("tile"), i + 1, F.lit(3)).alias("c")))
     marked = F.filter(codons, lambda c: c["c"].isin(S.START, *S.STOPS))
-    at = cut.select(F.col(keep).alias("seq_id"), "n", "tile_off", F.explode(marked).alias("m"))
-    return at.select("seq_id", "n", (F.col("tile_off") + F.col("m.i")).alias("pos"), (F.col("m.c") != S.START).alias("stop"))
+    at = cut.select(*keep, "n", "tile_off", F.explode(marked).alias("m"))
+    return at.select(*keep, "n", (F.col("tile_off") + F.col("m.i")).alias("pos"), (F.col("m.c") != S.START).alias("stop"))
 
 
-def open_reading_frames(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, frame, start, end, terminated): reading frames of at least ``min_len`` symbols.
+#: Symbols of a block whose stops one task counts.
+BLOCK = 1 << 21
 
-    From the first AUG after a stop (or the frame's beginning) to the next stop of the frame,
-    exclusive; start codons in between belong to it. Without a stop it runs to the end, cut to
-    whole codons; the length is tested before that cut, so such a tail may be a symbol or two
-    shorter than ``min_len``."""
-    codon = marks(rna, column, keep).withColumn("frame", (F.col("pos") % 3).cast("int"))
-    order = W.partitionBy("seq_id", "frame").orderBy("pos")
-    island = F.coalesce(F.sum(F.col("stop").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+def _found_long(rna: DataFrame, min_len: int, column: str, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, frame, start, end, terminated) of the sequences over LONG symbols."""
+    codon = marks(rna, column, keep).withColumns({"frame": (F.col("pos") % 3).cast("int"), "_block": F.floor(F.col("pos") / F.lit(BLOCK))})
+    of = [*keep, "frame"]
+    stops = codon.groupBy(*of, "_block").agg(F.sum(F.col("stop").cast("int")).alias("_stops"))
+    before = W.partitionBy(*of).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ahead = stops.select(*of, "_block", F.coalesce(F.sum("_stops").over(before), F.lit(0)).alias("_ahead"))
+    inside = W.partitionBy(*of, "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    island = F.col("_ahead") + F.coalesce(F.sum(F.col("stop").cast("int")).over(inside), F.lit(0))
     found = (
-        codon.withColumn("island", island)
-        .groupBy("seq_id", "frame", "island")
+        codon.join(ahead, [*of, "_block"])
+        .withColumn("_island", island)
+        .groupBy(*of, "_island")
         .agg(F.min(F.when(~F.col("stop"), F.col("pos"))).alias("start"), F.max(F.when(F.col("stop"), F.col("pos"))).alias("at"), F.max("n").alias("n"))
         .where("start is not null")
     )
     tail = F.col("n") - F.col("start")
     length = F.when(F.col("at").isNotNull(), F.col("at") - F.col("start")).otherwise(tail)
-    end = F.coalesce("at", F.col("n") - tail % 3)
-    return found.where(length >= min_len).select("seq_id", "frame", "start", end.alias("end"), F.col("at").isNotNull().alias("terminated"))
+    return found.where(length >= min_len).select(*of, "start", F.coalesce("at", F.col("n") - tail % 3).alias("end"), F.col("at").isNotNull().alias("terminated"))
+
+
+def open_reading_frames(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, frame, start, end, terminated): reading frames of at least ``min_len`` symbols.
 
+    From the first AUG after a stop (or the frame's beginning) to the next stop of the frame,
+    exclusive; start codons in between belong to it. Without a stop it runs to the end, cut to
+    whole codons; the length is tested before that cut, so such a tail may be a symbol or two
+    shorter than ``min_len``."""
+    rna = rna.select(F.col(keep).alias("seq_id"), F.col(column).alias("rna"))
+    return _found(rna, min_len, "rna", ("seq_id",)).drop("_codons").unionByName(_found_long(rna, min_len, "rna", ("seq_id",)))
 
-def orf_sequences(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: str = "seq_id") -> DataFrame:
-    """The reading frames with their symbols (``orf``)."""
-    frames = open_reading_frames(rna, min_len, column, keep)
-    whole = rna.select(F.col(keep).alias("seq_id"), F.col(column).alias("_rna"))
+
+def orf_sequences(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """The reading frames with the columns ``keep`` and their symbols (``orf``). Only sequences
+    over LONG symbols are joined again to cut theirs."""
+    rna = rna.select(*keep, F.col(column).alias("_rna"))
+    short = _found(rna, min_len, "_rna", keep).withColumn("orf", F.array_join("_codons", "")).drop("_codons")
     cut = F.substr("_rna", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    return frames.join(whole, "seq_id").withColumn("orf", cut).drop("_rna")
+    long_ = _found_long(rna, min_len, "_rna", keep).join(rna.where(F.length("_rna") > LONG), list(keep))
+    return short.unionByName(long_.withColumn("orf", cut).drop("_rna"))
 
 
 def codon_usage(orfs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -109,25 +160,27 @@ def union_in_order(left: DataFrame, right: DataFrame, column: str = "aa") -> Dat
     return first.select(column, F.row_number().over(W.partitionBy(F.lit(1)).orderBy("o")).cast("long").alias("ord"))
 
 
-def first_orf(rna: DataFrame, column: str = "rna", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, start, end): from the first AUG anywhere to the first stop of its frame; to the
-    end without one, and the whole sequence without a start."""
-    r = F.col(column)
+def _first_bounds(r: Column) -> tuple[Column, Column]:
     start = F.locate(S.START, r)
     body = S.codons(F.substr(r, F.greatest(start, F.lit(1))))
     stops = [F.array_position(body, s) for s in S.STOPS]
     stop = F.least(*(F.nullif(s, F.lit(0).cast("long")) for s in stops))
-    n = F.length(r).cast("long")
-    end = F.when((start > 0) & stop.isNotNull(), start - 1 + 3 * (stop - 1)).otherwise(n)
-    return rna.select(F.col(keep).alias("seq_id"), F.greatest(start - 1, F.lit(0)).cast("long").alias("start"), end.cast("long").alias("end"))
+    end = F.when((start > 0) & stop.isNotNull(), start - 1 + 3 * (stop - 1)).otherwise(F.length(r).cast("long"))
+    return F.greatest(start - 1, F.lit(0)).cast("long"), end.cast("long")
+
+
+def first_orf(rna: DataFrame, column: str = "rna", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, start, end): from the first AUG anywhere to the first stop of its frame; to the
+    end without one, and the whole sequence without a start."""
+    start, end = _first_bounds(F.col(column))
+    return rna.select(F.col(keep).alias("seq_id"), start.alias("start"), end.alias("end"))
 
 
 def translate_orf(rna: DataFrame, column: str = "rna", keep: str = "seq_id") -> DataFrame:
     """(seq_id, protein) of the first reading frame."""
-    bounds = first_orf(rna, column, keep).withColumnRenamed("seq_id", "_id")
-    joined = rna.join(bounds, F.col(keep) == F.col("_id"))
-    region = F.substr(column, F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    return joined.select(F.col(keep).alias("seq_id"), S.protein(S.codons(region), code_map()).alias("protein"))
+    start, end = _first_bounds(F.col(column))
+    region = F.substr(F.col(column), start.cast("int") + 1, (end - start).cast("int"))
+    return rna.select(F.col(keep).alias("seq_id"), S.protein(S.codons(region), code_map()).alias("protein"))
 
 
 def translate_frame(rna: DataFrame, number: int = 1, column: str = "rna", keep: str = "seq_id") -> DataFrame:

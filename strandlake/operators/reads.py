@@ -104,19 +104,29 @@ def _walk(rows: pd.DataFrame, k: int, longest: bool) -> tuple[str, list[int]]:
         if len(s) >= k:
             first.setdefault(s[:k], []).append(i)
             last.setdefault(s[-k:], []).append(i)
+
+    def unused(waiting: dict[str, list[int]], end: str) -> int | None:
+        """The first unused read; used ones leave the list, so none is looked at twice."""
+        rest = waiting.get(end, [])
+        while rest and rest[-1] in used:
+            rest.pop()
+        return rest[-1] if rest else None
+
+    for waiting in (*first.values(), *last.values()):
+        waiting.reverse()
     parts, now = [contig], contig
-    while (step := next((i for i in first.get(now[-k:], ()) if i not in used), None)) is not None:
+    while (step := unused(first, now[-k:])) is not None:
         used.add(step)
         chain.append(step)
         now = seqs[step]
         parts.append(now[k:])
-    head, now = [], contig
-    while (step := next((i for i in last.get(now[:k], ()) if i not in used), None)) is not None:
+    head, ahead, now = [], [], contig
+    while (step := unused(last, now[:k])) is not None:
         used.add(step)
-        chain.insert(0, step)
+        ahead.append(step)
         now = seqs[step]
         head.append(now[: len(now) - k])
-    return "".join(head[::-1]) + "".join(parts), chain
+    return "".join(head[::-1]) + "".join(parts), ahead[::-1] + chain
 
 
 def _longest(seqs: list[str], k: int, contig: str, used: set[int], chain: list[int]) -> tuple[str, list[int]]:

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
 
 
-def symbols(sequences: DataFrame, column: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(*keep, symbol): one row per symbol. A symbol is a code point."""
-    return sequences.select(*keep, F.explode(F.filter(F.split(F.col(column), ""), lambda c: c != "")).alias("symbol"))
+def _letters(column: Column) -> Column:
+    """The distinct symbols of a text, in order of appearance."""
+    return F.filter(F.array_distinct(F.split(column, "")), lambda c: c != "")
+
+
+def symbol_counts(sequences: DataFrame, column: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, symbol, n, first): one row per text and distinct symbol, with its number and first
+    place. A symbol is a code point. Texts count their own symbols, so no row per place exists."""
+    text = F.col(column)
+    each = sequences.select(*keep, text.alias("_text"), F.explode(_letters(text)).alias("symbol"))
+    n = F.length("_text") - F.length(F.replace("_text", "symbol", F.lit("")))
+    return each.select(*keep, "symbol", n.cast("long").alias("n"), (F.position("symbol", "_text") - 1).cast("long").alias("first"))
 
 
 def symbol_frequencies(sequences: DataFrame, column: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, symbol, n, total, freq): counts and shares of all symbols of a group.
 
     Counts are summed before anything is joined; the total comes from the counts."""
-    counts = symbols(sequences, column, by).groupBy(*by, "symbol").agg(F.count("*").alias("n"))
+    counts = symbol_counts(sequences, column, by).groupBy(*by, "symbol").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(W.partitionBy(*by)).alias("total") if by else F.sum("n").over(W.partitionBy(F.lit(1))).alias("total")
     return counts.select(*by, "symbol", "n", total).withColumn("freq", S.relative(F.col("n"), F.col("total")))
 
 
 def alphabets(sequences: DataFrame, column: str = "seq", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keep, alphabet, size): distinct symbols of each sequence in order of appearance."""
-    letters = F.array_distinct(F.filter(F.split(F.col(column), ""), lambda c: c != ""))
+    letters = _letters(F.col(column))
     return sequences.select(*keep, F.array_join(letters, "").alias("alphabet"), F.size(letters).cast("long").alias("size"))
 
 
 def alphabet_order(sequences: DataFrame, column: str = "seq", order: str = "seq_id") -> DataFrame:
     """(symbol, n, first_seq, first_pos): the alphabet of a whole table; by the last two columns
     it is in order of first appearance."""
-    places = sequences.select(F.col(order).alias("_o"), F.posexplode(F.filter(F.split(F.col(column), ""), lambda c: c != "")).alias("p", "symbol"))
-    per_sequence = places.groupBy("symbol", "_o").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    first = F.min(F.struct("_o", "p")).alias("f")
-    return per_sequence.groupBy("symbol").agg(F.sum("n").alias("n"), first).select(
-        "symbol", "n", F.col("f._o").alias("first_seq"), F.col("f.p").cast("long").alias("first_pos")
+    counts = symbol_counts(sequences.select(F.col(order).alias("_o"), F.col(column).alias("seq")), keep=("_o",))
+    return counts.groupBy("symbol").agg(F.sum("n").alias("n"), F.min(F.struct("_o", "first")).alias("f")).select(
+        "symbol", "n", F.col("f._o").alias("first_seq"), F.col("f.first").alias("first_pos")
     )
 
 
@@ -51,12 +58,14 @@ def symbol_table(sequences: DataFrame, column: str = "seq") -> DataFrame:
 
 
 def histogram(sequences: DataFrame, column: str = "seq") -> DataFrame:
-    """(code, symbol, n): counts of all 256 single bytes' symbols, zero where there are none."""
+    """(code, n): how often each of the 256 bytes occurs in the UTF-8 form of the upper-cased text
+    without white space, zero where it doesn't. The bytes of a symbol count with it."""
     clean = sequences.select(S.without_whitespace(S.ascii_upper(F.col(column))).alias("seq"))
-    counts = symbols(clean).groupBy(F.ascii("symbol").alias("code")).agg(F.count("*").alias("n"))
+    counts = symbol_counts(clean).groupBy("symbol").agg(F.sum("n").alias("n"))
+    pairs = F.regexp_extract_all(F.hex(F.encode("symbol", "UTF-8")), F.lit("(..)"), 1)
+    found = counts.select(F.explode(pairs).alias("hex"), "n").groupBy(F.conv("hex", 16, 10).cast("int").alias("code")).agg(F.sum("n").alias("n"))
     codes = sequences.sparkSession.range(256).select(F.col("id").cast("int").alias("code"))
-    # at most one row per code point: the domain is the left side and fixed
-    return codes.join(counts, "code", "left").select("code", F.char(F.col("code").cast("long")).alias("symbol"), F.coalesce("n", F.lit(0)).alias("n"))
+    return codes.join(found, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def record_lengths(records: DataFrame, header: str = "header", column: str = "seq", order: str = "seq_id") -> DataFrame:

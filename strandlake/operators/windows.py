@@ -5,6 +5,8 @@ stay integers until the last projection, so sums do not depend on the order of r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,8 +32,9 @@ def window_counts(sequences: DataFrame, window: int, step: int, column: str = "s
     return clean.select("seq_id", S.window_count(F.length("seq"), window, step).alias("windows"))
 
 
-def sliding_counts(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, win_idx, a, c, g, t): base counts of the full windows that start every ``step``.
+def sliding_counts(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id", total: bool = False) -> DataFrame:
+    """(seq_id, win_idx, a, c, g, t): base counts of the full windows that start every ``step``;
+    with ``total`` also how many windows the sequence has (``windows``).
 
     Each window is cut from its tile, whose size follows the window's."""
     if window < 1 or step < 1:
@@ -41,9 +44,11 @@ def sliding_counts(sequences: DataFrame, window: int, step: int, column: str = "
     cut = tiles(_bases(sequences, column, keep), window - 1, size)
     last = F.least(F.length("tile") - window, F.lit(size - 1))
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    at = cut.select("seq_id", "tile_off", "tile", F.explode(starts).alias("i"))
-    piece = at.select("seq_id", ((F.col("tile_off") + F.col("i")) / step).cast("long").alias("win_idx"), F.substr("tile", F.col("i") + 1, F.lit(window)).alias("w"))
-    return piece.select("seq_id", "win_idx", *(S.count_base(F.col("w"), b).alias(b.lower()) for b in S.BASES))
+    many = [S.window_count(F.col("n"), window, step).alias("windows")] if total else []
+    at = cut.select("seq_id", "tile_off", "tile", *many, F.explode(starts).alias("i"))
+    more = ["windows"] if total else []
+    piece = at.select("seq_id", *more, ((F.col("tile_off") + F.col("i")) / step).cast("long").alias("win_idx"), F.substr("tile", F.col("i") + 1, F.lit(window)).alias("w"))
+    return piece.select("seq_id", *more, "win_idx", *(S.count_base(F.col("w"), b).alias(b.lower()) for b in S.BASES))
 
 
 def sliding_frequencies(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
@@ -57,12 +62,10 @@ def downsampled(sequences: DataFrame, window: int, step: int, width: int, column
     neighbouring windows. Shares are sums over windows * window."""
     if width < 1:
         raise ValueError("width must be positive")
-    counts = sliding_counts(sequences, window, step, column, keep)
-    many = window_counts(sequences, window, step, column, keep)
-    per = F.greatest(F.ceil(F.col("windows") / F.lit(width)), F.lit(1)).alias("per")
-    joined = counts.join(many.select("seq_id", per), "seq_id")
-    bucket = F.floor(F.col("win_idx") / F.col("per")).alias("bucket")
-    return joined.groupBy("seq_id", bucket).agg(F.count("*").alias("windows"), *(F.sum(b).alias(b) for b in "acgt"))
+    counts = sliding_counts(sequences, window, step, column, keep, total=True)
+    per = F.greatest(F.ceil(F.col("windows") / F.lit(width)), F.lit(1))
+    bucket = F.floor(F.col("win_idx") / per).alias("bucket")
+    return counts.groupBy("seq_id", bucket).agg(F.count("*").alias("windows"), *(F.sum(b).alias(b) for b in "acgt"))
 
 
 def series(sequences: DataFrame, window: int, step: int, full: int = FULL_WINDOWS, points: int = CHART_POINTS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
@@ -84,21 +87,46 @@ def reduce_series(values: DataFrame, width: int, by: str = "seq_id", x: str = "x
     return values.withColumn("_b", bucket).groupBy(by, F.col("_b").alias(x)).agg(*(S.clamp01(F.avg(c)).alias(c) for c in columns))
 
 
+def _rolling(k: int, size: int) -> Column:
+    """An array of the G and C counts of the windows of ``k`` bases that start in a tile."""
+    last = F.least(F.length("tile") - k, F.lit(size - 1))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: S.gc_count(F.substr(F.col("tile"), i + 1, F.lit(k))))
+
+
 def rolling_gc(sequences: DataFrame, k: int = K, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, win_idx, gc): G and C in each window of k bases, stride 1."""
     cut = tiles(_bases(sequences, column, keep), k - 1)
-    last = F.least(F.length("tile") - k, F.lit(TILE - 1))
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    window = F.transform(starts, lambda i: F.struct(i.alias("i"), S.gc_count(F.substr(F.col("tile"), i + 1, F.lit(k))).alias("gc")))
-    at = cut.select("seq_id", "tile_off", F.explode(window).alias("w"))
-    return at.select("seq_id", (F.col("tile_off") + F.col("w.i")).alias("win_idx"), F.col("w.gc").alias("gc"))
+    at = cut.select("seq_id", "tile_off", F.posexplode(_rolling(k, TILE)).alias("i", "gc"))
+    return at.select("seq_id", (F.col("tile_off") + F.col("i")).alias("win_idx"), "gc")
+
+
+def _tile_for(windows_per_bin: int) -> int:
+    """A tile size that divides a bin, so that a tile's windows are all of one bin; 0 if there is
+    none worth it."""
+    return max((d for d in range(32, 2 * TILE + 1) if windows_per_bin % d == 0), default=0)
 
 
 def gc_bins(sequences: DataFrame, k: int = K, windows_per_bin: int = BIN_WINDOWS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, bin, sum_gc, min_gc, max_gc, n) over consecutive windows; the last may be short."""
-    rolling = rolling_gc(sequences, k, column, keep)
-    bin_ = F.floor(F.col("win_idx") / F.lit(windows_per_bin)).alias("bin")
-    return rolling.groupBy("seq_id", bin_).agg(F.sum("gc").alias("sum_gc"), F.min("gc").alias("min_gc"), F.max("gc").alias("max_gc"), F.count("*").alias("n"))
+    """(seq_id, bin, sum_gc, min_gc, max_gc, n) over consecutive windows; the last may be short.
+
+    A tile sums its own windows, so a row per tile is grouped and not a row per window."""
+    size = _tile_for(windows_per_bin)
+    if size:
+        cut = tiles(_bases(sequences, column, keep), k - 1, size).select("seq_id", "tile_off", _rolling(k, size).alias("gc"))
+        part = cut.where(F.size("gc") > 0).select(
+            "seq_id",
+            F.floor(F.col("tile_off") / F.lit(windows_per_bin)).alias("bin"),
+            F.aggregate("gc", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_gc"),
+            F.array_min("gc").alias("min_gc"),
+            F.array_max("gc").alias("max_gc"),
+            F.size("gc").cast("long").alias("n"),
+        )
+    else:
+        gc = F.col("gc")
+        bin_ = F.floor(F.col("win_idx") / F.lit(windows_per_bin)).alias("bin")
+        part = rolling_gc(sequences, k, column, keep).select("seq_id", bin_, gc.alias("sum_gc"), gc.alias("min_gc"), gc.alias("max_gc"), F.lit(1).cast("long").alias("n"))
+    return part.groupBy("seq_id", "bin").agg(*(f(c).alias(c) for f, c in ((F.sum, "sum_gc"), (F.min, "min_gc"), (F.max, "max_gc"), (F.sum, "n"))))
 
 
 def _linear(k: int, sodium: float | None) -> tuple[float, float]:
@@ -128,9 +156,8 @@ def merge_bins(bins: DataFrame, target: int = CHART_BINS) -> DataFrame:
     """Bins merged by neighbours so that a sequence has at most ``target``; fewer stay as they are."""
     if target < 1:
         raise ValueError("target must be positive")
-    many = bins.groupBy("seq_id").agg((F.max("bin") + 1).alias("bins"))
-    group = F.ceil(F.col("bins") / F.lit(target))
-    joined = bins.join(many, "seq_id").withColumn("bin", F.floor(F.col("bin") / group))
+    group = F.ceil((F.max("bin").over(W.partitionBy("seq_id")) + 1) / F.lit(target))
+    joined = bins.withColumn("_group", group).withColumn("bin", F.floor(F.col("bin") / F.col("_group")))
     merged = joined.groupBy("seq_id", "bin").agg(F.sum("sum_tm").alias("sum_tm"), F.min("min_tm").alias("min_tm"), F.max("max_tm").alias("max_tm"), F.sum("n").alias("n"))
     return merged.withColumn("mean_tm", F.coalesce(F.try_divide("sum_tm", "n"), F.lit(0.0)))
 
@@ -153,9 +180,11 @@ def parsed_thresholds(text: str) -> list[float]:
     out = []
     for part in text.split(","):
         try:
-            out.append(float(part.strip()))
+            value = float(part.strip())
         except ValueError:
             continue
+        if math.isfinite(value):
+            out.append(value)
     return out
 
 

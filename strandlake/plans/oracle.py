@@ -175,8 +175,8 @@ def oracle_sql() -> dict[str, str]:
                    row_number() OVER (ORDER BY CASE WHEN symbol BETWEEN 'A' AND 'Z' THEN 0 ELSE 1 END, ascii(symbol)) AS ord
             FROM c WHERE length(symbol) = 1 AND ascii(symbol) BETWEEN 33 AND 126""",
         "byte_histogram": f"""WITH u AS (SELECT {shown} AS t FROM documents), ch AS (SELECT unnest(string_split(t, '')) AS symbol FROM u WHERE length(t) > 0),
-            c AS (SELECT unicode(symbol) AS code, count(*) AS n FROM ch GROUP BY 1)
-            SELECT range::INTEGER AS code, coalesce(n, 0)::BIGINT AS n FROM range(256) LEFT JOIN c ON code = range""",
+            b AS (SELECT hex(encode(symbol)) AS h, count(*) AS n FROM ch GROUP BY 1), c AS (SELECT substr(h, i + 1, 2) AS byte, n FROM (SELECT h, n, unnest(range(0, length(h), 2)) AS i FROM b))
+            SELECT range::INTEGER AS code, coalesce(sum(n), 0)::BIGINT AS n FROM range(256) LEFT JOIN c ON ('0x' || byte)::INTEGER = range GROUP BY 1""",
         "record_stats": f"WITH {records} SELECT seq_id, {header} AS header, len FROM recs",
         "fasta_summary": f"""WITH {records} SELECT sum(len)::BIGINT AS total_len, count(*) AS record_count,
             (SELECT {header} FROM recs WHERE {header} <> '' ORDER BY seq_id LIMIT 1) AS header_preview FROM recs""",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions.genetic_code import with_nutrition
 from ..operators import kmers, orfs, reads, symbols, windows
+from ..operators.tiles import spread
 
 #: Prose leaves short runs of bases, so reading frames are accepted from here on.
 MIN_LEN = 30
@@ -20,9 +21,8 @@ READ_K = 12
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        F.col("doc_id").alias("seq_id"), F.col("source").alias("header"), F.col("text").alias("seq"), "lang"
-    )
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "lang"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.col("source").alias("header"), F.col("text").alias("seq"), "lang")
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,7 @@ def _rna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rna = _rna(spark, sf_dir)
-    return orfs.orf_sequences(rna, MIN_LEN).join(rna.select("seq_id", "lang"), "seq_id")
+    return orfs.orf_sequences(_rna(spark, sf_dir), MIN_LEN, keep=("seq_id", "lang"))
 
 
 def orf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

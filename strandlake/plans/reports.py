@@ -45,8 +45,7 @@ def codon_comparison(labelled: DataFrame, first: str, second: str, min_len: int
     codons of each, those common to both, and the three most frequent amino acids."""
     joined = fasta.concatenated(labelled, ("genome",)).withColumn("seq_id", F.lit(0).cast("long"))
     rna = orfs.rna_of(joined, keep=("genome", "seq_id"))
-    # a genome is a sequence here, so its label takes the place of an id
-    found = orfs.orf_sequences(rna.select(F.col("genome").alias("seq_id"), "rna"), min_len).withColumn("genome", F.col("seq_id"))
+    found = orfs.orf_sequences(rna, min_len, keep=("genome", "seq_id"))
     usage = orfs.codon_usage(found, ("genome",))
     top = orfs.top_codons(usage, 10, ("genome",))
     acids = orfs.top_amino_acids(orfs.amino_acids(usage, ("genome",)), 3, ("genome",))
