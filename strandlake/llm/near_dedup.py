@@ -18,8 +18,8 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    copies yields a spanning tree and not all its pairs.
 5. Survivors are confirmed on the words of both texts and components built from confirmed
    links. Where a guess of step 4 proves wrong, it may have hidden another link: that group is
-   screened again with all its members, for pairs from different components that were not tried,
-   and with ever more of them at once, until no guess fails.
+   screened again without guesses, which finds the members near to one of another component, and
+   their texts go to one task, which compares them all word by word. No further round is needed.
 6. Each bucket is sliced in its own way, so the slices of a large group of copies, which meets in
    many buckets, are joined by then at linear cost. Only buckets that still have several
    components are compared across slices, in pairs of slices, each a unit of bounded size.
@@ -28,7 +28,7 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,9 @@ OFFSETS = (0, 1, 3, 6)
 BLOCK = 512
 #: Pairs to confirm, and members of reopened groups, that a task has on average.
 PAIRS = 5_000
-MEMBERS = 10_000
+MEMBERS = 2_000
+#: Bytes of text whose shingles are numbered at once when a group is compared whole.
+TEXT_BYTES = 4_000_000
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -116,24 +118,69 @@ def sketch(members: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def common_shingles(a: list[bytes], b: list[bytes], width: int) -> tuple[int, int, int]:
-    """(distinct shingles of a, of b, of both), exactly: words are numbered, and runs of words
-    by the pairs of numbers they are made of, so no hash is involved."""
-    if len(a) < width or len(b) < width:
-        # a short text's one shingle is its whole sequence
-        sizes = [len(set(zip(*(x[i:] for i in range(width))))) or min(1, len(x)) for x in (a, b)]
-        return sizes[0], sizes[1], int(a == b and len(a) > 0)
+def numbered(bodies: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of the distinct shingles of each list of words, by document, exactly:
+    words are numbered, and runs of words by the pairs of numbers they are made of, so no hash is
+    involved. A short text's one shingle is its whole sequence."""
     names: dict[bytes, int] = {}
-    words = np.array([names.setdefault(w, len(names)) for w in (*a, *b)], dtype=np.int64)
+    words = np.array([names.setdefault(w, len(names)) for body in bodies for w in body], dtype=np.int64)
+    owner = np.repeat(np.arange(len(bodies)), [len(body) for body in bodies])
     runs = words
     for i in range(1, width):
-        now = runs[: len(words) - i] * len(names) + words[i:]
-        runs = np.unique(now, return_inverse=True)[1]
-    n = len(a) - width + 1
-    left, right = np.unique(runs[:n]), np.unique(runs[len(a) :])
+        runs = np.unique(runs[: len(words) - i] * len(names) + words[i:], return_inverse=True)[1]
+    n = max(0, len(words) - width + 1)
+    whole = np.flatnonzero(owner[:n] == owner[len(owner) - n :])
+    doc, shingle = [owner[whole]], [runs[whole]]
+    short: dict[tuple, int] = {}
+    for i, body in enumerate(bodies):
+        if 0 < len(body) < width:
+            doc.append(np.array([i]))
+            shingle.append(np.array([len(words) + short.setdefault(tuple(body), len(short))]))
+    span = 2 * len(words) + 1
+    both = np.unique(np.concatenate(doc) * span + np.concatenate(shingle))
+    return both // span, both % span
+
+
+def common_shingles(a: list[bytes], b: list[bytes], width: int) -> tuple[int, int, int]:
+    """(distinct shingles of a, of b, of both), exactly."""
+    doc, shingle = numbered([a, b], width)
+    left, right = shingle[doc == 0], shingle[doc == 1]
     return len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))
 
 
+def linked_members(ids: list[int], labels: np.ndarray, bodies: list[list[bytes]], width: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (pairs of ids) of the links between members of different components.
+
+    Every pair is compared exactly; texts are numbered in blocks of TEXT_BYTES, two at a time."""
+    label, out = labels.copy(), []
+    size = np.cumsum([sum(map(len, body)) + 2 * len(body) for body in bodies])
+    block = (size - size[0]) // TEXT_BYTES
+    blocks = [np.flatnonzero(block == x) for x in np.unique(block)]
+    for p, first in enumerate(blocks):
+        for second in blocks[p:]:
+            rows = first if first is second else np.concatenate([first, second])
+            if (label[rows] == label[rows[0]]).all():
+                continue
+            doc, shingle = numbered([bodies[r] for r in rows], width)
+            n = np.bincount(doc, minlength=len(rows))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            mine = np.zeros(shingle.max() + 1, dtype=bool)
+            for i in range(len(first)):
+                apart = label[rows] != label[rows[i]]
+                apart[: i + 1 if first is second else len(first)] = False
+                if not apart.any():
+                    continue
+                mine[shingle[cuts[i] : cuts[i + 1]]] = True
+                both = np.bincount(doc[mine[shingle]], minlength=len(rows))
+                mine[shingle[cuts[i] : cuts[i + 1]]] = False
+                for j in np.flatnonzero(apart & (both > 0) & (100 * both >= percent * (n[i] + n - both))).tolist():
+                    x, y = rows[i], rows[j]
+                    if label[x] != label[y]:
+                        out.append((ids[x], ids[y]))
+                        label[label == label[y]] = label[x]
+    return out
+
+
 def _compared(width: int, percent: int):
     """(x, y, linked) of pairs of texts (x, y, tx, ty), by their words."""
 
@@ -154,18 +201,13 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def survivors(
-    ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], tried: list, halves: np.ndarray | None, percent: int, tries: int
-) -> list[tuple[int, int, int]]:
-    """(i, j, component) of pairs of one bucket that may be links.
+def _screened(
+    ids: np.ndarray, label: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], halves: np.ndarray | None, percent: int
+) -> Iterator[tuple[int, list[int]]]:
+    """(i, later members of another label that may be linked to it) for each member of a bucket.
 
-    With ``tries`` 0 a pair links its labels at once, and the pairs are a spanning tree of the
-    components so guessed; else each member gives up to ``tries`` pairs for each other label.
-    ``halves``: if given, only pairs from different halves count. ``tried``: for each member
-    the ids it has been compared with and found too different. Components are -1 where their
-    two members leave no other pair."""
-    out: list[tuple[int, int]] = []
-    label = labels.copy()
+    ``halves``: if given, only pairs from different halves count. The caller may change ``label``
+    between members."""
     words = np.array([len(b) for b in bits])
     at_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -185,8 +227,6 @@ def survivors(
             keep &= halves[other] != halves[i]
         small, large = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
         other = other[keep & (100 * small >= percent * large)]
-        if tried[i] is not None and len(other):
-            other = other[~np.isin(ids[other], tried[i])]
         found = []
         for width in {int(w) for w in np.minimum(words[other], words[i])}:
             mine = other[np.minimum(words[other], words[i]) == width]
@@ -194,67 +234,126 @@ def survivors(
             far = np.bitwise_count(table[place[mine]] ^ _folded(bits[i], width)).sum(axis=1, dtype=np.int64)
             # difference <= (100 - percent) / (100 + percent) * (both sizes) exactly where linked
             found.append(mine[(100 + percent) * far <= (100 - percent) * (sizes[mine] + sizes[i])])
-        given: dict[int, int] = {}
-        for j in np.sort(np.concatenate(found)).tolist() if found else ():
-            if tries:
-                given[label[j]] = given.get(label[j], 0) + 1
-                if given[label[j]] <= tries:
-                    out.append((i, j))
-            elif label[j] != label[i]:
+        if found:
+            yield i, np.sort(np.concatenate(found)).tolist()
+
+
+def survivors(
+    ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], halves: np.ndarray | None, percent: int
+) -> list[tuple[int, int, int]]:
+    """(i, j, component) of pairs of one bucket that may be links: a spanning tree of each
+    component, if all are. Components are -1 where their two members leave no other pair."""
+    out: list[tuple[int, int]] = []
+    label = labels.copy()
+    for i, near in _screened(ids, label, sizes, bits, halves, percent):
+        for j in near:
+            if label[j] != label[i]:
                 out.append((i, j))
                 label[label == label[j]] = label[i]
-    if tries:
-        return [(i, j, 0) for i, j in out]
     root, size = np.unique(label, return_counts=True)
     big = set(root[size > 2].tolist())
     return [(i, j, int(label[i]) if label[i] in big else -1) for i, j in out]
 
 
-def _screen(percent: int, tries: int):
-    """Over partitions sorted by bucket and block pair: (x, y, g) of each group's survivors; g
-    numbers the guessed component, null where it can hide no pair; with ``tries`` it is the key.
+_UNIT = ("key", "p", "q")
+
 
-    Only the group at hand is held; its size is bounded by two blocks."""
+def _by_unit(function: Callable[[pa.Table], pa.RecordBatch], unit: tuple[str, ...] = _UNIT):
+    """``function`` over whole units, of partitions that are sorted by them. Only the unit at hand
+    is held; its size is bounded by two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
-            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [key.shape[1]]])
-            ids, labels, sizes, half = (table.column(c).to_numpy() for c in ("id", "label", "n", "half"))
-            tried, bits = table.column("tried").to_pylist(), table.column("sketch").to_pylist()
-            x, y, g = [], [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi - lo > 1 and (labels[lo:hi] != labels[lo]).any():
-                    each = [np.frombuffer(b, np.uint64) for b in bits[lo:hi]]
-                    split = half[lo:hi] if key[1, lo] != key[2, lo] else None
-                    for i, j, part in survivors(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, tried[lo:hi], split, percent, tries):
-                        x.append(ids[lo + i])
-                        y.append(ids[lo + j])
-                        g.append(int(key[0, lo]) if tries else None if part == -1 else hash((*key[:, lo].tolist(), part)))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(g, pa.int64())], ["x", "y", "g"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("key", "p", "q"))
-            same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in zip(("key", "p", "q"), last)])
-            # rows of the last group start here
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in unit)
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in zip(unit, last)])
+            # rows of the last unit start here
             start = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
             if start:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                yield function(pa.Table.from_batches([*held, batch.slice(0, start)]))
                 held = []
-            elif held and tuple(held[-1].column(c)[0].as_py() for c in ("key", "p", "q")) != last:
-                yield pairs(pa.Table.from_batches(held))
+            elif held and tuple(held[-1].column(c)[0].as_py() for c in unit) != last:
+                yield function(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(start))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield function(pa.Table.from_batches(held))
 
     return run
 
 
+def _units(table: pa.Table, unit: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """The first row of each unit and the row after its last, of units of several components."""
+    key = np.stack([table.column(c).to_numpy() for c in unit])
+    labels = table.column("label").to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [key.shape[1]]])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if hi - lo > 1 and (labels[lo:hi] != labels[lo]).any():
+            yield lo, hi
+
+
+def _longs_of(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], list(columns))
+
+
+def _guessed(percent: int):
+    """(x, y, g) of each unit's survivors; g numbers the guessed component, null where it can hide
+    no pair."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table.column(c).to_numpy() for c in _UNIT])
+        ids, labels, sizes, half = (table.column(c).to_numpy() for c in ("id", "label", "n", "half"))
+        bits = table.column("sketch").to_pylist()
+        out: dict[str, list] = {"x": [], "y": [], "g": []}
+        for lo, hi in _units(table, _UNIT):
+            each = [np.frombuffer(b, np.uint64) for b in bits[lo:hi]]
+            split = half[lo:hi] if key[1, lo] != key[2, lo] else None
+            for i, j, part in survivors(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, split, percent):
+                out["x"].append(ids[lo + i])
+                out["y"].append(ids[lo + j])
+                out["g"].append(None if part == -1 else hash((*key[:, lo].tolist(), part)))
+        return _longs_of(out)
+
+    return _by_unit(pairs)
+
+
+def _unsettled(percent: int):
+    """(g, id) of the members of reopened groups that may be linked to another component."""
+
+    def members(table: pa.Table) -> pa.RecordBatch:
+        group, ids, labels, sizes = (table.column(c).to_numpy() for c in ("g", "id", "label", "n"))
+        bits = table.column("sketch").to_pylist()
+        out: dict[str, list] = {"g": [], "id": []}
+        for lo, hi in _units(table, ("g",)):
+            each = [np.frombuffer(b, np.uint64) for b in bits[lo:hi]]
+            near: set[int] = set()
+            for i, others in _screened(ids[lo:hi], labels[lo:hi], sizes[lo:hi], each, None, percent):
+                if others:
+                    near.update((i, *others))
+            for i in sorted(near):
+                out["g"].append(group[lo])
+                out["id"].append(ids[lo + i])
+        return _longs_of(out)
+
+    return _by_unit(members, ("g",))
+
+
+def _settled(width: int, percent: int):
+    """(x, y) of the links between the components of each group, by the words of its texts."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        ids, labels = table.column("id").to_pylist(), table.column("label").to_numpy()
+        out: list[tuple[int, int]] = []
+        for lo, hi in _units(table, ("g",)):
+            bodies = [(t or "").encode().lower().split() for t in table.column("text").slice(lo, hi - lo).to_pylist()]
+            out += linked_members(ids[lo:hi], labels[lo:hi], bodies, width, percent)
+        return _longs_of({"x": [x for x, _ in out], "y": [y for _, y in out]})
+
+    return _by_unit(links, ("g",))
+
+
 def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
     """(key, id, half, slices): the members of buckets with several classes, each in a slice."""
     partners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + d) % side).alias("j")) for i in range(side) for d in OFFSETS))
@@ -315,40 +414,44 @@ class _Links:
         each = map_arrow(both.select("x", "y", "tx", "ty"), _compared(self.width, self.percent), "x long, y long, linked boolean")
         return materialize(each.repartition(n, "x", "y").groupBy("x", "y").agg(F.max("linked").alias("linked")), "judged")
 
+    def _add(self, links: DataFrame) -> None:
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.roots = materialize(components(self.links), "roots")
+
     def search(self, units: DataFrame) -> None:
         """Add the links inside ``units`` (key, p, q, half, id) that components don't imply."""
-        tries, failed, groups = 0, None, None
-        rows = self.labelled(units).withColumn("tried", F.lit(None).cast("array<long>"))
         ship(units.sparkSession)
-        while True:
-            ready = rows.join(self.sketches, "id").select("key", "p", "q", "id", "half", "label", "n", "sketch", "tried")
-            dealt = ready.repartition("key", "p", "q") if groups is None else ready.repartition(tasks(groups, MEMBERS), "key", "p", "q")
-            ready = dealt.sortWithinPartitions("key", "p", "q", "id")
-            found = materialize(ready.mapInArrow(_screen(self.percent, tries), "x long, y long, g long"), "pairs")
-            if found.isEmpty():
-                return
-            judged = self._judged(found)
-            good = judged.where("linked").select("x", "y")
-            self.links = good if self.links is None else self.links.unionByName(good)
-            self.roots = materialize(components(self.links), "roots")
-            # what a group tried in vain; a group is a part of one unit, so its list is bounded
-            wrong = materialize(found.where("g is not null").join(judged.where("not linked"), ["x", "y"]).select("g", "x", "y"), "wrong")
-            if wrong.isEmpty():
-                return
-            failed = wrong if failed is None else failed.unionByName(wrong)
-            told = failed.select("g", F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("o")), F.struct(F.col("y").alias("id"), F.col("x").alias("o")))).alias("f"))
-            n = tasks(failed, MEMBERS)
-            told = told.select(F.col("g").alias("key"), "f.id", "f.o").repartition(n, "key", "id").groupBy("key", "id").agg(F.collect_set("o").alias("tried"))
-            open_ = wrong.select("g").repartition(n, "g").distinct()
-            # at first the pairs span the group; later a member without a pair may still have untried ones
-            if groups is None:
-                again = found.join(open_, "g").select(F.col("g").alias("key"), F.explode(F.array("x", "y")).alias("id")).repartition(n, "key", "id").distinct()
-            else:
-                again = groups.join(open_.withColumnRenamed("g", "key"), "key", "left_semi")
-            groups = materialize(again, "groups")
-            zero = F.lit(0).cast("long")
-            rows = self.labelled(groups).join(told, ["key", "id"], "left").select("key", zero.alias("p"), zero.alias("q"), zero.alias("half"), "id", "label", "tried")
-            tries = 8 if tries == 0 else 4 * tries
+        ready = self.labelled(units).join(self.sketches, "id").select(*_UNIT, "id", "half", "label", "n", "sketch")
+        dealt = ready.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "id")
+        found = materialize(dealt.mapInArrow(_guessed(self.percent), "x long, y long, g long"), "pairs")
+        if found.isEmpty():
+            return
+        judged = self._judged(found)
+        self._add(judged.where("linked").select("x", "y"))
+        wrong = found.where("g is not null").join(judged.where("not linked"), ["x", "y"]).select("g").distinct()
+        ends = found.join(wrong, "g").select("g", F.explode(F.array("x", "y")).alias("id")).distinct()
+        groups = materialize(self.labelled(ends), "groups")
+        if not groups.isEmpty():
+            self._settle(groups)
+
+    def _settle(self, groups: DataFrame) -> None:
+        """Add the links between different components inside ``groups`` (g, id, label)."""
+        n = tasks(groups, MEMBERS)
+        several = groups.repartition(n, "g").groupBy("g").agg(
+            F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"),
+            F.min("label").alias("a"), F.max("label").alias("b"),
+        )
+        # groups with the same members need one look
+        once = several.where("a < b").groupBy("size", "lo", "hi", "who").agg(F.min("g").alias("g")).select("g")
+        again = groups.join(once, "g").join(self.sketches, "id").select("g", "id", "label", "n", "sketch")
+        again = again.repartition(n, "g").sortWithinPartitions("g", "id")
+        near = materialize(again.mapInArrow(_unsettled(self.percent), "g long, id long").distinct(), "near")
+        if near.isEmpty():
+            return
+        n = tasks(near, MEMBERS)
+        texts = self.labelled(near).join(self.texts.withColumnRenamed("k", "id"), "id").select("g", "id", "label", "text")
+        whole = texts.repartition(n, "g").sortWithinPartitions("g", "id")
+        self._add(materialize(whole.mapInArrow(_settled(self.width, self.percent), "x long, y long"), "settled"))
 
     def several(self, members: DataFrame) -> DataFrame:
         """``members`` with labels, of the buckets that still have several components."""
@@ -381,8 +484,8 @@ def near_dedup(
         filled.join(classes.withColumnRenamed("id", "k"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k", "d1", "d2"]).withColumnRenamed("k", "id"), "representatives"
     )
     members = materialize(_buckets(reps, side, block), "members")
-    # whatever may be compared, read from the documents once
-    texts = materialize(base.join(members.select(F.col("id").alias("k")).distinct(), "k", "left_semi"), "texts")
+    # whatever may be compared, read from the documents once; the list of ids grows with them
+    texts = materialize(base.join(members.select(F.col("id").alias("k")).distinct().hint("merge"), "k", "left_semi"), "texts")
     links = _Links(texts, reps.select("id", "n", "sketch"), width, percent)
     links.search(_within(members))
     apart = links.several(members.where("slices > 1"))

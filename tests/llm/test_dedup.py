@@ -273,3 +273,30 @@ def test_large_groups_of_near_copies(docs_of):
     rows += [(100 + i, " ".join([*base[:30], *[f"h{n}" for n in range(70)], f"e{i}"])) for i in range(25)]
     got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_dedup(docs_of(rows), block=6).collect()}
     assert got == near_by_hand(rows)
+
+
+@pytest.mark.parametrize("size", [1, 400, 10**6])
+def test_linked_members_join_what_exact_sets_link(monkeypatch, size):
+    """Groups compared whole, in blocks of texts: a forest with the components of all links."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "TEXT_BYTES", size)
+    rng = random.Random(5)
+    bodies, base = [], [f"b{i}" for i in range(60)]
+    for i in range(40):
+        base[rng.randrange(60)] = f"n{i}"
+        bodies.append(list(base) if i % 7 else ["x"] * (i // 14 + 1))
+    # members 3, 4 and 5 count as linked before
+    labels = np.array([3 if i in (4, 5) else i for i in range(40)])
+    forest = near_dedup.linked_members(list(range(40)), labels, [[w.encode() for w in b] for b in bodies], 5, 85)
+    sets = [{tuple(b[i : i + 5]) for i in range(len(b) - 4)} or {tuple(b)} for b in bodies]
+    links = {(i, j) for j in range(40) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+
+    def parts(edges):
+        up = labels.copy()
+        for i, j in edges:
+            up[up == up[j]] = up[i]
+        return {frozenset(np.flatnonzero(up == r).tolist()) for r in up}
+
+    assert {tuple(sorted(e)) for e in forest} <= links and parts(forest) == parts(links)
+    assert len(forest) == len(set(labels.tolist())) - len(parts(links))
