@@ -4,14 +4,7 @@ from __future__ import annotations
 
 import string
 
-from ..functions.genetic_code import (
-    AMINO_ACID_NAMES,
-    DEFAULT_LOW,
-    DEFAULT_RICH,
-    GENETIC_CODE,
-    LOW_FOODS,
-    RICH_FOODS,
-)
+from ..functions.genetic_code import GENETIC_CODE, NUTRITION, NUTRITION_DEFAULT
 
 _LOW, _UP = string.ascii_lowercase, string.ascii_uppercase
 
@@ -147,9 +140,9 @@ _ASSEMBLED = f"""WITH RECURSIVE {_SAMPLED},
            any_value((SELECT count(*) FROM un WHERE un.id = back.id)) AS reads FROM back GROUP BY 1"""
 
 
-def _foods(table: dict[str, list[str]], default: list[str]) -> str:
-    cases = " ".join(f"WHEN '{aa}' THEN '{'; '.join(foods)}'" for aa, foods in table.items())
-    return f"CASE aa {cases} ELSE '{'; '.join(default)}' END"
+def _foods(which: str) -> str:
+    cases = " ".join(f"WHEN '{aa}' THEN '{'; '.join(known[which])}'" for aa, known in NUTRITION.items())
+    return f"CASE aa {cases} ELSE '{'; '.join(NUTRITION_DEFAULT[which])}' END"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -211,8 +204,8 @@ def oracle_sql() -> dict[str, str]:
         "aa_usage": f"WITH {_USAGE} SELECT aa, sum(n)::BIGINT AS n FROM acids GROUP BY 1",
         "top_aa": f"WITH {_USAGE} SELECT lang, rank, aa, n FROM topaa WHERE rank <= 3",
         "aa_nutrition": f"""WITH {_USAGE} SELECT aa, sum(n)::BIGINT AS n,
-            any_value(CASE aa {' '.join(f"WHEN '{a}' THEN '{x}'" for a, x in AMINO_ACID_NAMES.items())} ELSE aa END) AS name,
-            any_value({_foods(LOW_FOODS, DEFAULT_LOW)}) AS low_foods, any_value({_foods(RICH_FOODS, DEFAULT_RICH)}) AS rich_foods FROM acids GROUP BY 1""",
+            any_value(CASE aa {' '.join(f"WHEN '{a}' THEN '{known['name']}'" for a, known in NUTRITION.items())} ELSE aa END) AS name,
+            any_value({_foods('low_foods')}) AS low_foods, any_value({_foods('rich_foods')}) AS rich_foods FROM acids GROUP BY 1""",
         "top_aa_union": f"""WITH {_USAGE}, o AS (SELECT aa, min((CASE lang WHEN 'en' THEN 0 ELSE 10 END) + rank) AS o FROM topaa
             WHERE rank <= 3 AND lang IN ('en', 'fr') GROUP BY 1) SELECT aa, row_number() OVER (ORDER BY o) AS ord FROM o""",
         "first_orf": f'WITH {_FIRST} SELECT seq_id, "start", "end" FROM bounds',

@@ -11,15 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..functions.genetic_code import (
-    AMINO_ACID_NAMES,
-    DEFAULT_LOW,
-    DEFAULT_LOW_IN_SUMMARY,
-    DEFAULT_RICH,
-    LOW_FOODS,
-    NUTRITION_SOURCES,
-    RICH_FOODS,
-)
+from ..functions.genetic_code import NUTRITION_SOURCES, nutrition_of
 
 PROTEIN_WIDTH = 60
 DNA_WIDTH = 70
@@ -47,40 +39,42 @@ def write_reads(reads: DataFrame, path: str) -> None:
 def nutrition_json(first: list[str], second: list[str], names: tuple[str, str] = ("sars_cov_2", "influenza")) -> str:
     """The report on two lists of amino acids, first list first."""
     every = list(dict.fromkeys([*first, *second]))
-    details = {
-        aa: {"name": AMINO_ACID_NAMES.get(aa, aa), "low_foods": LOW_FOODS.get(aa, DEFAULT_LOW), "rich_foods": RICH_FOODS.get(aa, DEFAULT_RICH)}
-        for aa in every
-    }
+    details = {aa: {k: nutrition_of(aa)[k] for k in ("name", "low_foods", "rich_foods")} for aa in every}
     return json.dumps({"sources": NUTRITION_SOURCES, "top_amino_acids": dict(zip(names, (first, second))), "amino_acids": details}, indent=2)
 
 
 def nutrition_markdown(first: list[str], second: list[str], titles: tuple[str, str] = ("SARS-CoV-2", "Influenza")) -> str:
     def named(aas: list[str]) -> str:
-        return ", ".join(f"{aa} ({AMINO_ACID_NAMES.get(aa, aa)})" for aa in aas)
+        return ", ".join(f"{aa} ({nutrition_of(aa)['name']})" for aa in aas)
 
     blocks = ["# Amino-acid Nutrition Summary\n"]
     blocks += [f"**Top-3 ({title}):** {named(aas)}" for title, aas in zip(titles, (first, second))]
     blocks.append("\n## Foods guidance (examples)\n")
     for aa in dict.fromkeys([*first, *second]):
-        low, rich = LOW_FOODS.get(aa, DEFAULT_LOW_IN_SUMMARY), RICH_FOODS.get(aa, DEFAULT_RICH)
-        blocks += [f"### {aa} — {AMINO_ACID_NAMES.get(aa, aa)}", f"- Low in: {', '.join(low)}", f"- Rich in: {', '.join(rich)}\n"]
+        known = nutrition_of(aa)
+        low = known.get("low_foods_in_summary", known["low_foods"])
+        blocks += [f"### {aa} — {known['name']}", f"- Low in: {', '.join(low)}", f"- Rich in: {', '.join(known['rich_foods'])}\n"]
     return "\n".join([*blocks, f"**Sources:** {'; '.join(NUTRITION_SOURCES)}\n"])
 
 
+#: The lines of the report.
+ASSEMBLY_REPORT = """\
+=== Assembly Report (Exercise 1) ===
+Reference length: {ref_len}
+Reads: {reads} (len {min_len}–{max_len})
+Greedy min-overlap k: {k}
+Assembled contig length: {contig_len}
+Reference ⊂ Contig? {ref_in_contig}
+Contig ⊂ Reference? {contig_in_ref}
+Best shift (ref vs contig): {shift}
+Crude identity at best shift: {identity:.4f}
+"""
+
+
 def assembly_report(row: dict) -> str:
     """The text report of one assembly (see ``plans.assembly``)."""
-    yes = {True: "YES", False: "NO"}
-    facts = [
-        ("Reference length", row["ref_len"]),
-        ("Reads", f"{row['reads']} (len {row['min_len']}–{row['max_len']})"),
-        ("Greedy min-overlap k", row["k"]),
-        ("Assembled contig length", row["contig_len"]),
-        ("Reference ⊂ Contig?", yes[row["ref_in_contig"]]),
-        ("Contig ⊂ Reference?", yes[row["contig_in_ref"]]),
-        ("Best shift (ref vs contig)", row["shift"]),
-        ("Crude identity at best shift", f"{row['identity']:.4f}"),
-    ]
-    return "".join(f"{name}{'' if name.endswith('?') else ':'} {value}\n" for name, value in facts)
+    yes = {k: "YES" if row[k] else "NO" for k in ("ref_in_contig", "contig_in_ref")}
+    return ASSEMBLY_REPORT.format(**{**row, **yes})
 
 
 LIMITATIONS = """\

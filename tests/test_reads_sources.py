@@ -79,6 +79,7 @@ def test_sinks(spark, path, tmp_path):
     assert told["amino_acids"]["A"]["low_foods"] == ["Fruits", "Oils/fats"] and told["top_amino_acids"]["influenza"] == ["S"]
     assert "- Low in: Fruits, Oils\n" in sinks.nutrition_markdown(["A"], [])
     facts = dict(ref_len=9, reads=2, min_len=1, max_len=3, k=2, contig_len=5, ref_in_contig=False, contig_in_ref=True, shift=1, identity=0.5)
+    assert sinks.assembly_report(facts).startswith("=== Assembly Report (Exercise 1) ===\nReference length: ")
     assert "Contig ⊂ Reference? YES" in sinks.assembly_report(facts) and "0.5000" in sinks.assembly_report(facts)
 
 
