@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, tasks
+from .common import materialize, released, ship, tasks
 
 #: Edges a task has at most on average.
 EDGES = 100_000
@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     ship(edges.sparkSession)
     linked = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
     n = tasks(linked, EDGES)
-    now = materialize(linked.mapInArrow(_contracted, "u long, v long").repartition(n, "u").distinct(), "links")
+    now = materialize(linked.mapInArrow(released(_contracted), "u long, v long").repartition(n, "u").distinct(), "links")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

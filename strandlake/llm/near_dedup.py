@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, map_arrow, materialize, ship, tasks
+from .common import id_back, id_key, map_arrow, materialize, released, ship, tasks
 from .components import components
 from .texthash import Chunk, chunks, grams, mix
 
@@ -423,7 +423,7 @@ class _Links:
         ship(units.sparkSession)
         ready = self.labelled(units).join(self.sketches, "id").select(*_UNIT, "id", "half", "label", "n", "sketch")
         dealt = ready.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "id")
-        found = materialize(dealt.mapInArrow(_guessed(self.percent), "x long, y long, g long"), "pairs")
+        found = materialize(dealt.mapInArrow(released(_guessed(self.percent)), "x long, y long, g long"), "pairs")
         if found.isEmpty():
             return
         judged = self._judged(found)
@@ -445,13 +445,13 @@ class _Links:
         once = several.where("a < b").groupBy("size", "lo", "hi", "who").agg(F.min("g").alias("g")).select("g")
         again = groups.join(once, "g").join(self.sketches, "id").select("g", "id", "label", "n", "sketch")
         again = again.repartition(n, "g").sortWithinPartitions("g", "id")
-        near = materialize(again.mapInArrow(_unsettled(self.percent), "g long, id long").distinct(), "near")
+        near = materialize(again.mapInArrow(released(_unsettled(self.percent)), "g long, id long").distinct(), "near")
         if near.isEmpty():
             return
         n = tasks(near, MEMBERS)
         texts = self.labelled(near).join(self.texts.withColumnRenamed("k", "id"), "id").select("g", "id", "label", "text")
         whole = texts.repartition(n, "g").sortWithinPartitions("g", "id")
-        self._add(materialize(whole.mapInArrow(_settled(self.width, self.percent), "x long, y long"), "settled"))
+        self._add(materialize(whole.mapInArrow(released(_settled(self.width, self.percent)), "x long, y long"), "settled"))
 
     def several(self, members: DataFrame) -> DataFrame:
         """``members`` with labels, of the buckets that still have several components."""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_key, ship
+from .common import NO_ID, id_key, released, ship
 
 #: The id that ends each document.
 END = 2
@@ -308,7 +308,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
 
     ship(docs.sparkSession)
     bears = F.lit(True) if trained is None else F.coalesce(F.col(trained).cast("boolean"), F.lit(False))
-    return docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"), bears.alias("bears")).mapInArrow(run, SCHEMA)
+    return docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"), bears.alias("bears")).mapInArrow(released(run), SCHEMA)
 
 
 def padding(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
