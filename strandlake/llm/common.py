@@ -126,14 +126,32 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function``, after which a task gives unused memory back to the system: its worker stays
-    for other tasks, and what it once needed would count against the executor for good."""
+#: What tasks of one kind remember in their worker for the next one, by that kind.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(kind: str) -> dict:
+    """This worker's memory for tasks of a kind; it lasts until a task of another kind comes."""
+    return _remembered.setdefault(kind, {})
+
+
+def forget(but: str | None) -> None:
+    """Drop what tasks of other kinds than ``but`` remember in this worker."""
+    for kind in [k for k in _remembered if k != but]:
+        del _remembered[kind]
+
+
+def released(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, around which a task drops what is remembered in its worker but for its own
+    ``kind``, and after which it gives unused memory back to the system: the worker stays for
+    other tasks, and what it once needed would count against the executor for good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(kind)
         try:
             yield from function(batches)
         finally:
+            forget(kind)
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
             if trim is not None:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_key, released, ship
+from .common import NO_ID, id_key, released, remembered, ship
 
 #: The id that ends each document.
 END = 2
@@ -107,14 +107,16 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)) + _END, dtype="<u4") for words in split]
 
 
-_known: dict[str, WordIds] = {}
+#: The kind of task that remembers words; see ``common.released``.
+KIND = "packing"
 
 
 def word_ids(path: str) -> WordIds:
-    """One cache for all tasks of a worker process."""
-    if path not in _known:
-        _known[path] = WordIds(path)
-    return _known[path]
+    """One cache for all tasks of a worker process, as long as it packs."""
+    known = remembered(KIND)
+    if path not in known:
+        known[path] = WordIds(path)
+    return known[path]
 
 
 class Packer:
@@ -308,7 +310,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), window: int
 
     ship(docs.sparkSession)
     bears = F.lit(True) if trained is None else F.coalesce(F.col(trained).cast("boolean"), F.lit(False))
-    return docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"), bears.alias("bears")).mapInArrow(released(run), SCHEMA)
+    return docs.select(id_key().alias("k"), F.col("text").cast("string").alias("text"), bears.alias("bears")).mapInArrow(released(run, KIND), SCHEMA)
 
 
 def padding(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, in_fold, map_arrow, materialize, sampled, ship
+from .common import id_back, id_key, in_fold, map_arrow, materialize, released, sampled, ship
 from .document_stats import STATS, stats_batches
 
 #: The fit takes about this many labelled rows at most, those with small hashes of their ids.
@@ -68,7 +68,7 @@ def _sums(rows: DataFrame, function, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     ship(rows.sparkSession)
-    parts = rows.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist()
+    parts = rows.mapInArrow(released(run), "sums binary").toArrow().column("sums").to_pylist()
     return sum((np.frombuffer(p) for p in parts), np.zeros(size))
 
 

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import remembered
+
 CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
@@ -25,7 +27,6 @@ _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 #: Odd bases have inverses modulo 2**64; those equal to 5 modulo 8 have the longest period.
 _BASES = tuple(int(x) * 8 + 5 for x in _SEED.integers(2**40, 2**60, 4, dtype=np.uint64))
-_powers: dict[int, np.ndarray] = {}
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,15 +42,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; short tables stay for the next chunk."""
-    have = _powers.get(base)
+    """base**0 .. base**(n-1) modulo 2**64; short tables stay for the task's next chunk."""
+    powers = remembered("powers")
+    have = powers.get(base)
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         if size <= 4 * CHUNK_BYTES:
-            _powers[base] = have
+            powers[base] = have
     return have[:n]
 
 
