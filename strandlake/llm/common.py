@@ -106,7 +106,7 @@ def unused(docs: DataFrame, name: str) -> str:
 
 _shipped: set[str] = set()
 #: Rows of an Arrow batch at most, so batches of texts stay small on both sides.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:

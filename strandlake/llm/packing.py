@@ -31,10 +31,12 @@ from .common import NO_ID, id_key, released, remembered, ship
 #: The id that ends each document.
 END = 2
 _END = np.array([END], dtype="<u4").tobytes()
-CACHE_WORDS = 350_000
+CACHE_WORDS = 250_000
+#: Words that one call of the tokenizer gets; its own results take far more memory than ids.
+LEARNT_AT_ONCE = 4_096
 #: Pieces that wait at most, however short they are.
 HELD_PIECES = 100_000
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -76,6 +78,10 @@ class WordIds:
                 miss.append(word)
             else:
                 self.young[word] = ids
+        for at in range(0, len(miss), LEARNT_AT_ONCE):
+            self._tokenize(miss[at : at + LEARNT_AT_ONCE])
+
+    def _tokenize(self, miss: list[bytes]) -> None:
         simple, parts, other = [], [], []
         for word in miss:
             text = word.decode("utf-8")
