@@ -547,3 +547,17 @@ def test_each_licence_template_finds_itself_whole_and_wrapped(spark):
                 rows.append((f"p/{len(rows)}", len(rows), "\n".join(["int x;"] * 40 + lines + ["int y;"] * 40)))
     df = spark.createDataFrame(rows, "path string, doc_id long, text string")
     assert {r.doc_id: r.own_licence for r in licenses.scan(df, F.col("path")).collect()} == want
+
+
+def test_workers_forget_other_kinds():
+    from strandlake.llm import common
+
+    def nothing(batches):
+        common.remembered("other")["b"] = 2
+        yield from batches
+
+    common.remembered("mine")["a"] = 1
+    assert list(common.released(nothing, "mine")(iter([5]))) == [5]
+    assert common.remembered("mine") == {"a": 1} and common.remembered("other") == {}
+    list(common.released(nothing)(iter([])))
+    assert common.remembered("mine") == {}
