@@ -44,6 +44,24 @@ _NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_arra
     FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
 
 
+_P = "1 + (1000000000::HUGEINT * (n + 1)) // (total + v)"
+_DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS body FROM documents),
+    t AS (SELECT id, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    cells AS (SELECT groups.lang, groups.source, kept.term, coalesce(counts.n, 0) AS n FROM groups JOIN kept USING (lang)
+              LEFT JOIN counts ON counts.lang = groups.lang AND counts.source = groups.source AND counts.term = kept.term),
+    p AS (SELECT lang, source, term, n, {_P} AS p FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v FROM cells)),
+    q AS (SELECT lang, term, {_P} AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, count(*) OVER (PARTITION BY lang) AS v FROM kept)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def _mix() -> str:
     """The repetition limit has a closed form: shares p keep it from the exponent
     1 - ln(limit) / ln(max p / min p) on."""
@@ -66,4 +84,4 @@ def _mix() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR}
+    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR, "op11_source_divergence": _DIVERGENCE}

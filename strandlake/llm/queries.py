@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, progressive_jpeg, quality, substring_dedup, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, progressive_jpeg, quality, source_divergence, substring_dedup, toxicity
 from .common import documents, shared_dir
 
 #: The mixture that the query and the pipeline use: at most one and a half passes.
@@ -80,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,5 +93,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_source_mixing, op3_exact_dedup, op4_pii, op5_toxicity, op6_media, op7_licenses, op8_near_dedup,
-        op9_packing, op10_quality, pipeline, exact_dedup_batches, pack_conversations,
+        op9_packing, op10_quality, op11_source_divergence, pipeline, exact_dedup_batches, pack_conversations,
     )}
