@@ -62,6 +62,37 @@ _DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '
     SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substring(k, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_REPAIR = f"""WITH RECURSIVE k AS (SELECT conv_id AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    d AS (SELECT cid, turn, role, text, {_CRC} % 20 AS d FROM k),
+    m AS (SELECT cid, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE d <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS rn, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM m),
+    r AS (SELECT cid, turn, role, text, rn, left(role, 1) AS i, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f FROM o),
+    ins(before, run, mid) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)),
+    st(cid, rn, state, best) AS (SELECT DISTINCT cid, 0::BIGINT, 0, row(0, '') FROM r UNION ALL
+        SELECT cid, rn, after, min(best) FROM (
+            SELECT st.cid, r.rn, e.after, row(st.best[1] + 2 * length(run) + e.price + CASE WHEN f = 'truncated' AND e.letter <> 'D' THEN 1 ELSE 0 END, st.best[2] || run || e.letter) AS best
+            FROM st JOIN r ON r.cid = st.cid AND r.rn = st.rn + 1 JOIN ins ON before = state
+            JOIN (VALUES ('D', 0, 0, 3, ''), ('D', 1, 1, 3, ''), ('D', 2, 2, 3, ''), ('D', 3, 3, 3, ''), ('R', 0, 2, 2, ''), ('R', 1, 2, 2, ''), ('R', 3, 2, 2, ''), ('R', 2, 3, 2, ''),
+                         ('K', 0, 1, 0, 's'), ('K', 0, 2, 0, 'u'), ('K', 1, 2, 0, 'u'), ('K', 3, 2, 0, 'u'), ('K', 2, 3, 0, 'a')) AS e(letter, mid, after, price, need)
+            ON e.mid = ins.mid AND (e.need = '' OR e.need = i) AND (e.letter = 'D' OR f NOT IN ('blank', 'duplicate'))) GROUP BY ALL),
+    fin AS (SELECT cid, min(row(best[1] + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, best[2] || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END)) AS best
+            FROM st JOIN (SELECT cid, max(rn) AS rn FROM r GROUP BY 1) USING (cid, rn) GROUP BY 1),
+    au AS (SELECT cid, best[1]::BIGINT AS cost, best[2] AS audit FROM fin),
+    le AS (SELECT cid, p, substring(audit, p, 1) AS l FROM (SELECT cid, audit, unnest(range(1, length(audit) + 1)) AS p FROM au)),
+    steps AS (SELECT cid, p, l, sum((l <> 'I')::INT) OVER w AS rn, sum((l <> 'D')::INT) OVER w AS e FROM le WINDOW w AS (PARTITION BY cid ORDER BY p)),
+    li AS (SELECT steps.cid, p, l, e, role, text, bool_or(e = 1 AND l = 'K' AND i = 's') OVER (PARTITION BY steps.cid) AS led FROM steps LEFT JOIN r ON r.cid = steps.cid AND r.rn = steps.rn AND l <> 'I' WHERE l <> 'D'),
+    rep AS (SELECT cid, string_agg(CASE WHEN l = 'K' THEN role WHEN (e - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body FROM li GROUP BY 1),
+    cnt AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY cid ORDER BY rn) AS before FROM r) GROUP BY 1)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN cnt ON cnt.cid = conv_id LEFT JOIN au ON au.cid = conv_id LEFT JOIN rep ON rep.cid = conv_id"""
+
+
 def _mix() -> str:
     """The repetition limit has a closed form: shares p keep it from the exponent
     1 - ln(limit) / ln(max p / min p) on."""
@@ -84,4 +115,4 @@ def _mix() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR, "op11_source_divergence": _DIVERGENCE}
+    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR, "op11_source_divergence": _DIVERGENCE, "op13_turn_repair": _REPAIR}
