@@ -93,6 +93,14 @@ _REPAIR = f"""WITH RECURSIVE k AS (SELECT conv_id AS cid, turn, coalesce(role, '
     FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN cnt ON cnt.cid = conv_id LEFT JOIN au ON au.cid = conv_id LEFT JOIN rep ON rep.cid = conv_id"""
 
 
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, root FROM reach JOIN links ON x = vec_id),
+    n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept FROM reach LEFT JOIN n USING (vec_id) GROUP BY 1"""
+
+
 def _mix() -> str:
     """The repetition limit has a closed form: shares p keep it from the exponent
     1 - ln(limit) / ln(max p / min p) on."""
@@ -115,4 +123,4 @@ def _mix() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR, "op11_source_divergence": _DIVERGENCE, "op13_turn_repair": _REPAIR}
+    return {"op1_substring_dedup": _SUBSTRINGS, "op2_source_mixing": _mix(), "op3_exact_dedup": _EXACT, "exact_dedup_batches": _BATCHES, "op8_near_dedup": _NEAR, "op11_source_divergence": _DIVERGENCE, "op12_metric_join": _VECTORS, "op13_turn_repair": _REPAIR}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, progressive_jpeg, quality, source_divergence, substring_dedup, toxicity, turn_repair
+from . import exact_dedup, licenses, metric_join, mixing, near_dedup, packing, pii, progressive_jpeg, quality, source_divergence, substring_dedup, toxicity, turn_repair
 from .common import documents, shared_dir
 
 #: The mixture that the query and the pipeline use: at most one and a half passes.
@@ -84,6 +84,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir))
 
 
+def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(documents(spark, sf_dir, "conversations"))
 
@@ -97,5 +101,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_source_mixing, op3_exact_dedup, op4_pii, op5_toxicity, op6_media, op7_licenses, op8_near_dedup,
-        op9_packing, op10_quality, op11_source_divergence, op13_turn_repair, pipeline, exact_dedup_batches, pack_conversations,
+        op9_packing, op10_quality, op11_source_divergence, op12_metric_join, op13_turn_repair, pipeline, exact_dedup_batches, pack_conversations,
     )}
