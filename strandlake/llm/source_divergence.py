@@ -7,9 +7,10 @@ distance of a group with shares p from shares q sums floor((p - q)**2 / q) over
 The sum over a pair of groups is split by how many groups have a term:
 
 * *heavy* terms, of more than ``HEAVY`` groups, fill dense numpy tiles of shares, terms by
-  groups, one for each block of terms and pair of blocks of groups;
-* *light* terms are never spread over the groups that lack them. If all counts were zero, each
-  would add the same number, so the number of light terms times it is the base. A group's
+  groups, one for each block of terms and pair of blocks of groups, and add what differs from it;
+* if all counts were zero, each term would add the same number, so the number of kept terms times
+  it is the base, and terms that both groups lack are done with;
+* *light* terms are never spread over the groups that lack them. A group's
   counts change it alike for all terms of the same count, so a histogram of counts stands for
   them. Only where two groups share a light term is something left: the pairs of a posting
   list, at most ``HEAVY`` long, correct it.
@@ -47,7 +48,7 @@ SCALE = 1_000_000_000
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term of every group; a
     group has one more row, whose term is null."""
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
@@ -85,7 +86,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 n.update(own)
                 found.update(own.keys())
                 size += len(n)
-                if size > HELD:
+                if size > most:
                     yield from handed_on()
                     size = 0
         yield from handed_on()
@@ -175,15 +176,16 @@ def _light_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed_on()
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """One tile: groups (kind 0), and either heavy terms (kind 1) or histograms of the counts of
-    light terms (kind 2), of both of its blocks of groups."""
+def _tile(table: pa.Table, side: int) -> pa.Table:
+    """One tile: groups (kind 0), and either heavy terms (kind 1) or, in part -1, histograms of the
+    counts of light terms (kind 2), of both of its blocks of groups."""
     lang, a, b = (table.column(c)[0].as_py() for c in ("lang", "a", "b"))
+    light_part = table.column("part")[0].as_py() < 0
     kind, g, n, many, of = (table.column(c).to_numpy() for c in ("kind", "g", "n", "many", "of"))
     here = kind == 0
     order = np.argsort(g[here])
-    groups, totals, light = g[here][order], of[here][order], int(many[here].max())
-    ia, ib = np.flatnonzero(groups // SIDE == a), np.flatnonzero(groups // SIDE == b)
+    groups, totals, kept = g[here][order], of[here][order], int(many[here].max())
+    ia, ib = np.flatnonzero(groups // side == a), np.flatnonzero(groups // side == b)
     zero = shares(np.zeros(len(groups), np.int64), totals)
     sums = np.zeros((len(groups), len(groups)), np.int64)
 
@@ -191,7 +193,7 @@ def _tile(table: pa.Table) -> pa.Table:
         for x, y in ((one, two), (two, one)) if a != b else ((one, two),):
             added(x, y)
 
-    if (kind == 1).any():
+    if not light_part:
         dense = kind == 1
         coded = table.column("term").combine_chunks().filter(pa.array(dense)).dictionary_encode()
         row = coded.indices.to_numpy()
@@ -201,7 +203,7 @@ def _tile(table: pa.Table) -> pa.Table:
 
         def terms_of(x: np.ndarray, y: np.ndarray) -> None:
             for i in x:
-                sums[i, y] += apart(p[:, i : i + 1], p[:, y]).sum(axis=0)
+                sums[i, y] += (apart(p[:, i : i + 1], p[:, y]) - apart(zero[i], zero[y])[None, :]).sum(axis=0)
 
         both_ways(ia, ib, terms_of)
     else:
@@ -210,7 +212,7 @@ def _tile(table: pa.Table) -> pa.Table:
         p, times = shares(n[where], of[where]), many[where]
 
         def base(x: np.ndarray, y: np.ndarray) -> None:
-            sums[np.ix_(x, y)] += light * apart(zero[x][:, None], zero[y][None, :])
+            sums[np.ix_(x, y)] += kept * apart(zero[x][:, None], zero[y][None, :])
 
         def outgoing(x: np.ndarray, y: np.ndarray) -> None:
             """The counts of the groups x against the zeros of y, and the zeros of x against the counts of y."""
@@ -224,12 +226,12 @@ def _tile(table: pa.Table) -> pa.Table:
         both_ways(ia, ib, base)
         both_ways(ia, ib, outgoing)
     x, y = np.nonzero(~np.eye(len(groups), dtype=bool))
-    wanted = ((groups[x] // SIDE == a) & (groups[y] // SIDE == b)) | ((groups[x] // SIDE == b) & (groups[y] // SIDE == a))
+    wanted = ((groups[x] // side == a) & (groups[y] // side == b)) | ((groups[x] // side == b) & (groups[y] // side == a))
     x, y = x[wanted], y[wanted]
     return pa.table({"lang": pa.array([lang] * len(x), pa.string()), "g": pa.array(groups[x], pa.int64()), "h": pa.array(groups[y], pa.int64()), "value": pa.array(sums[x, y], pa.int64())})
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, heavy: int = HEAVY, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, heavy: int = HEAVY, top: int = TOP, side: int = SIDE, tile_terms: int = TERMS, held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank).
 
     Part ``pair``: each other source of the language and the group's distance from it. Part
@@ -240,9 +242,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, heavy: int = HEAVY, top: in
     without terms. A language without kept terms has distances of 0 and no terms. Very long texts
     are counted whole; repeated rows count each. No two items of a part are equal, so ties in value
     have an order. An empty table gives an empty result; other columns are ignored."""
-    if not 1 <= heavy:
-        raise ValueError("heavy must be positive")
-    found = materialize(term_counts(docs), "terms")
+    if min(heavy, side, tile_terms, held) < 1:
+        raise ValueError("limits must be positive")
+    found = materialize(term_counts(docs, held), "terms")
     per_term = W.partitionBy("lang", "term")
     whole = {"docs": F.sum("docs"), "lang_n": F.sum("n"), "groups": F.count("*")}
     no = F.row_number().over(per_term.orderBy("source"))
@@ -268,7 +270,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, heavy: int = HEAVY, top: in
     shared = lists.select("lang", "postings").mapInArrow(released(_light_pairs), result)
 
     # blocks of groups are counted from 0; a tile holds the blocks a <= b
-    block = _div(F.col("g"), F.lit(SIDE))
+    block = _div(F.col("g"), F.lit(side))
     blocks = groups.groupBy("lang").agg(F.max(block).alias("last"))
     tile_of = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(block, o).alias("a"), F.greatest(block, o).alias("b")))).alias("_t")
     rows = ["lang", "kind", "g", "n", "many", "of", "part", "term"]
@@ -276,14 +278,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, heavy: int = HEAVY, top: in
     def dealt(df: DataFrame) -> DataFrame:
         return df.join(blocks, "lang").select(*rows, tile_of).select(*rows, "_t.a", "_t.b")
 
-    parts = F.greatest(_div(F.col("dense") + TERMS - 1, F.lit(TERMS)), F.lit(1)).cast("long")
+    parts = F.greatest(_div(F.col("dense") + tile_terms - 1, F.lit(tile_terms)), F.lit(1)).cast("long")
     dense = postings.where(F.col("groups") > heavy).select("lang", F.lit(1).alias("kind"), "g", "n", zero.alias("many"), "of", F.pmod(F.xxhash64("term"), parts).alias("part"), "term")
     counts = light.groupBy("lang", "g", "n", "of").agg(F.count("*").alias("many"))
     histogram = counts.select("lang", F.lit(2).alias("kind"), "g", "n", "many", "of", F.lit(-1).cast("long").alias("part"), F.lit("").alias("term"))
-    sparse = F.col("v") - F.col("dense")
     numbered = F.explode(F.sequence(F.lit(-1).cast("long"), F.when(F.col("dense") > 0, parts - 1).otherwise(-1))).alias("part")
-    heads = groups.select("lang", F.lit(0).alias("kind"), "g", zero.alias("n"), sparse.alias("many"), "of", numbered, F.lit("").alias("term"))
-    tiles = dealt(heads.unionByName(dense).unionByName(histogram)).groupBy("lang", "a", "b", "part").applyInArrow(_tile, result)
+    heads = groups.select("lang", F.lit(0).alias("kind"), "g", zero.alias("n"), F.col("v").alias("many"), "of", numbered, F.lit("").alias("term"))
+    tiles = dealt(heads.unionByName(dense).unionByName(histogram)).groupBy("lang", "a", "b", "part").applyInArrow(lambda table: _tile(table, side), result)
 
     sums = tiles.unionByName(shared).groupBy("lang", "g", "h").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
     named = lambda on, name: groups.select("lang", F.col("g").alias(on), F.col("source").alias(name))
