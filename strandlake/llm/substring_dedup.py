@@ -165,11 +165,11 @@ def _confirmed(width: int, anchor: int):
     return run
 
 
-def _repeats_inside(lanes: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+def _repeats_inside(chunk: Chunk, at: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
     """Windows (their first words) whose words occur earlier in their own document."""
     if not len(at):
         return at
-    windows = grams(lanes[1], width)[at]
+    windows = grams(chunk.digests()[1], width)[at]
     # most chunks have no repeat at all, which one sort of mixed keys shows
     keys = np.sort(windows ^ mix(owner.astype(np.uint64)))
     if not (keys[1:] == keys[:-1]).any():
@@ -177,10 +177,9 @@ def _repeats_inside(lanes: np.ndarray, at: np.ndarray, owner: np.ndarray, width:
     order = np.lexsort((windows, owner))  # stable: the first start stays
     same = np.flatnonzero((windows[order[1:]] == windows[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]]))
     x, y = at[order[same]], at[order[same + 1]]
-    alike = np.ones(len(x), dtype=bool)
-    for i in range(width):
-        alike &= (lanes[:, x + i] == lanes[:, y + i]).all(axis=0)
-    return y[alike]
+    body, begins = chunk.joined()
+    words = lambda i: body[begins[i] : begins[i + width] - 1]
+    return np.array([j for i, j in zip(x.tolist(), y.tolist()) if words(i) == words(j)], dtype=np.int64)
 
 
 def _cut(width: int, texts: bool):
@@ -192,10 +191,12 @@ def _cut(width: int, texts: bool):
             owner = chunk.owner()
             n = len(owner)
             at = np.flatnonzero(owner[: n - width + 1] == owner[width - 1 :]) if n >= width else np.zeros(0, np.int64)
-            inside = _repeats_inside(chunk.digests(), at, owner[at], width)
+            inside = _repeats_inside(chunk, at, owner[at], width)
             doc, packed = _gather(drops, lo, hi)
             first = chunk.first[doc] + (packed >> np.uint64(32)).astype(np.int64)
             last = first + (packed & np.uint64(0xFFFFFFFF)).astype(np.int64) + width - 1
+            if (last > chunk.first[doc] + chunk.word_counts()[doc]).any():
+                raise AssertionError("a decision is about words that its document does not have")
             cover = np.zeros(n + 1, dtype=np.int64)
             np.add.at(cover, np.concatenate([inside, first]), 1)
             np.add.at(cover, np.concatenate([inside + width, last]), -1)
@@ -247,8 +248,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, t
     processed whole, one to a chunk. An empty table gives an empty result. Other columns are
     ignored, whatever their names."""
     text = F.col("text").cast("string")
-    # t splits rows that share an id, so none of their lists meet
-    base = docs.select(id_key().alias("k"), F.hash(text).alias("t"), text.alias("text"))
+    # t, half of a digest, splits rows that share an id, so none of their lists meet
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+    base = docs.select(id_key().alias("k"), digest.alias("t"), text.alias("text"))
     supers = map_arrow(base.select("k", "text"), _super_edges(width, anchor, True), "h long, k long, label long")
     nodes = (
         supers.groupBy("h")
@@ -256,13 +258,13 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, t
         .where("hi > lo")
         .select("h", (F.col("a") != F.col("b")).alias("branches"))
     )
-    mine = map_arrow(base, _super_edges(width, anchor, False), "h long, k long, t int")
+    mine = map_arrow(base, _super_edges(width, anchor, False), "h long, k long, t binary")
     # equal rows bring equal anchors, which a set holds once
     listed = mine.join(nodes, "h").groupBy("k", "t").agg(
         F.collect_set(F.when(~F.col("branches"), F.col("h"))).alias("whole"), F.collect_set(F.when(F.col("branches"), F.col("h"))).alias("branch")
     )
     decided = materialize(listed, "anchors")
-    spans = map_arrow(base.join(decided.hint("merge"), ["k", "t"]), _confirmed(width, anchor), "s1 long, s2 long, k long, t int, at long")
+    spans = map_arrow(base.join(decided.hint("merge"), ["k", "t"]), _confirmed(width, anchor), "s1 long, s2 long, k long, t binary, at long")
     first = spans.groupBy("s1", "s2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("hi > lo").select("s1", "s2", "lo")
     again = spans.join(first, ["s1", "s2"]).where("k > lo").groupBy("k", "t").agg(F.collect_set("at").alias("drops"))
     ready = base.join(again.hint("merge"), ["k", "t"], "left").select("k", "text", "drops")

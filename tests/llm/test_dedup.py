@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import components as C
 from strandlake.llm import exact_dedup, near_dedup, substring_dedup
@@ -50,6 +51,46 @@ def test_substring_dedup_edges(docs_of, spark):
     assert [r.n_removed for r in substring_dedup.substring_dedup(docs_of(alike)).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("words", [1, 40])
+def test_rows_of_one_id_whose_texts_collide_in_a_short_hash(docs_of, spark, words):
+    """Two texts of id 2 have the same 32-bit hash; one has the passage of document 1."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rest = " ".join(f"r{i}" for i in range(words - 1))
+    one = spark.range(120_000).select(F.concat(F.lit(passage + " q"), "id").alias("a"))
+    two = spark.range(120_000).select(F.concat(F.lit((rest + " x").strip()), "id").alias("b"))
+    pair = one.join(two, F.hash("a") == F.hash("b")).orderBy("a").first()
+    own = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, passage), (2, pair.a), (2, pair.b), (3, own)]
+    got = substring_dedup.substring_dedup(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == sorted([(1, 25, 0), (2, 26, 25), (2, words, 0), (3, 40, 0)])
+
+
+def test_substring_dedup_of_very_long_texts(docs_of):
+    rng = random.Random(8)
+    long_ = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    middle = " ".join(long_.split()[60_000:60_100])
+    rows = [(1, long_), (2, f"a {middle} b"), (3, long_ + " " + middle), (4, "c")]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs_of(rows)).collect()}
+    assert got == cut_by_hand(rows, 20)
+
+
+def test_near_dedup_copies_the_text_of_a_hub(docs_of, spark, monkeypatch):
+    """One text with many near copies is compared in parts, none with far more pairs than others."""
+    monkeypatch.setattr(near_dedup, "PARTNERS", 8)
+    monkeypatch.setattr(near_dedup, "PAIRS", 20)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 1 + i % 59] + [f"x{i}"] + base[2 + i % 59 :])) for i in range(1, 161)] + [(0, " ".join(base))]
+    texts = docs_of(rows).select(F.col("doc_id").alias("k"), "text")
+    links = near_dedup._Links(texts, None, 5, 85)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 161)], "x long, y long")
+    dealt = links._with_text(pairs, texts, "x", "y", 40)
+    loads = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert dealt.count() == 160 and {r.tx for r in dealt.collect()} == {" ".join(base)} and max(loads) < 80
+    counts = [near_dedup.common_shingles(*([w.encode() for w in t.split()] for t in (rows[-1][1], r[1])), 5) for r in rows[:-1]]
+    want = sum(100 * both >= 85 * (a + b - both) for a, b, both in counts)
+    assert 0 < links._judged(pairs).where("linked").count() == want < 160
+
+
 def test_exact_dedup(docs_of):
     rows = [(5, "a b"), (3, "ab"), (2, "a\n b"), (9, None), (8, ""), (7, " "), (1, "c"), (6, "ä"), (None, "c")]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs_of(rows)).collect()}
