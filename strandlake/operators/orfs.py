@@ -1,21 +1,20 @@
 """Open reading frames, codon usage and translation.
 
-The scan of all frames is gaps-and-islands: within one frame the stops cut the codons into
-islands, and an island's first start codon opens its only reading frame. A record finds its own
-frames: each frame becomes a string of signs, one a codon, which one regular pass cuts into
-islands, so nothing is shuffled and no text is joined back. Sequences over ``LONG`` symbols are
-cut into tiles instead, dealt to all tasks; there only start and stop codons move, and islands
-are numbered by blocks whose stops are summed first."""
+A record finds its own reading frames in one numpy pass: the stops of a frame cut it into runs,
+and the first start of a run opens its only reading frame. Records that are read as one sequence
+do the same over blocks, see ``joined_reading_frames``."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
 from ..functions.genetic_code import code_map, code_table
-from .tiles import LONG, TILE, tiles
+from ..sources.shared import fixed
+from . import arrays, concat
 
 MIN_ORF = 90
 
@@ -25,66 +24,105 @@ def rna_of(records: DataFrame, column: str = "seq", keep: tuple[str, ...] = ("se
     return records.select(*keep, S.to_rna(F.coalesce(F.col(column), F.lit(""))).alias("rna"))
 
 
-def _found(rna: DataFrame, min_len: int, column: str, keep: tuple[str, ...]) -> DataFrame:
-    """(*keep, frame, start, end, terminated, _codons) of the records up to LONG symbols."""
-    r = F.col(column)
-    short = rna.where(F.length(r) <= LONG).select(*keep, F.length(r).alias("_n"), r.alias("_r"), F.explode(F.array(*(F.lit(f) for f in range(3)))).alias("frame"))
-    split = short.where("_n - frame >= 3").select(*keep, "_n", "frame", S.codons(F.substr("_r", F.col("frame") + 1)).alias("_all"))
-    sign = lambda c: F.when(c == S.START, "S").when(c.isin(*S.STOPS), "*").otherwise(".")
-    signs = split.withColumn("_signs", F.array_join(F.transform("_all", sign), ""))
-    island = "([^S]*)(S[^*]*[*]?)"
-    heads, bodies = (F.regexp_extract_all("_signs", F.lit(island), i) for i in (1, 2))
-    n, frame = F.col("_n"), F.col("frame")
-
-    def step(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["h"])
-        stop = F.endswith(pair["b"], F.lit("*"))
-        size = F.length(pair["b"]) - stop.cast("int")
-        long_ = F.when(stop, 3 * size).otherwise(n - frame - 3 * at) >= min_len
-        one = F.array(F.struct(at.alias("at"), size.alias("size"), stop.alias("stop")))
-        return F.struct((at + F.length(pair["b"])).alias("at"), F.when(long_, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int,stop:boolean>>").alias("found"))
-    pairs = F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("h"), b.alias("b")))
-    o = F.explode(F.aggregate(pairs, begin, step)["found"]).alias("_o")
-    start = F.col("frame") + 3 * F.col("_o.at")
-    return signs.select(*keep, "frame", "_all", o).select(
-        *keep,
-        "frame",
-        start.cast("long").alias("start"),
-        (start + 3 * F.col("_o.size")).cast("long").alias("end"),
-        F.col("_o.stop").alias("terminated"),
-        F.slice("_all", F.col("_o.at") + 1, F.col("_o.size")).alias("_codons"),
-    )
+_FRAMES = "frame int, start long, end long, terminated boolean"
+
+
+def open_reading_frames(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, frame, start, end, terminated): reading frames of at least ``min_len`` symbols.
+
+    From the first AUG after a stop (or the frame's beginning) to the next stop of the frame,
+    exclusive; start codons in between belong to it. Without a stop it runs to the end, cut to
+    whole codons; the length is tested before that cut, so such a tail may be a symbol or two
+    shorter than ``min_len``."""
+    rows = rna.select(F.col(keep).alias("seq_id"), F.col(column).alias("rna"))
+    return arrays.apply(rows, "rna", ("seq_id",), _FRAMES, lambda text: arrays.reading_frames(arrays.code_points(text), min_len))
+
+
+def orf_sequences(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """The reading frames with the columns ``keep`` and their symbols (``orf``)."""
+
+    def kernel(text: bytes) -> tuple:
+        frame, start, end, terminated = arrays.reading_frames(arrays.code_points(text), min_len)
+        symbols = text.decode() if len(start) else ""
+        return frame, start, end, terminated, [symbols[a:b] for a, b in zip(start.tolist(), end.tolist())]
+
+    return arrays.apply(rna, column, keep, f"{_FRAMES}, orf string", kernel)
+
+
+def codon_usage(orfs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, codon, n, first_ord): codons of the reading frames without those that have an N.
+
+    first_ord orders codons by first appearance: frame, then start, then place, within the
+    smallest sequence that has them."""
+
+    def kernel(text: bytes, frame: int, start: int) -> tuple:
+        symbols = arrays.code_points(text)
+        one = [np.array([x], np.int64) for x in (0, 0, len(symbols) // 3 * 3)]
+        codons, n, _, _, i = arrays.counted_codons(symbols, *one)
+        return [arrays.codon_text(c) for c in codons.tolist()], n, i
+
+    rows = orfs.select(*by, "seq_id", "frame", "start", "orf")
+    return _used(arrays.apply(rows, "orf", (*by, "seq_id", "frame", "start"), "codon string, n long, i long", kernel, ("frame", "start")), by)
+
+
+def _used(counts: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ("seq_id", "frame", "start", "i")) -> DataFrame:
+    kept = counts.where(~F.contains("codon", F.lit("N")))
+    # few distinct codons: the partial sums are all that moves
+    return kept.groupBy(*by, "codon").agg(F.sum("n").alias("n"), F.min(F.struct(*order)).alias("first_ord"))
+
+
+_CODONS = "codon string, n long, frame int, start long, i long"
+
+
+def codons_used(rna: DataFrame, min_len: int = MIN_ORF, by: tuple[str, ...] = (), column: str = "rna") -> DataFrame:
+    """``codon_usage`` of the reading frames of sequences (*by, seq_id, column), in one pass."""
+
+    def kernel(text: bytes) -> tuple:
+        symbols = arrays.code_points(text)
+        frame, start, end, _ = arrays.reading_frames(symbols, min_len)
+        codons, *rest = arrays.counted_codons(symbols, frame, start, end)
+        return [arrays.codon_text(c) for c in codons.tolist()], *rest
+
+    return _used(arrays.apply(rna.select(*by, "seq_id", column), column, (*by, "seq_id"), _CODONS, kernel), by)
 
 
-def marks(rna: DataFrame, column: str = "rna", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """(*keep, n, pos, stop): start and stop codons at any position of the sequences over LONG
-    symbols; only these, a few in a hundred positions, go on."""
-    cut = tiles(rna, 2, TILE, column, keep, dealt=True)
-    last = F.least(F.length("tile") - 3, F.lit(TILE - 1))
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    codons = F.transform(starts, lambda i: F.struct(i.alias("i"), F.substr(F.col("tile"), i + 1, F.lit(3)).alias("c")))
-    marked = F.filter(codons, lambda c: c["c"].isin(S.START, *S.STOPS))
-    at = cut.select(*keep, "n", "tile_off", F.explode(marked).alias("m"))
-    return at.select(*keep, "n", (F.col("tile_off") + F.col("m.i")).alias("pos"), (F.col("m.c") != S.START).alias("stop"))
+#: Symbols of a stretch of a long sequence whose stops one task counts.
+STRETCH = 1 << 21
 
 
-#: Symbols of a block whose stops one task counts.
-BLOCK = 1 << 21
+def joined_reading_frames(parts: DataFrame, by: tuple[str, ...], order: tuple[str, ...], min_len: int = MIN_ORF, block: int = concat.BLOCK, column: str = "seq", stretch: int = STRETCH) -> DataFrame:
+    """(*by, frame, start, end, terminated): as ``open_reading_frames``, of the bases of each
+    group's records as one sequence, so reading frames span them.
 
+    Blocks find start and stop codons; only these, a few in a hundred positions, go on.
+    Within one frame the stops cut the codons into islands, and an island's first start opens
+    its only reading frame. Islands are numbered by stretches whose stops are summed first."""
+    return _islands(concat.blocks(_joined_rna(parts, by, order, column), by, order, 2, block, "rna"), by, min_len, block, stretch)
 
-def _found_long(rna: DataFrame, min_len: int, column: str, keep: tuple[str, ...]) -> DataFrame:
-    """(*keep, frame, start, end, terminated) of the sequences over LONG symbols."""
-    codon = marks(rna, column, keep).withColumns({"frame": (F.col("pos") % 3).cast("int"), "_block": F.floor(F.col("pos") / F.lit(BLOCK))})
-    of = [*keep, "frame"]
-    stops = codon.groupBy(*of, "_block").agg(F.sum(F.col("stop").cast("int")).alias("_stops"))
-    before = W.partitionBy(*of).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    ahead = stops.select(*of, "_block", F.coalesce(F.sum("_stops").over(before), F.lit(0)).alias("_ahead"))
-    inside = W.partitionBy(*of, "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+
+def _joined_rna(parts: DataFrame, by: tuple[str, ...], order: tuple[str, ...], column: str) -> DataFrame:
+    return parts.select(*by, *order, F.translate(S.acgt_only(F.col(column)), "T", "U").alias("rna"))
+
+
+def _islands(cut: DataFrame, by: tuple[str, ...], min_len: int, block: int, stretch: int) -> DataFrame:
+    def marks(tile: bytes, at: int) -> tuple | None:
+        symbols = arrays.code_points(tile)
+        if len(symbols) < 3:
+            return None
+        start, stop = (x[:block] for x in arrays.starts_and_stops(symbols))
+        place = np.flatnonzero(start | stop)
+        return at + place, stop[place]
+
+    codon = arrays.apply(cut, "tile", (*by, "n"), "pos long, stop boolean", marks, ("tile_off",))
+    codon = codon.withColumns({"frame": (F.col("pos") % 3).cast("int"), "_stretch": F.floor(F.col("pos") / F.lit(stretch))})
+    of = (*by, "frame")
+    stops = codon.groupBy(*of, "_stretch").agg(F.sum(F.col("stop").cast("int")).alias("_stops"))
+    before = W.partitionBy(*of).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    ahead = stops.select(*of, "_stretch", F.coalesce(F.sum("_stops").over(before), F.lit(0)).alias("_ahead"))
+    inside = W.partitionBy(*of, "_stretch").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     island = F.col("_ahead") + F.coalesce(F.sum(F.col("stop").cast("int")).over(inside), F.lit(0))
     found = (
-        codon.join(ahead, [*of, "_block"])
+        concat.same(codon, ahead, (*of, "_stretch"))
         .withColumn("_island", island)
         .groupBy(*of, "_island")
         .agg(F.min(F.when(~F.col("stop"), F.col("pos"))).alias("start"), F.max(F.when(F.col("stop"), F.col("pos"))).alias("at"), F.max("n").alias("n"))
@@ -95,36 +133,24 @@ def _found_long(rna: DataFrame, min_len: int, column: str, keep: tuple[str, ...]
     return found.where(length >= min_len).select(*of, "start", F.coalesce("at", F.col("n") - tail % 3).alias("end"), F.col("at").isNotNull().alias("terminated"))
 
 
-def open_reading_frames(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, frame, start, end, terminated): reading frames of at least ``min_len`` symbols.
-
-    From the first AUG after a stop (or the frame's beginning) to the next stop of the frame,
-    exclusive; start codons in between belong to it. Without a stop it runs to the end, cut to
-    whole codons; the length is tested before that cut, so such a tail may be a symbol or two
-    shorter than ``min_len``."""
-    rna = rna.select(F.col(keep).alias("seq_id"), F.col(column).alias("rna"))
-    return _found(rna, min_len, "rna", ("seq_id",)).drop("_codons").unionByName(_found_long(rna, min_len, "rna", ("seq_id",)))
-
+def joined_codons_used(parts: DataFrame, by: tuple[str, ...], order: tuple[str, ...], min_len: int = MIN_ORF, block: int = concat.BLOCK, column: str = "seq") -> DataFrame:
+    """(*by, codon, n, first_ord): ``codons_used`` of each group's records as one sequence.
 
-def orf_sequences(rna: DataFrame, min_len: int = MIN_ORF, column: str = "rna", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """The reading frames with the columns ``keep`` and their symbols (``orf``). Only sequences
-    over LONG symbols are joined again to cut theirs."""
-    rna = rna.select(*keep, F.col(column).alias("_rna"))
-    short = _found(rna, min_len, "_rna", keep).withColumn("orf", F.array_join("_codons", "")).drop("_codons")
-    cut = F.substr("_rna", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    long_ = _found_long(rna, min_len, "_rna", keep).join(rna.where(F.length("_rna") > LONG), list(keep))
-    return short.unionByName(long_.withColumn("orf", cut).drop("_rna"))
+    The reading frames go to the blocks that they cross, and each block counts its own codons."""
+    cut = fixed(concat.blocks(_joined_rna(parts, by, order, column), by, order, 2, block, "rna"))
+    found = _islands(cut, by, min_len, block, STRETCH).where(F.col("end") > F.col("start"))
+    crossed = F.sequence(F.floor(F.col("start") / F.lit(block)), F.floor((F.col("end") - 1) / F.lit(block)))
+    at = found.select(*by, "frame", "start", "end", F.explode(F.transform(crossed, lambda b: b * block)).alias("tile_off"))
+    listed = at.groupBy(*by, "tile_off").agg(F.collect_list(F.struct("frame", "start", "end")).alias("frames"))
 
+    def kernel(tile: bytes, off: int, frames: list[dict]) -> tuple:
+        order_ = sorted((f["frame"], f["start"], f["end"]) for f in frames)
+        frame, start, end = (np.array(x, np.int64) for x in zip(*order_))
+        codons, *rest = arrays.counted_codons(arrays.code_points(tile), frame, start, end, off, off + block, off)
+        return [arrays.codon_text(c) for c in codons.tolist()], *rest
 
-def codon_usage(orfs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, codon, n, first_ord): codons of the reading frames without those that have an N.
-
-    first_ord orders codons by first appearance: frame, then start, then place, within the
-    smallest sequence that has them."""
-    split = orfs.select(*by, "seq_id", "frame", "start", F.posexplode(S.codons(F.col("orf"))).alias("i", "codon"))
-    kept = split.where(~F.contains("codon", F.lit("N")))
-    # few distinct codons: the partial sums are all that moves
-    return kept.groupBy(*by, "codon").agg(F.count("*").alias("n"), F.min(F.struct("seq_id", "frame", "start", "i")).alias("first_ord"))
+    counted = arrays.apply(concat.same(cut, listed, (*by, "tile_off")), "tile", by, _CODONS, kernel, ("tile_off", "frames"))
+    return _used(counted, by, ("frame", "start", "i"))
 
 
 def top_codons(usage: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Tiles: long sequences cut into pieces that overlap by a halo.
 
 Everything positional works on tiles, so no expression costs the square of a sequence's length:
-within a tile, a position costs at most the tile's size. The tiles of ordinary records stay in
-the task that cut them; those of sequences over ``LONG`` symbols are dealt to all tasks."""
+within a tile, a position costs at most the tile's size. The tiles of a record stay in the task
+that cut them."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE = 128
-#: Longer sequences are worth moving their tiles.
-LONG = 1 << 22
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,24 +19,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def tiles(sequences: DataFrame, halo: int, size: int = TILE, column: str = "seq", keep: tuple[str, ...] = ("seq_id",), dealt: bool = False) -> DataFrame:
+def tiles(sequences: DataFrame, halo: int, size: int = TILE, column: str = "seq", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keep, n, tile_off, tile): pieces of ``size`` symbols and up to ``halo`` of the next.
 
     n is the length of the whole sequence. Null and empty sequences have no tiles. The pieces
-    come from one regular pass over the sequence and not from a substring each. With ``dealt`` only
-    sequences over ``LONG`` symbols are cut, and their tiles go to all tasks."""
+    come from one regular pass over the sequence and not from a substring each."""
     seq = F.col(column)
     # a look-ahead keeps the halo for the next match
     pattern = f"(?s)(?=(.{{1,{size + halo}}}))(?:.{{{size}}}|.+)"
     pieces = F.regexp_extract_all(seq, F.lit(pattern), 1)
-
-    def cut(rows: DataFrame) -> DataFrame:
-        out = rows.select(*keep, F.length(seq).cast("long").alias("n"), F.posexplode(pieces).alias("_no", "tile"))
-        return out.select(*keep, "n", (F.col("_no").cast("long") * size).alias("tile_off"), "tile")
-
-    if dealt:
-        return cut(sequences.where(F.length(seq) > LONG)).repartition(*keep, "tile_off")
-    return cut(sequences.where(F.length(seq) > 0))
+    out = sequences.where(F.length(seq) > 0).select(*keep, F.length(seq).cast("long").alias("n"), F.posexplode(pieces).alias("_no", "tile"))
+    return out.select(*keep, "n", (F.col("_no").cast("long") * size).alias("tile_off"), "tile")
 
 
 def grams_in(tile: Column, width: int, size: int = TILE, step: int = 1) -> Column:

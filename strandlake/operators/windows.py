@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
+from . import arrays, concat
 from .tiles import TILE, tiles
 
 #: Windows up to which a full series is given, and the points of a reduced one.
@@ -71,13 +73,12 @@ def downsampled(sequences: DataFrame, window: int, step: int, width: int, column
 def series(sequences: DataFrame, window: int, step: int, full: int = FULL_WINDOWS, points: int = CHART_POINTS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, x, a, c, g, t) shares in [0, 1]: all windows of a sequence that has up to
     ``full``, or ``points`` averages of one that has more."""
-    many = window_counts(sequences, window, step, column, keep).withColumnRenamed("seq_id", "_id")
-    sides = sequences.join(many, F.col(keep) == F.col("_id")).drop("_id")
-    small, large = sides.where(F.col("windows") <= full), sides.where(F.col("windows") > full)
+    windows = S.window_count(F.length(S.acgt_only(F.coalesce(F.col(column), F.lit("")))), window, step)
+    small, large = sequences.where(windows <= full), sequences.where(windows > full)
     share = lambda total: [S.clamp01(F.col(b) / total).cast("float").alias(b) for b in "acgt"]
     one = sliding_counts(small, window, step, column, keep).select("seq_id", F.col("win_idx").alias("x"), *share(F.lit(window)))
-    many_ = downsampled(large, window, step, points, column, keep)
-    return one.unionByName(many_.select("seq_id", F.col("bucket").alias("x"), *share(F.col("windows") * window)))
+    many = downsampled(large, window, step, points, column, keep)
+    return one.unionByName(many.select("seq_id", F.col("bucket").alias("x"), *share(F.col("windows") * window)))
 
 
 def reduce_series(values: DataFrame, width: int, by: str = "seq_id", x: str = "x", columns: tuple[str, ...] = ("a", "c", "g", "t")) -> DataFrame:
@@ -87,46 +88,58 @@ def reduce_series(values: DataFrame, width: int, by: str = "seq_id", x: str = "x
     return values.withColumn("_b", bucket).groupBy(by, F.col("_b").alias(x)).agg(*(S.clamp01(F.avg(c)).alias(c) for c in columns))
 
 
-def _rolling(k: int, size: int) -> Column:
-    """An array of the G and C counts of the windows of ``k`` bases that start in a tile."""
-    last = F.least(F.length("tile") - k, F.lit(size - 1))
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: S.gc_count(F.substr(F.col("tile"), i + 1, F.lit(k))))
-
-
 def rolling_gc(sequences: DataFrame, k: int = K, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, win_idx, gc): G and C in each window of k bases, stride 1."""
-    cut = tiles(_bases(sequences, column, keep), k - 1)
-    at = cut.select("seq_id", "tile_off", F.posexplode(_rolling(k, TILE)).alias("i", "gc"))
-    return at.select("seq_id", (F.col("tile_off") + F.col("i")).alias("win_idx"), "gc")
 
+    def kernel(text: bytes) -> tuple:
+        gc = arrays.window_gc(arrays.bases_of(text), k)
+        return np.arange(len(gc)), gc
+
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), "win_idx long, gc long", kernel)
 
-def _tile_for(windows_per_bin: int) -> int:
-    """A tile size that divides a bin, so that a tile's windows are all of one bin; 0 if there is
-    none worth it."""
-    return max((d for d in range(32, 2 * TILE + 1) if windows_per_bin % d == 0), default=0)
+
+_BINS = "bin long, sum_gc long, min_gc long, max_gc long, n long"
 
 
 def gc_bins(sequences: DataFrame, k: int = K, windows_per_bin: int = BIN_WINDOWS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, bin, sum_gc, min_gc, max_gc, n) over consecutive windows; the last may be short.
 
-    A tile sums its own windows, so a row per tile is grouped and not a row per window."""
-    size = _tile_for(windows_per_bin)
-    if size:
-        cut = tiles(_bases(sequences, column, keep), k - 1, size).select("seq_id", "tile_off", _rolling(k, size).alias("gc"))
-        part = cut.where(F.size("gc") > 0).select(
-            "seq_id",
-            F.floor(F.col("tile_off") / F.lit(windows_per_bin)).alias("bin"),
-            F.aggregate("gc", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_gc"),
-            F.array_min("gc").alias("min_gc"),
-            F.array_max("gc").alias("max_gc"),
-            F.size("gc").cast("long").alias("n"),
-        )
-    else:
-        gc = F.col("gc")
-        bin_ = F.floor(F.col("win_idx") / F.lit(windows_per_bin)).alias("bin")
-        part = rolling_gc(sequences, k, column, keep).select("seq_id", bin_, gc.alias("sum_gc"), gc.alias("min_gc"), gc.alias("max_gc"), F.lit(1).cast("long").alias("n"))
-    return part.groupBy("seq_id", "bin").agg(*(f(c).alias(c) for f, c in ((F.sum, "sum_gc"), (F.min, "min_gc"), (F.max, "max_gc"), (F.sum, "n"))))
+    A record sums its own windows, by differences of running counts, so nothing is shuffled. Rows
+    are records of their own, also those that repeat a seq_id."""
+
+    def kernel(text: bytes) -> tuple:
+        return arrays.binned(arrays.window_gc(arrays.bases_of(text), k), 0, windows_per_bin)
+
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), _BINS, kernel)
+
+
+def joined_gc_bins(parts: DataFrame, by: tuple[str, ...], order: tuple[str, ...], k: int = K, windows_per_bin: int = BIN_WINDOWS, block: int = concat.BLOCK, column: str = "seq") -> DataFrame:
+    """(*by, bin, sum_gc, min_gc, max_gc, n): as ``gc_bins``, of each group's records as one
+    sequence, so windows span them. Blocks sum their own windows."""
+
+    def kernel(tile: bytes, at: int) -> tuple:
+        return arrays.binned(arrays.window_gc(tile, k)[:block], at, windows_per_bin)
+
+    cut = concat.base_blocks(parts, by, order, k - 1, block, column)
+    shares = arrays.apply(cut, "tile", by, _BINS, kernel, ("tile_off",))
+    return shares.groupBy(*by, "bin").agg(*(f(c).alias(c) for f, c in ((F.sum, "sum_gc"), (F.min, "min_gc"), (F.max, "max_gc"), (F.sum, "n"))))
+
+
+def joined_sliding_counts(parts: DataFrame, by: tuple[str, ...], order: tuple[str, ...], window: int, step: int, block: int = concat.BLOCK, column: str = "seq") -> DataFrame:
+    """(*by, win_idx, a, c, g, t): as ``sliding_counts``, of each group's records as one sequence."""
+    if window < 1 or step < 1:
+        raise ValueError("window and step must be positive")
+
+    def kernel(tile: bytes, at: int) -> tuple:
+        symbols = np.frombuffer(tile, np.uint8)
+        begin = np.arange((-at) % step, min(len(symbols) - window + 1, block), step)
+        running = [np.concatenate([[0], np.cumsum(symbols == ord(b))]) for b in S.BASES]
+        return (at + begin) // step, *(r[begin + window] - r[begin] for r in running)
+
+    cut = concat.base_blocks(parts, by, order, window - 1, block, column)
+    return arrays.apply(cut, "tile", by, "win_idx long, a long, c long, g long, t long", kernel, ("tile_off",))
 
 
 def _linear(k: int, sodium: float | None) -> tuple[float, float]:
@@ -134,15 +147,14 @@ def _linear(k: int, sodium: float | None) -> tuple[float, float]:
     return (2.0 * k, 2.0) if sodium is None else (S.salt_constant(sodium) - 600.0 / k, 41.0 / k)
 
 
-def tm_bins(sequences: DataFrame, k: int = K, windows_per_bin: int = BIN_WINDOWS, sodium: float | None = None, column: str = "seq", keep: str = "seq_id") -> DataFrame:
-    """(seq_id, bin, sum_tm, min_tm, max_tm, n, mean_tm) of the windows' melting temperatures.
+def temperatures(bins: DataFrame, k: int = K, sodium: float | None = None, by: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """(*by, bin, sum_tm, min_tm, max_tm, n, mean_tm) of bins of G and C counts.
 
-    The temperature is linear and rising in the G and C count, so bins are of integer counts."""
+    The temperature is linear and rising in the count, so it is taken of the sums."""
     constant, slope = _linear(k, sodium)
-    bins = gc_bins(sequences, k, windows_per_bin, column, keep)
     total = F.lit(constant) * F.col("n") + F.lit(slope) * F.col("sum_gc")
     return bins.select(
-        "seq_id",
+        *by,
         "bin",
         total.alias("sum_tm"),
         (F.lit(constant) + F.lit(slope) * F.col("min_gc")).alias("min_tm"),
@@ -152,6 +164,11 @@ def tm_bins(sequences: DataFrame, k: int = K, windows_per_bin: int = BIN_WINDOWS
     )
 
 
+def tm_bins(sequences: DataFrame, k: int = K, windows_per_bin: int = BIN_WINDOWS, sodium: float | None = None, column: str = "seq", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, bin, sum_tm, min_tm, max_tm, n, mean_tm) of the windows' melting temperatures."""
+    return temperatures(gc_bins(sequences, k, windows_per_bin, column, keep), k, sodium)
+
+
 def merge_bins(bins: DataFrame, target: int = CHART_BINS) -> DataFrame:
     """Bins merged by neighbours so that a sequence has at most ``target``; fewer stay as they are."""
     if target < 1:

@@ -140,6 +140,24 @@ _ASSEMBLED = f"""WITH RECURSIVE {_SAMPLED},
            any_value((SELECT count(*) FROM un WHERE un.id = back.id)) AS reads FROM back GROUP BY 1"""
 
 
+_JOINED = f"""{_SEQ},
+    ch AS (SELECT lang, seq_id, unnest(string_split(q, '')) AS c, generate_subscripts(string_split(q, ''), 1) AS i FROM seqs WHERE q <> ''),
+    pos AS (SELECT lang, c, row_number() OVER (PARTITION BY lang ORDER BY seq_id, i) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM ch)"""
+_JOINED_TM = """gc AS (SELECT lang, p, n, sum((c IN ('G', 'C'))::INT) OVER (PARTITION BY lang ORDER BY p ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS gc FROM pos),
+    bins AS (SELECT lang, p // {per} AS bin, sum(18 + 2 * gc)::BIGINT AS sum_tm, min(18 + 2 * gc)::BIGINT AS min_tm, max(18 + 2 * gc)::BIGINT AS max_tm, count(*) AS n
+             FROM gc WHERE p <= n - 9 GROUP BY 1, 2)"""
+_JOINED_ORFS = f"""{_JOINED},
+    tri AS (SELECT lang, p, n, translate(c || lead(c) OVER w || lead(c, 2) OVER w, 'T', 'U') AS c FROM pos WINDOW w AS (PARTITION BY lang ORDER BY p)),
+    isl AS (SELECT *, coalesce(sum((c IN ('UAA', 'UAG', 'UGA'))::INT) OVER (PARTITION BY lang, p % 3 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+            FROM tri WHERE p <= n - 3),
+    grp AS (SELECT lang, (p % 3)::INTEGER AS frame, g, min(CASE WHEN c = 'AUG' THEN p END) AS st, max(CASE WHEN c IN ('UAA', 'UAG', 'UGA') THEN p END) AS sp, max(p) + 3 AS en, max(n) AS n
+            FROM isl GROUP BY 1, 2, 3),
+    orf AS (SELECT lang, frame, st AS "start", coalesce(sp, en) AS "end", sp IS NOT NULL AS terminated FROM grp
+            WHERE st IS NOT NULL AND CASE WHEN sp IS NOT NULL THEN sp - st ELSE n - st END >= 30),
+    used AS (SELECT isl.lang, isl.c AS codon, frame, "start", (p - "start") // 3 AS i FROM isl JOIN orf ON orf.lang = isl.lang AND p % 3 = frame AND p >= "start" AND p < "end"),
+    usage AS (SELECT lang, codon, count(*) AS n, min(row(frame, "start", i)) AS f FROM used GROUP BY 1, 2)"""
+
+
 def _foods(which: str) -> str:
     cases = " ".join(f"WHEN '{aa}' THEN '{'; '.join(known[which])}'" for aa, known in NUTRITION.items())
     return f"CASE aa {cases} ELSE '{'; '.join(NUTRITION_DEFAULT[which])}' END"
@@ -222,5 +240,46 @@ def oracle_sql() -> dict[str, str]:
             FROM prof QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY matches::DOUBLE / total DESC, off) = 1""",
         "containment": f"WITH {_PAIRS} SELECT pair_id, contains(b, a) AS a_in_b, contains(a, b) AS b_in_a FROM pairs",
     }
+    flat = "translate(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12) || '>', '')"
+    written = f"wr AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, doc_id || '|' || coalesce(source, '') AS header, {flat} AS s FROM documents)"
+    means = "means AS (SELECT seq_id, bin, n, sum_tm::DOUBLE / n AS mean FROM bins)"
+    shares = ", ".join(f"({b}::DOUBLE / 50)::FLOAT AS {b}" for b in "acgt")
+    out |= {
+        "fasta_scan": f"WITH {written} SELECT seq_id, header, length(s)::BIGINT AS len, md5(s) AS digest FROM wr",
+        "fasta_scan_lengths": f"WITH {written} SELECT seq_id, header, length(s)::BIGINT AS len FROM wr",
+        "fasta_scan_symbols": f"""WITH u AS (SELECT {_upper(flat)} AS t FROM documents), ch AS (SELECT unnest(string_split(t, '')) AS symbol FROM u WHERE length(t) > 0),
+            c AS (SELECT symbol, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total FROM ch GROUP BY 1)
+            SELECT symbol, n, n * 100.0::DOUBLE / total AS pct, row_number() OVER (ORDER BY CASE WHEN symbol BETWEEN 'A' AND 'Z' THEN 0 ELSE 1 END, ascii(symbol)) AS ord
+            FROM c WHERE length(symbol) = 1 AND ascii(symbol) BETWEEN 33 AND 126""",
+        "fasta_scan_tm_bins": f"""WITH {_SEQ}, ch AS (SELECT seq_id, unnest(string_split(q, '')) AS c, generate_subscripts(string_split(q, ''), 1) AS i FROM seqs WHERE q <> ''),
+            pos AS (SELECT '' AS lang, c, row_number() OVER (ORDER BY seq_id, i) - 1 AS p, count(*) OVER () AS n FROM ch), {_JOINED_TM.format(per=10_000)}
+            SELECT bin, sum_tm, min_tm, max_tm, n, sum_tm::DOUBLE / n AS mean_tm FROM bins""",
+        "fasta_lines": f"WITH {_SEQ} SELECT doc_id AS seq_id, '>' || coalesce(source, '') || chr(10) || rtrim(regexp_replace(q, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM documents JOIN seqs ON seq_id = doc_id",
+        "joined_places": f"""WITH {_SEQ} SELECT lang, seq_id, (sum(length(q)) OVER (PARTITION BY lang ORDER BY seq_id) - length(q))::BIGINT AS "start", (sum(length(q)) OVER (PARTITION BY lang))::BIGINT AS total FROM seqs""",
+        "joined_tm_bins": f"WITH {_JOINED}, {_JOINED_TM.format(per=1_000)} SELECT * FROM bins",
+        "joined_sliding": f"""WITH {_JOINED}, w AS (SELECT lang, p, n, {', '.join(f"sum((c = '{b}')::INT) OVER w AS {b.lower()}" for b in 'ACGT')} FROM pos
+            WINDOW w AS (PARTITION BY lang ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))
+            SELECT lang, p // 10 AS win_idx, {', '.join(f'{b}::BIGINT AS {b}' for b in 'acgt')} FROM w WHERE p % 10 = 0 AND p <= n - 50""",
+        "joined_orfs": f'WITH {_JOINED_ORFS} SELECT lang, frame, "start", "end", terminated FROM orf',
+        "joined_codons": f"WITH {_JOINED_ORFS} SELECT lang, codon, n, f[1] AS first_frame, f[2] AS first_start, f[3] AS first_i FROM usage",
+        "genome_comparison": f"""WITH {_JOINED_ORFS}, top AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, f) AS rank, codon, n FROM usage)
+            SELECT rank, codon, n FROM top WHERE rank <= 10 AND lang = 'en' AND codon IN (SELECT codon FROM top WHERE rank <= 10 AND lang = 'fr')""",
+        "labelled_records": """SELECT doc_id AS seq_id, CASE WHEN starts_with(source, 'src1') THEN 'one' ELSE 'two' END AS genome, source AS header FROM documents
+            WHERE starts_with(source, 'src1') OR starts_with(source, 'src2')""",
+        "tm_means": f"""{_GC}, m AS (SELECT seq_id, (max(bin) + 1 + 3) // 4 AS g FROM bins GROUP BY 1)
+            SELECT seq_id, bin // g AS bin, sum(sum_tm)::BIGINT::DOUBLE / sum(n)::BIGINT AS mean_tm, sum(n)::BIGINT AS n FROM bins JOIN m USING (seq_id) GROUP BY 1, 2""",
+        "tm_mean_range": f"{_GC}, {means} SELECT seq_id, min(mean) AS low_mean, max(mean) AS high_mean FROM means GROUP BY 1",
+        "tm_default_threshold": f"{_GC}, {means} SELECT seq_id, bin, 0 AS ord, round(avg(mean) OVER (PARTITION BY seq_id), 6) AS threshold FROM means",
+        "tm_chart": f"""{_GC}, {means}, lim AS (SELECT seq_id, min(mean) AS lo, max(mean) AS hi FROM means GROUP BY 1)
+            SELECT seq_id, bin AS x, mean AS y, floor(lo - greatest((hi - lo) * 0.05::DOUBLE, 1))::BIGINT AS y_low, ceil(hi + greatest((hi - lo) * 0.05::DOUBLE, 1))::BIGINT AS y_high FROM means JOIN lim USING (seq_id)""",
+        "sliding_shares": f"{_SLIDE} SELECT seq_id, win_idx, {shares} FROM counts",
+        "sliding_series": f"""{_SLIDE}, per AS (SELECT seq_id, CASE WHEN count(*) <= 20 THEN 1 ELSE (count(*) + 7) // 8 END AS per FROM counts GROUP BY 1)
+            SELECT seq_id, win_idx // per AS x, {', '.join(f'(sum({b})::BIGINT::DOUBLE / (count(*) * 50))::FLOAT AS {b}' for b in 'acgt')} FROM counts JOIN per USING (seq_id) GROUP BY 1, 2""",
+        "previews": f"""{_SLIDE} SELECT seq_id, string_agg(printf('%.3f', a::DOUBLE / 50), ', ' ORDER BY win_idx) FILTER (win_idx < 64) ||
+            CASE WHEN count(*) > 64 THEN ' … (+' || (count(*) - 64) || ' more)' ELSE '' END AS shown FROM counts GROUP BY 1""",
+        "symbol_flags": f"""WITH {_CHARS} SELECT DISTINCT symbol, CASE WHEN {_upper('symbol')} IN ('G', 'C') THEN 1 WHEN {_upper('symbol')} IN ('A', 'T') THEN 0 END AS gc,
+            CASE WHEN {_upper('symbol')} IN ('A', 'C', 'G', 'T') THEN instr('ACGT', {_upper('symbol')}) - 1 END::INTEGER AS base FROM chars""",
+        "overlap_lengths": f"""WITH {_PAIRS} SELECT pair_id, coalesce(list_min(list_filter(range(3, least(length(a), length(b)) + 1), lambda n: right(a, n) = left(b, n))), 0) AS overlap FROM pairs""",
+    }
     out |= {f"translate_frame{n}": _frame(n) for n in (1, 2, 3)}
     return out

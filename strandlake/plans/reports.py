@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orfs, reads, symbols, windows
-from ..sources import fasta
+from ..sources import fasta, splits
 
 
 def fasta_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Symbol table, record table and summary of a FASTA file."""
-    found = fasta.statistics_records(spark, path)
-    return {
-        "symbols": symbols.symbol_table(found),
-        "records": symbols.record_lengths(found),
-        "summary": symbols.fasta_summary(found),
-        "files": fasta.file_sizes(spark, path),
-    }
+    found = fasta.statistics_pieces(spark, path)
+    records = splits.lengths(found).select("seq_id", "header", F.col("n").alias("len"))
+    named = F.when(F.col("header") != "", F.struct("seq_id", "header"))
+    summary = records.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"), F.count("*").alias("record_count"), F.min(named)["header"].alias("header_preview"))
+    return {"symbols": symbols.symbol_table(found), "records": records, "summary": summary, "files": fasta.file_sizes(spark, path)}
 
 
 def sliding_view(sequences: DataFrame, window: int = 5, step: int = 1) -> DataFrame:
@@ -41,15 +39,13 @@ def tm_view(
 
 
 def codon_comparison(labelled: DataFrame, first: str, second: str, min_len: int = orfs.MIN_ORF) -> dict[str, DataFrame]:
-    """Codon usage of two genomes (``labelled``: genome, seq_id, seq): the ten most frequent
+    """Codon usage of two genomes (``labelled``: genome, seq_id, seq), each read as one sequence: the ten most frequent
     codons of each, those common to both, and the three most frequent amino acids."""
-    joined = fasta.concatenated(labelled, ("genome",)).withColumn("seq_id", F.lit(0).cast("long"))
-    rna = orfs.rna_of(joined, keep=("genome", "seq_id"))
-    found = orfs.orf_sequences(rna, min_len, keep=("genome", "seq_id"))
-    usage = orfs.codon_usage(found, ("genome",))
+    usage = orfs.joined_codons_used(labelled, ("genome",), ("seq_id",), min_len)
     top = orfs.top_codons(usage, 10, ("genome",))
     acids = orfs.top_amino_acids(orfs.amino_acids(usage, ("genome",)), 3, ("genome",))
     a, b = (top.where(F.col("genome") == g) for g in (first, second))
+    found = orfs.joined_reading_frames(labelled, ("genome",), ("seq_id",), min_len)
     return {"orfs": found, "usage": usage, "top_codons": top, "common": orfs.common(a, b), "top_amino_acids": acids}
 
 

@@ -1,9 +1,7 @@
 """FASTA and raw text sources, plain or gzipped.
 
-Files are split at records ("\\n>"), so a large plain file is read by many tasks; gzip cannot be
-split and is read by one task per file. seq_id is the place in the file order that the reader
-gives: file by file, and within a file by offset (the partition, then the row of it).
-"""
+Large plain files, and large records in them, are read by many tasks (see ``splits``); gzip cannot
+be split and is read by one task per file. seq_id numbers records by file name, then place."""
 
 from __future__ import annotations
 
@@ -11,59 +9,36 @@ import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
+from . import splits
 
-NO_HEADER = "(no header)"
+NO_HEADER = splits.NO_HEADER
+#: Files of a folder whose names say that they hold sequences, for ``records``.
 GLOB = "*.{fa,fasta,fna,faa,fas,txt,gz}"
 
 
-def _strip_lines(body: Column) -> Column:
-    """Lines of a record, each stripped."""
-    return F.transform(F.split(body, "\n"), lambda line: F.regexp_replace(line, "^\\s+|\\s+$", ""))
-
-
-def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, file, value): text between record signs. The first piece of a file may have no
-    header; it keeps its sign if it has one."""
-    text = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    # the id rises with partition and row, which follow files and offsets
-    return text.select(F.col("_at").alias("seq_id"), "file", F.regexp_replace("value", "\r", "").alias("value"))
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(seq_id, file, header, seq): headers and sequences as they are written, lines stripped
-    and joined. What stands before a file's first header is dropped."""
-    raw = raw_records(spark, path)
-    first = W.partitionBy("file").orderBy("seq_id")
-    marked = raw.withColumn("_first", F.row_number().over(first) == 1)
-    begins = F.regexp_replace("value", "^\\s+", "")
-    has = ~F.col("_first") | begins.startswith(">")
-    body = F.when(F.col("_first"), F.regexp_replace(begins, "^>", "")).otherwise(F.col("value"))
-    header = F.trim(F.substring_index("_body", "\n", 1))
-    rest = F.when(F.instr("_body", "\n") > 0, F.expr("substr(_body, instr(_body, '\\n') + 1)")).otherwise(F.lit(""))
-    cut = marked.where(has).withColumn("_body", body)
-    return cut.select("seq_id", "file", header.alias("header"), F.array_join(_strip_lines(rest), "").alias("seq"))
+    and joined. What stands before a file's first header is dropped. ``glob`` (as ``GLOB``)
+    chooses files of a folder by name."""
+    return splits.joined(splits.pieces(spark, path, splits.RECORDS, glob))
 
 
 def statistics_records(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, file, header, seq) for the statistics scan: upper-cased, white space removed;
     symbols before the first header count for the first record, and a file without any header
     is one record "(no header)"."""
-    raw = raw_records(spark, path)
-    order = W.partitionBy("file").orderBy("seq_id")
-    marked = raw.withColumn("_no", F.row_number().over(order)).withColumn("_count", F.count("*").over(W.partitionBy("file")))
-    bare = (F.col("_no") == 1) & ~F.col("value").startswith(">")
-    header = F.when(bare, F.lit(None)).otherwise(S.short_header(F.substring_index(F.regexp_replace("value", "^>", ""), "\n", 1)))
-    rest = F.when(bare, F.col("value")).otherwise(F.when(F.instr("value", "\n") > 0, F.expr("substr(value, instr(value, '\\n') + 1)")).otherwise(""))
-    cut = marked.select("seq_id", "file", "_no", "_count", header.alias("header"), S.without_whitespace(S.ascii_upper(rest)).alias("seq"))
-    lead = F.when(F.col("_no") == 2, F.lag(F.when(F.col("header").isNull(), F.col("seq"))).over(order))
-    joined = cut.withColumn("_lead", lead)
-    kept = joined.where(F.col("header").isNotNull() | ((F.col("_count") == 1) & (F.length("seq") > 0)))
-    return kept.select("seq_id", "file", F.coalesce("header", F.lit(NO_HEADER)).alias("header"), F.concat(F.coalesce("_lead", F.lit("")), "seq").alias("seq"))
+    return splits.joined(statistics_pieces(spark, path))
+
+
+def statistics_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the statistics scan in pieces (see ``splits.pieces``), headers shortened."""
+    found = splits.pieces(spark, path, splits.STATISTICS)
+    return found.withColumn("header", S.short_header(F.col("header")))
 
 
 def concatenated(parts: DataFrame, by: tuple[str, ...] = (), column: str = "seq", order: str = "seq_id") -> DataFrame:
@@ -76,13 +51,19 @@ def concatenated(parts: DataFrame, by: tuple[str, ...] = (), column: str = "seq"
 
 def acgt(spark: SparkSession, path: str) -> DataFrame:
     """(seq): the A, C, G, T of all lines that are no headers, concatenated."""
-    lines = _lines(spark, path).where(~F.col("value").startswith(">"))
-    out = concatenated(lines.select("seq_id", S.acgt_only(F.col("value")).alias("seq")))
+    out = concatenated(base_pieces(spark, path), order="_at")
     if out.where(F.length("seq") > 0).isEmpty():
         raise ValueError("no A, C, G or T in the file")
     return out
 
 
+def base_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(_at, seq): the bases of all lines that are no headers, in pieces, with a key in their order
+    (``operators.concat`` analyses them as one sequence without joining them)."""
+    found = splits.ranges(spark, path, splits.BASES)
+    return found.where(F.length("part") > 0).select(F.struct("file", "block", "rel", "off").alias("_at"), F.col("part").alias("seq"))
+
+
 def raw_or_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq): all lines but headers and blank ones, stripped, upper-cased and joined."""
     stripped = _lines(spark, path).select("seq_id", F.regexp_replace("value", "^\\s+|\\s+$", "").alias("value"))

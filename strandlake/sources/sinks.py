@@ -17,10 +17,10 @@ PROTEIN_WIDTH = 60
 DNA_WIDTH = 70
 
 
-def fasta_text(records: DataFrame, width: int | None = DNA_WIDTH, header: str = "header", column: str = "seq") -> DataFrame:
-    """(value): each record as one text, wrapped to ``width`` or not at all."""
+def fasta_text(records: DataFrame, width: int | None = DNA_WIDTH, header: str = "header", column: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, value): each record as one text, wrapped to ``width`` or not at all."""
     body = F.col(column) if width is None else S.wrapped(F.col(column), width)
-    return records.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), body).alias("value"))
+    return records.select(*keep, F.concat(F.lit(">"), F.col(header), F.lit("\n"), body).alias("value"))
 
 
 def write_fasta(records: DataFrame, path: str, width: int | None = DNA_WIDTH, header: str = "header", column: str = "seq", order: str | None = None) -> None:
