@@ -144,3 +144,17 @@ def preview(values: Column, shown: int = 64) -> Column:
     more = F.size(values) - shown
     return F.when(more > 0, F.concat(head, F.lit(" … (+"), more.cast("string"), F.lit(" more)"))).otherwise(head)
 
+
+def share_text(value: Column) -> Column:
+    """A share with four decimals."""
+    return F.format_string("%.4f", value.cast("double"))
+
+
+def percent_text(value: Column) -> Column:
+    """A percentage with two decimals and its sign."""
+    return F.format_string("%.2f%%", value.cast("double"))
+
+
+def megabytes_text(size: Column) -> Column:
+    """Bytes as millions with one decimal."""
+    return F.format_string("%.1f MB", size.cast("double") / 1e6)

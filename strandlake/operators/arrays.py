@@ -105,6 +105,28 @@ def counted_codons(symbols: np.ndarray, frame: np.ndarray, start: np.ndarray, en
     return codons, counts, frame[owner], start[owner], (places[first] - start[owner]) // 3
 
 
+#: Products of lengths up to which all pairs of symbols are compared, which is less work then.
+_SMALL = 4096
+
+
+def matches_by_shift(short: np.ndarray, long_: np.ndarray) -> np.ndarray:
+    """For each shift from 1 - len(short) to len(long_) - 1, at how many places of ``short`` the
+    symbol equals that of ``long_`` at the place plus the shift.
+
+    One correlation per symbol, by Fourier transforms of the places that have it: n log n, and
+    exact, as the numbers are integers and far larger than the rounding."""
+    m, n = len(short), len(long_)
+    if m * n <= _SMALL:
+        i, j = np.nonzero(short[:, None] == long_[None, :])
+        return np.bincount(j - i + m - 1, minlength=m + n - 1)
+    size = 1 << (m + n - 2).bit_length()
+    total = np.zeros(m + n - 1)
+    for symbol in np.intersect1d(short, long_):
+        one, other = (np.fft.rfft(x == symbol, size) for x in (short[::-1], long_))
+        total += np.rint(np.fft.irfft(one * other, size)[: m + n - 1])
+    return total.astype(np.int64)
+
+
 def apply(rows: DataFrame, column: str, keep: tuple[str, ...], schema: str, kernel: Callable[..., tuple | None], extra: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, *schema): the rows that ``kernel`` makes of the text in ``column``, given as bytes,
     and the values of ``extra``. A kernel returns one array per field, or None."""

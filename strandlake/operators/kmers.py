@@ -1,12 +1,20 @@
-"""k-mer counts over all possible k-mers, and k-mers in order of discovery."""
+"""k-mer counts over all possible k-mers, and k-mers in order of discovery.
+
+Texts count their own k-mers in one numpy pass, so what is shuffled is a row per text and distinct
+k-mer. For large k, when hardly any k-mer repeats in a text, ``long_kmer_counts`` shuffles runs of
+k-mers instead."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .tiles import grams
+from . import arrays
+
+#: Up to here a table of all k-mers is made; of longer ones only those that occur are listed.
+MAX_DOMAIN = 12
 
 
 def domain(spark: SparkSession, k: int) -> DataFrame:
@@ -17,31 +25,113 @@ def domain(spark: SparkSession, k: int) -> DataFrame:
     return spark.range(4**k).select(F.translate(digits, "0123", S.BASES).alias("kmer"))
 
 
+def counted(text: bytes, k: int) -> tuple:
+    """(kmers, n, first place) of the distinct k-mers of a text, as it is written."""
+    if len(text) < k:
+        return (np.zeros(0, np.int64),) * 3
+    places, n = _distinct(arrays.code_points(text), k)
+    symbols = text.decode()
+    return [symbols[i : i + k] for i in places.tolist()], n, places
+
+
+def _distinct(symbols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and counts of distinct k-mers. Symbols are numbered by the few that occur, and
+    runs of them by pairs of shorter runs where the numbers would grow beyond 64 bits."""
+    many = len(symbols) - k + 1
+    if many < 1:
+        return (np.zeros(0, np.int64),) * 2
+    letters, code = np.unique(symbols, return_inverse=True)
+    run, width = code.astype(np.int64), len(letters)
+    for i in range(1, k):
+        if width > (1 << 62) // len(letters):
+            values, run = np.unique(run, return_inverse=True)
+            width = len(values)
+        run = run[: len(symbols) - i] * len(letters) + code[i:]
+        width *= len(letters)
+    _, first, n = np.unique(run, return_index=True, return_counts=True)
+    return first, n
+
+
 def kmer_counts(sequences: DataFrame, k: int, column: str = "seq") -> DataFrame:
     """(kmer, n): overlapping k-mers inside the sequences, as they are written."""
-    return grams(sequences, k, column=column, keep=()).groupBy(F.col("gram").alias("kmer")).agg(F.count("*").alias("n"))
+
+    def kernel(text: bytes) -> tuple:
+        return counted(text, k)[:2]
+
+    return arrays.apply(sequences.select(column), column, (), "kmer string, n long", kernel).groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def kmer_frequencies(sequences: DataFrame, k: int, column: str = "seq") -> DataFrame:
-    """(kmer, n, total, freq): every k-mer over A, C, G, T, with zeros for absent ones.
+    """(kmer, n, total, freq): every k-mer over A, C, G, T, with zeros for absent ones; above
+    ``MAX_DOMAIN`` only those that occur.
 
     total is the number of windows of any content; sequences shorter than k have none."""
     counts = kmer_counts(sequences, k, column)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    # the domain has a fixed size; the total is one row
-    joined = domain(sequences.sparkSession, k).join(counts, "kmer", "left").crossJoin(F.broadcast(total))
+    if k <= MAX_DOMAIN:
+        # the domain has a fixed size
+        counts = domain(sequences.sparkSession, k).join(counts, "kmer", "left")
+    else:
+        counts = counts.where(F.col("kmer").rlike("^[ACGT]+$"))
+    joined = counts.crossJoin(F.broadcast(total))  # one row
     return joined.select("kmer", F.coalesce("n", F.lit(0)).alias("n"), "total").withColumn("freq", S.relative(F.col("n"), F.col("total")))
 
 
+#: Length of the minimizers that deal long k-mers to tasks.
+MINIMIZER = 9
+
+
+def runs_of_kmers(text: bytes, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, begin, end) of the longest runs of windows of ``k`` bases with one minimizer, the
+    m-mer whose mixed number is the least."""
+    letters = np.frombuffer(text.translate(_TWO_BITS), np.uint8).astype(np.uint64)
+    n = len(letters) - k + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 3
+    gram = np.zeros(len(letters) - m + 1, np.uint64)
+    for i in range(m):
+        gram = (gram << np.uint64(2)) | letters[i : i + len(gram)]
+    # runs of one base would attract most windows if the plain numbers were compared
+    mixed = (gram * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
+    least = np.lib.stride_tricks.sliding_window_view(mixed, k - m + 1).min(axis=1)
+    begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    end = np.append(begin[1:], n) + k - 1
+    return least[begin].view(np.int64), begin, end
+
+
+_TWO_BITS = bytes({65: 0, 67: 1, 71: 2, 84: 3}.get(b, 0) for b in range(256))
+
+
+def long_kmer_counts(sequences: DataFrame, k: int, m: int = MINIMIZER, column: str = "seq") -> DataFrame:
+    """(kmer, n): as ``kmer_counts`` of the bases in the sequences, for large k.
+
+    Neighbouring k-mers mostly have the same minimizer, so runs of them are sent as one text, some
+    times k bytes less than one by one. All occurrences of a k-mer have its minimizer, so each
+    is counted where its run arrives, and equal runs once."""
+    if not 0 < m <= min(k, 31):
+        raise ValueError("minimizers are shorter than k-mers")
+
+    def kernel(text: bytes) -> tuple:
+        bases = arrays.bases_of(text)
+        minimizer, begin, end = runs_of_kmers(bases, k, m)
+        symbols = bases.decode()
+        return minimizer, [symbols[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+    runs = arrays.apply(sequences.select(column), column, (), "minimizer long, run string", kernel)
+    equal = runs.repartition("minimizer").groupBy("minimizer", "run").agg(F.count("*").alias("times"))
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substr("run", i, F.lit(k)))).alias("kmer")
+    # grouped by minimizer too, which the rows are dealt by already
+    return equal.select("minimizer", "times", each).groupBy("minimizer", "kmer").agg(F.sum("times").alias("n")).select("kmer", "n")
+
+
 def kmer_presence(sequences: DataFrame, k: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, kmer, n, first_pos): distinct k-mers of each sequence; by first_pos they are in
-    order of discovery."""
-    found = grams(sequences, k, column=column, keep=(keep,))
-    return found.groupBy(F.col(keep).alias("seq_id"), F.col("gram").alias("kmer")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    order of discovery. Rows that repeat a seq_id are sequences of their own."""
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), "kmer string, n long, first_pos long", lambda text: counted(text, k))
 
 
 def distinct_kmers(sequences: DataFrame, k: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, n_distinct) for every sequence, 0 where it is shorter than k."""
-    found = kmer_presence(sequences, k, column, keep).groupBy("seq_id").agg(F.count("*").alias("n_distinct"))
-    ids = sequences.select(F.col(keep).alias("seq_id"))
-    return ids.join(found, "seq_id", "left").select("seq_id", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), "n_distinct long", lambda text: (np.array([len(_distinct(arrays.code_points(text), k)[0])]),))

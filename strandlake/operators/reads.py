@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.shared import ship
+from . import arrays
+from .tiles import grams
 
 MIN_OVERLAP = 30
 
@@ -53,6 +61,21 @@ def sample_reads_at_scale(sequences: DataFrame, reads: int, min_len: int = 100,
     return drawn.select("seq_id", "read_id", "start", "len", F.substr("_seq", F.col("start") + 1, F.col("len")).alias("seq"))
 
 
+def sample_reads_by_coverage(sequences: DataFrame, coverage: float, min_len: int = 100, max_len: int = 150, seed: int = 42, column: str = "seq", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, read_id, start, len, seq): as many reads of every sequence as cover each symbol
+    ``coverage`` times on average. Sequences shorter than a read's length give reads of their own
+    length; null and empty ones give none."""
+    if not coverage > 0 or not 0 < min_len <= max_len:
+        raise ValueError("coverage and lengths must be positive")
+    n = F.length(column)
+    many = F.ceil(n * F.lit(2 * float(coverage)) / F.lit(min_len + max_len)).cast("int")
+    drawn = sequences.where(n > 0).select(F.col(keep).alias("seq_id"), F.col(column).alias("_seq"), F.explode(F.sequence(F.lit(0), many - 1)).alias("read_id"))
+    low, high = F.least(F.lit(min_len), F.length("_seq")), F.least(F.lit(max_len), F.length("_seq"))
+    drawn = drawn.withColumn("len", low + _draw(seed, "len", high - low + 1))
+    drawn = drawn.withColumn("start", _draw(seed, "start", F.length("_seq") - F.col("len") + 1))
+    return drawn.select("seq_id", "read_id", "start", "len", F.substr("_seq", F.col("start") + 1, F.col("len")).alias("seq"))
+
+
 def unique_reads(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, uid, seq, copies, first_id): equal reads once, uid counting from 0 in order of
     first appearance."""
@@ -84,14 +107,11 @@ def overlaps(unique: DataFrame, k: int = MIN_OVERLAP, by: tuple[str, ...] = ())
     return ends.join(starts, [*by, "mer"]).where("left_uid <> right_uid").select(*by, "left_uid", "right_uid")
 
 
-def _walk(rows: pd.DataFrame, k: int, longest: bool) -> tuple[str, list[int]]:
+def _walk(seqs: list[str], k: int, longest: bool) -> tuple[str, list[int]]:
     """The greedy contig of unique reads in order, and the reads in it from left to right.
 
     With overlaps of exactly k the contig's ends are its end reads' ends, so this is one walk
     to the right and one to the left on the graph of ``overlaps``."""
-    seqs = rows["seq"].tolist()
-    if not seqs:
-        return "", []
     seed = max(range(len(seqs)), key=lambda i: len(seqs[i]))
     contig, used, chain = seqs[seed], {seed}, [seed]
     if len(contig) < k:
@@ -130,67 +150,124 @@ def _walk(rows: pd.DataFrame, k: int, longest: bool) -> tuple[str, list[int]]:
 
 
 def _longest(seqs: list[str], k: int, contig: str, used: set[int], chain: list[int]) -> tuple[str, list[int]]:
-    """Always the read with the longest overlap, on the right until none is left, then on the left."""
-
-    def best(fits) -> tuple[int, int]:
-        found = (0, -1)
-        for i, s in enumerate(seqs):
-            if i not in used:
-                size = next((n for n in range(min(len(s), len(contig)), max(k, found[0] + 1) - 1, -1) if fits(s, n)), 0)
-                if size > found[0]:
-                    found = (size, i)
-        return found
-
-    while (got := best(lambda s, n: contig.endswith(s[:n])))[1] >= 0:
-        used.add(got[1])
-        chain.append(got[1])
-        contig += seqs[got[1]][got[0] :]
-    while (got := best(lambda s, n: contig.startswith(s[len(s) - n :])))[1] >= 0:
-        used.add(got[1])
-        chain.insert(0, got[1])
-        contig = seqs[got[1]][: len(seqs[got[1]]) - got[0]] + contig
-    return contig, chain
+    """Always the read with the longest overlap, on the right until none is left, then on the left.
+
+    A read that overlaps the contig's end by k or more has its first k symbols near that end: reads
+    are found by them, from the place that leaves the longest overlap on."""
+    most = max(map(len, seqs))
+
+    def grown(end: str, first: dict[str, list[int]], text: list[str]) -> list[tuple[int, int]]:
+        """(read, overlap) of the reads that extend the text ``end`` to the right."""
+        steps = []
+        while True:
+            end = end[-most:]
+            for place in range(len(end) - k + 1):
+                tail = end[place:]
+                found = next((i for i in first.get(tail[:k], ()) if i not in used and text[i].startswith(tail)), None)
+                if found is not None:
+                    break
+            else:
+                return steps
+            used.add(found)
+            steps.append((found, len(tail)))
+            end += text[found][len(tail) :]
+
+    def indexed(text: list[str]) -> dict[str, list[int]]:
+        first: dict[str, list[int]] = {}
+        for i, s in enumerate(text):
+            if len(s) >= k:
+                first.setdefault(s[:k], []).append(i)
+        return first
+
+    right = grown(contig, indexed(seqs), seqs)
+    contig += "".join(seqs[i][n:] for i, n in right)
+    # to the left, everything is read backwards
+    turned = [s[::-1] for s in seqs]
+    left = grown(contig[::-1], indexed(turned), turned)
+    contig = "".join(seqs[i][: len(seqs[i]) - n] for i, n in reversed(left)) + contig
+    return contig, [i for i, _ in reversed(left)] + chain + [i for i, _ in right]
 
 
 def assemble(unique: DataFrame, k: int = MIN_OVERLAP, overlap: str = "exact_k", by: str = "assembly_id") -> DataFrame:
     """(by, contig, reads_used, reads) of each group of unique reads, greedily from the longest.
 
-    A walk is sequential, so a group is one task's; groups are independent. ``overlap`` is
-    'exact_k' (reads whose k end symbols match, first unused one) or 'longest'."""
+    A walk is sequential, so a group is one task's; groups are independent, and a task holds one
+    at a time. ``overlap`` is 'exact_k' (reads whose k end symbols match, first unused one) or
+    'longest'."""
     if overlap not in ("exact_k", "longest"):
         raise ValueError("overlap is 'exact_k' or 'longest'")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        contig, chain = _walk(rows.sort_values("uid"), k, overlap == "longest")
-        return pd.DataFrame({by: [rows[by].iloc[0]], "contig": [contig], "reads_used": [len(chain)], "reads": [len(rows)]})
-
-    kind = unique.schema[by].dataType.simpleString()
-    return unique.select(by, "uid", "seq").groupBy(by).applyInPandas(run, f"{by} {kind}, contig string, reads_used long, reads long")
+    kind = unique.select(by).schema[0].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (by, "seq"))))
+        out: list[tuple] = []
+        for key, group in groupby(rows, key=lambda r: r[0]):
+            seqs = [r[1] for r in group]
+            contig, chain = _walk(seqs, k, overlap == "longest")
+            out.append((key, contig, len(chain), len(seqs)))
+            if len(out) == 500:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        types = (arrow, pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [by, "contig", "reads_used", "reads"])
+
+    ship(unique.sparkSession)
+    dealt = unique.select(by, "uid", "seq").repartition(by).sortWithinPartitions(by, "uid")
+    return dealt.mapInArrow(run, f"`{by}` {kind.simpleString()}, contig string, reads_used long, reads long")
+
+
+def overlap_graph(unique: DataFrame, k: int = MIN_OVERLAP, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, left_uid, right_uid, overlap): the longest overlap of at least ``k`` symbols of an end
+    of one read with a beginning of another, shorter than both.
+
+    A read's first k symbols are its seed; it overlaps where another read has the seed and
+    what follows agrees to the end."""
+    ends = unique.where(F.length("seq") > k).select(*by, F.col("uid").alias("left_uid"), "seq")
+    found = grams(ends, k, column="seq", keep=(*by, "left_uid", "seq")).where("pos > 0")
+    seeds = unique.where(F.length("seq") > k).select(*by, F.col("uid").alias("right_uid"), F.left("seq", F.lit(k)).alias("gram"), F.col("seq").alias("right_seq"))
+    met = found.join(seeds, [*by, "gram"]).where("left_uid <> right_uid")
+    tail = F.substr("seq", F.col("pos").cast("int") + 1)
+    fits = met.where((F.length(tail) < F.length("right_seq")) & F.startswith("right_seq", tail))
+    return fits.groupBy(*by, "left_uid", "right_uid").agg(F.max(F.length(tail)).cast("long").alias("overlap"))
+
+
+def reduced_graph(graph: DataFrame, unique: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``graph`` without the overlaps that two others imply: where a read is met by way of a third
+    one at the same distance."""
+    sizes = unique.select(*by, F.col("uid").alias("left_uid"), F.length("seq").alias("_n"))
+    edges = graph.join(sizes, [*by, "left_uid"]).withColumn("far", F.col("_n") - F.col("overlap")).select(*by, "left_uid", "right_uid", "overlap", "far")
+    one = edges.select(*by, "left_uid", F.col("right_uid").alias("mid"), F.col("far").alias("_a"))
+    two = edges.select(*by, F.col("left_uid").alias("mid"), "right_uid", F.col("far").alias("_b"))
+    implied = one.join(two, [*by, "mid"]).select(*by, "left_uid", "right_uid", (F.col("_a") + F.col("_b")).alias("far")).distinct()
+    return edges.join(implied, [*by, "left_uid", "right_uid", "far"], "left_anti").select(*by, "left_uid", "right_uid", "overlap")
 
 
 def identity_profile(pairs: DataFrame, min_overlap: int = 1, keep: str = "pair_id") -> DataFrame:
-    """(pair_id, off, matches, total, identity) of every shift of the shorter sequence ``a`` or
+    """(pair_id, off, sign, matches, total, identity) of every shift of the shorter sequence ``a`` or
     ``b`` along the longer one that overlaps by at least ``min_overlap``.
 
-    Equal symbols are joined within a pair and summed by shift; the overlap's size has a closed
-    form, and shifts without a match are kept."""
-    shorter = F.length("a") < F.length("b")
-    sides = pairs.select(
-        F.col(keep).alias("pair_id"),
-        F.when(shorter, F.col("a")).otherwise(F.col("b")).alias("s"),
-        F.when(shorter, F.col("b")).otherwise(F.col("a")).alias("l"),
-        F.when(shorter, -1).otherwise(1).alias("sign"),
-    ).where((F.length("s") > 0))
-    letters = lambda c: F.posexplode(F.filter(F.split(c, ""), lambda x: x != ""))
-    short = sides.select("pair_id", letters("s").alias("i", "base"))
-    long_ = sides.select("pair_id", letters("l").alias("j", "base"))
-    hits = short.join(long_, ["pair_id", "base"]).groupBy("pair_id", (F.col("j") - F.col("i")).alias("off")).agg(F.count("*").alias("matches"))
-    ls, ll = F.length("s"), F.length("l")
-    shifts = sides.select("pair_id", "sign", ls.alias("ls"), ll.alias("ll"), F.explode(F.sequence(1 - ls, ll - 1)).alias("off"))
-    total = F.least("ls", F.col("ll") - F.col("off")) - F.greatest(F.lit(0), -F.col("off"))
-    joined = shifts.withColumn("total", total.cast("long")).where(F.col("total") >= min_overlap).join(hits, ["pair_id", "off"], "left")
-    matches = F.coalesce("matches", F.lit(0)).alias("matches")
-    return joined.select("pair_id", "off", "sign", matches, "total").withColumn("identity", F.col("matches") / F.col("total"))
+    A pair correlates its own sequences (see ``arrays.matches_by_shift``); shifts without a match
+    are kept. Pairs with a null or empty sequence have no shifts."""
+
+    def kernel(a: bytes, b: str) -> tuple | None:
+        one, other = arrays.code_points(a), arrays.code_points(b.encode())
+        sign = -1 if len(one) < len(other) else 1
+        short, long_ = (one, other) if sign < 0 else (other, one)
+        if not len(short):
+            return None
+        off = np.arange(1 - len(short), len(long_))
+        total = np.minimum(len(short), len(long_) - off) - np.maximum(0, -off)
+        keep_ = total >= min_overlap
+        return off[keep_], np.full(keep_.sum(), sign), arrays.matches_by_shift(short, long_)[keep_], total[keep_]
+
+    rows = pairs.where("a is not null and b is not null").select(F.col(keep).alias("pair_id"), "a", "b")
+    shifts = arrays.apply(rows, "a", ("pair_id",), "off int, sign int, matches long, total long", kernel, ("b",))
+    return shifts.withColumn("identity", F.col("matches") / F.col("total"))
 
 
 def best_shift(profile: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
+from . import arrays
 
 
 def _letters(column: Column) -> Column:
@@ -17,10 +19,12 @@ def _letters(column: Column) -> Column:
 def symbol_counts(sequences: DataFrame, column: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, symbol, n, first): one row per text and distinct symbol, with its number and first
     place. A symbol is a code point. Texts count their own symbols, so no row per place exists."""
-    text = F.col(column)
-    each = sequences.select(*keep, text.alias("_text"), F.explode(_letters(text)).alias("symbol"))
-    n = F.length("_text") - F.length(F.replace("_text", "symbol", F.lit("")))
-    return each.select(*keep, "symbol", n.cast("long").alias("n"), (F.position("symbol", "_text") - 1).cast("long").alias("first"))
+
+    def kernel(text: bytes) -> tuple:
+        letters, first, n = np.unique(arrays.code_points(text), return_index=True, return_counts=True)
+        return [chr(x) for x in letters.tolist()], n, first
+
+    return arrays.apply(sequences.select(*keep, column), column, keep, "symbol string, n long, first long", kernel)
 
 
 def symbol_frequencies(sequences: DataFrame, column: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:

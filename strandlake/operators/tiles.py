@@ -42,5 +42,5 @@ def grams_in(tile: Column, width: int, size: int = TILE, step: int = 1) -> Colum
 def grams(sequences: DataFrame, width: int, size: int = TILE, column: str = "seq", keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keep, n, pos, gram): every run of ``width`` symbols with its position."""
     cut = tiles(sequences, width - 1, size, column, keep)
-    found = cut.select(*keep, "n", "tile_off", F.explode(grams_in(F.col("tile"), width, size)).alias("g"))
-    return found.select(*keep, "n", (F.col("tile_off") + F.col("g.i")).alias("pos"), F.col("g.gram").alias("gram"))
+    found = cut.select(*keep, "n", "tile_off", F.explode(grams_in(F.col("tile"), width, size)).alias("_g"))
+    return found.select(*keep, "n", (F.col("tile_off") + F.col("_g.i")).alias("pos"), F.col("_g.gram").alias("gram"))

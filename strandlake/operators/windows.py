@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 
 from ..functions import sequences as S
 from . import arrays, concat
-from .tiles import TILE, tiles
 
 #: Windows up to which a full series is given, and the points of a reduced one.
 FULL_WINDOWS = 2_000_000
@@ -34,23 +33,25 @@ def window_counts(sequences: DataFrame, window: int, step: int, column: str = "s
     return clean.select("seq_id", S.window_count(F.length("seq"), window, step).alias("windows"))
 
 
-def sliding_counts(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id", total: bool = False) -> DataFrame:
-    """(seq_id, win_idx, a, c, g, t): base counts of the full windows that start every ``step``;
-    with ``total`` also how many windows the sequence has (``windows``).
+def _counted(bases: bytes, begin: np.ndarray, window: int) -> list[np.ndarray]:
+    """A, C, G and T in the windows that start at ``begin``, by differences of running counts."""
+    symbols = np.frombuffer(bases, np.uint8)
+    running = (np.concatenate([[0], np.cumsum(symbols == ord(b))]) for b in S.BASES)
+    return [r[begin + window] - r[begin] for r in running]
 
-    Each window is cut from its tile, whose size follows the window's."""
+
+def sliding_counts(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
+    """(seq_id, win_idx, a, c, g, t): base counts of the full windows that start every ``step``."""
     if window < 1 or step < 1:
         raise ValueError("window and step must be positive")
-    size = max(TILE, -(-2 * window // step) * step)
-    size = -(-size // step) * step
-    cut = tiles(_bases(sequences, column, keep), window - 1, size)
-    last = F.least(F.length("tile") - window, F.lit(size - 1))
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    many = [S.window_count(F.col("n"), window, step).alias("windows")] if total else []
-    at = cut.select("seq_id", "tile_off", "tile", *many, F.explode(starts).alias("i"))
-    more = ["windows"] if total else []
-    piece = at.select("seq_id", *more, ((F.col("tile_off") + F.col("i")) / step).cast("long").alias("win_idx"), F.substr("tile", F.col("i") + 1, F.lit(window)).alias("w"))
-    return piece.select("seq_id", *more, "win_idx", *(S.count_base(F.col("w"), b).alias(b.lower()) for b in S.BASES))
+
+    def kernel(text: bytes) -> tuple:
+        bases = arrays.bases_of(text)
+        begin = np.arange(0, len(bases) - window + 1, step)
+        return begin // step, *_counted(bases, begin, window)
+
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), "win_idx long, a long, c long, g long, t long", kernel)
 
 
 def sliding_frequencies(sequences: DataFrame, window: int, step: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
@@ -62,12 +63,20 @@ def sliding_frequencies(sequences: DataFrame, window: int, step: int, column: st
 def downsampled(sequences: DataFrame, window: int, step: int, width: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, bucket, windows, a, c, g, t): sums of base counts over ceil(windows / width)
     neighbouring windows. Shares are sums over windows * window."""
-    if width < 1:
-        raise ValueError("width must be positive")
-    counts = sliding_counts(sequences, window, step, column, keep, total=True)
-    per = F.greatest(F.ceil(F.col("windows") / F.lit(width)), F.lit(1))
-    bucket = F.floor(F.col("win_idx") / per).alias("bucket")
-    return counts.groupBy("seq_id", bucket).agg(F.count("*").alias("windows"), *(F.sum(b).alias(b) for b in "acgt"))
+    if min(width, window, step) < 1:
+        raise ValueError("window, step and width must be positive")
+
+    def kernel(text: bytes) -> tuple | None:
+        bases = arrays.bases_of(text)
+        begin = np.arange(0, len(bases) - window + 1, step)
+        if not len(begin):
+            return None
+        cuts = np.arange(0, len(begin), -(-len(begin) // width))
+        sums = (np.add.reduceat(c, cuts) for c in _counted(bases, begin, window))
+        return np.arange(len(cuts)), np.diff(np.append(cuts, len(begin))), *sums
+
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    return arrays.apply(rows, "seq", ("seq_id",), "bucket long, windows long, a long, c long, g long, t long", kernel)
 
 
 def series(sequences: DataFrame, window: int, step: int, full: int = FULL_WINDOWS, points: int = CHART_POINTS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
@@ -133,10 +142,8 @@ def joined_sliding_counts(parts: DataFrame, by: tuple[str, ...], order: tuple[st
         raise ValueError("window and step must be positive")
 
     def kernel(tile: bytes, at: int) -> tuple:
-        symbols = np.frombuffer(tile, np.uint8)
-        begin = np.arange((-at) % step, min(len(symbols) - window + 1, block), step)
-        running = [np.concatenate([[0], np.cumsum(symbols == ord(b))]) for b in S.BASES]
-        return (at + begin) // step, *(r[begin + window] - r[begin] for r in running)
+        begin = np.arange((-at) % step, min(len(tile) - window + 1, block), step)
+        return (at + begin) // step, *_counted(tile, begin, window)
 
     cut = concat.base_blocks(parts, by, order, window - 1, block, column)
     return arrays.apply(cut, "tile", by, "win_idx long, a long, c long, g long, t long", kernel, ("tile_off",))
@@ -228,3 +235,42 @@ def chart(bins: DataFrame) -> DataFrame:
     whole = W.partitionBy("seq_id")
     low, high = y_range(F.min("mean_tm").over(whole), F.max("mean_tm").over(whole))
     return bins.select("seq_id", F.col("bin").alias("x"), F.col("mean_tm").alias("y"), low.alias("y_low"), high.alias("y_high"))
+
+
+#: Colours that threshold bars go through.
+COLOURS = 5
+
+
+def _layer(rows: DataFrame, layer: str, series: Column, x: Column, y: Column, colour: Column) -> DataFrame:
+    return rows.select("seq_id", F.lit(layer).alias("layer"), series.cast("string").alias("series"), x.cast("long").alias("x"), y.cast("double").alias("y"), colour.cast("int").alias("colour"))
+
+
+def chart_layers(bins: DataFrame, values: list[float] | None = None) -> DataFrame:
+    """(seq_id, layer, series, x, y, colour): a temperature chart with its thresholds as one table,
+    from which an image is drawn without further decisions.
+
+    Layers: ``line`` has a point for each bin; ``limit`` the lower and the upper end of the axis
+    (series low and high); ``bar`` a point over each bin for each threshold, which is its series, in
+    one of ``COLOURS`` colours. Without ``values`` the threshold is the mean of the bin means."""
+    points = chart(bins)
+    ends = points.groupBy("seq_id").agg(F.min("y_low").alias("low"), F.max("y_high").alias("high"))
+    none = F.lit(None)
+    bars = thresholds(bins, values)
+    out = _layer(points, "line", F.lit("mean_tm"), F.col("x"), F.col("y"), F.lit(0))
+    for end in ("low", "high"):
+        out = out.unionByName(_layer(ends, "limit", F.lit(end), none, F.col(end), none))
+    return out.unionByName(_layer(bars, "bar", F.col("ord"), F.col("bin"), F.col("threshold"), F.col("ord") % COLOURS + 1))
+
+
+def series_layers(shares: DataFrame) -> DataFrame:
+    """(seq_id, layer, series, x, y, colour) of a composition chart: a ``line`` for each base, ``grid``
+    lines at the quarters, and the ``limit`` 0 and 1."""
+    lines = [_layer(shares, "line", F.lit(b), F.col("x"), F.col(b), F.lit(i)) for i, b in enumerate("acgt")]
+    ids = shares.select("seq_id").distinct()
+    grid = ids.select("seq_id", F.explode(F.array(*(F.lit(q / 4) for q in range(5)))).alias("q"))
+    out = _layer(grid, "grid", F.col("q"), F.lit(None), F.col("q"), F.lit(None))
+    for name, end in (("low", 0.0), ("high", 1.0)):
+        out = out.unionByName(_layer(ids, "limit", F.lit(name), F.lit(None), F.lit(end), F.lit(None)))
+    for line in lines:
+        out = out.unionByName(line)
+    return out

@@ -121,6 +121,18 @@ _SAMPLED = f"""{_SEQ}, dr AS (SELECT seq_id, q, unnest(range(0, 6))::INTEGER AS
     sm AS (SELECT seq_id, read_id, start, len, substring(q, start + 1, len) AS seq FROM st)"""
 
 
+_COVERED = f"""{_SEQ}, dr AS (SELECT seq_id, q, length(q) AS n, unnest(range(0, ceil(length(q) * 8.0::DOUBLE / 100)::BIGINT))::INTEGER AS read_id FROM seqs WHERE length(q) > 0),
+    ln AS (SELECT *, (least(40, n) + {_draw('len', 'least(60, n) - least(40, n) + 1')})::INTEGER AS len FROM dr),
+    st AS (SELECT *, {_draw('start', 'n - len + 1')} AS start FROM ln),
+    sm AS (SELECT seq_id, read_id, start, len, substring(q, start + 1, len) AS seq FROM st)"""
+
+_GRAPH = f"""{_READS},
+    pr AS (SELECT l.assembly_id, l.uid AS left_uid, r.uid AS right_uid, length(l.seq) AS n,
+                  list_max(list_filter(range(3, least(length(l.seq), length(r.seq))), lambda n: right(l.seq, n) = left(r.seq, n))) AS overlap
+           FROM un l JOIN un r ON l.assembly_id = r.assembly_id AND l.uid <> r.uid),
+    gr AS (SELECT assembly_id, left_uid, right_uid, overlap, n - overlap AS far FROM pr WHERE overlap IS NOT NULL)"""
+
+
 def _walk(name: str, meets: str, longer: str) -> str:
     """Steps from the seed to the first unused read that meets the end, as a recursive table."""
     return f"""{name}(id, seq, used, contig) AS (SELECT id, seq, used, contig FROM {'seed' if name == 'ahead' else 'turned'} UNION ALL
@@ -279,7 +291,26 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN count(*) > 64 THEN ' … (+' || (count(*) - 64) || ' more)' ELSE '' END AS shown FROM counts GROUP BY 1""",
         "symbol_flags": f"""WITH {_CHARS} SELECT DISTINCT symbol, CASE WHEN {_upper('symbol')} IN ('G', 'C') THEN 1 WHEN {_upper('symbol')} IN ('A', 'T') THEN 0 END AS gc,
             CASE WHEN {_upper('symbol')} IN ('A', 'C', 'G', 'T') THEN instr('ACGT', {_upper('symbol')}) - 1 END::INTEGER AS base FROM chars""",
+        "kmer_counts_k21": f"WITH {_SEQ}, {_windows(21)} SELECT substring(q, pos + 1, 21) AS kmer, count(*) AS n FROM grams GROUP BY 1",
+        "kmer_freq_k13": f"""WITH {_SEQ}, {_windows(13)}, cnt AS (SELECT substring(q, pos + 1, 13) AS kmer, count(*) AS n FROM grams GROUP BY 1)
+            SELECT kmer, n, (sum(n) OVER ())::BIGINT AS total, n::DOUBLE / (sum(n) OVER ())::BIGINT AS freq FROM cnt""",
+        "read_graph": f"WITH {_GRAPH} SELECT assembly_id, left_uid, right_uid, overlap FROM gr",
+        "read_graph_reduced": f"""WITH {_GRAPH} SELECT assembly_id, left_uid, right_uid, overlap FROM gr WHERE NOT EXISTS (SELECT 1 FROM gr a JOIN gr b
+            ON b.assembly_id = a.assembly_id AND b.left_uid = a.right_uid WHERE a.assembly_id = gr.assembly_id AND a.left_uid = gr.left_uid AND b.right_uid = gr.right_uid AND a.far + b.far = gr.far)""",
+        "sample_coverage": f"WITH {_COVERED} SELECT * FROM sm",
         "overlap_lengths": f"""WITH {_PAIRS} SELECT pair_id, coalesce(list_min(list_filter(range(3, least(length(a), length(b)) + 1), lambda n: right(a, n) = left(b, n))), 0) AS overlap FROM pairs""",
     }
+    layers = "SELECT seq_id, '{}' AS layer, {} AS series, {} AS x, {} AS y, {}::INTEGER AS colour FROM {}"
+    ends = [layers.format("limit", f"'{n}'", "NULL::BIGINT", f"y_{n}::DOUBLE", "NULL", "ends") for n in ("low", "high")]
+    out["tm_chart_layers"] = " ".join([
+        f"WITH pts AS ({out['tm_chart']}), ends AS (SELECT DISTINCT seq_id, y_low, y_high FROM pts), th(ord, t) AS (VALUES (0, 22.0::DOUBLE), (1, 24.5::DOUBLE))",
+        " UNION ALL ".join([layers.format("line", "'mean_tm'", "x", "y", "0", "pts"), *ends, layers.format("bar", "ord::VARCHAR", "x", "t", "ord % 5 + 1", "pts CROSS JOIN th")]),
+    ])
+    lines = [layers.format("line", f"'{b}'", "x", f"{b}::DOUBLE", str(i), "ser") for i, b in enumerate("acgt")]
+    grid = [layers.format("grid", f"'{q / 4}'", "NULL::BIGINT", f"{q / 4}::DOUBLE", "NULL", "ids") for q in range(5)]
+    edges = [layers.format("limit", f"'{n}'", "NULL::BIGINT", f"{v}::DOUBLE", "NULL", "ids") for n, v in (("low", 0), ("high", 1))]
+    out["series_layers"] = f"WITH ser AS ({out['sliding_series']}), ids AS (SELECT DISTINCT seq_id FROM ser) " + " UNION ALL ".join([*lines, *grid, *edges])
+    out["symbol_lines"] = f"SELECT ord, rpad(symbol, 2, ' ') || ' ' || n || ' ' || printf('%.2f%%', pct) AS line FROM ({out['symbol_table']})"
+    out["kmer_lines"] = f"SELECT kmer, kmer || ': ' || n || ' (' || printf('%.4f', freq) || ')' AS line FROM ({out['kmer_freq_k2']})"
     out |= {f"translate_frame{n}": _frame(n) for n in (1, 2, 3)}
     return out

@@ -21,6 +21,8 @@ from . import reports
 #: Prose leaves short runs of bases, so reading frames are accepted from here on.
 MIN_LEN = 30
 READ_K = 12
+#: How often reads cover a symbol on average.
+COVERAGE = 4.0
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +332,23 @@ def tm_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.chart(windows.tm_bins(_docs(spark, sf_dir), windows_per_bin=256)).select("seq_id", "x", "y", F.col("y_low").cast("long").alias("y_low"), F.col("y_high").cast("long").alias("y_high"))
 
 
+def tm_chart_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole temperature chart as one table, with two thresholds."""
+    return windows.chart_layers(windows.tm_bins(_docs(spark, sf_dir), windows_per_bin=256), [22.0, 24.5])
+
+
+def series_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.series_layers(sliding_series(spark, sf_dir))
+
+
+def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.symbol_lines(symbol_table(spark, sf_dir))
+
+
+def kmer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.kmer_lines(kmer_freq_k2(spark, sf_dir))
+
+
 def sliding_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sliding_frequencies(_docs(spark, sf_dir), 50, 10)
 
@@ -352,6 +371,40 @@ def symbol_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", S.gc_flag(F.col("symbol")).alias("gc"), S.base_index(S.ascii_upper(F.col("symbol"))).cast("int").alias("base"))
 
 
+def kmer_counts_k21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.long_kmer_counts(_docs(spark, sf_dir), 21)
+
+
+def kmer_freq_k13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too many possible k-mers to list those that are absent."""
+    return kmers.kmer_frequencies(_bases(spark, sf_dir), 13)
+
+
+def read_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest overlaps of at least three bases between the turns of a conversation."""
+    return reads.overlap_graph(unique_reads(spark, sf_dir), 3, ("assembly_id",))
+
+
+def read_graph_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique = unique_reads(spark, sf_dir)
+    return reads.reduced_graph(reads.overlap_graph(unique, 3, ("assembly_id",)), unique, ("assembly_id",))
+
+
+def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of every document that cover it four times."""
+    return reads.sample_reads_by_coverage(_bases(spark, sf_dir), COVERAGE, 40, 60)
+
+
+def assemble_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = sample_coverage(spark, sf_dir).withColumnRenamed("seq_id", "assembly_id")
+    return reads.assemble(reads.unique_reads(sampled, ("assembly_id",)), READ_K)
+
+
+def assemble_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = sample_coverage(spark, sf_dir).withColumnRenamed("seq_id", "assembly_id")
+    return reads.assemble(reads.unique_reads(sampled, ("assembly_id",)), READ_K, "longest")
+
+
 def overlap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest overlap of at least three bases of a first turn's end with another turn."""
     return _pairs(spark, sf_dir).select("pair_id", reads.overlap_length(F.col("a"), F.col("b"), 3).cast("long").alias("overlap"))
@@ -365,6 +418,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         common_codons, aa_usage, top_aa, aa_nutrition, top_aa_union, first_orf, translate_orf, translate_frame1, translate_frame2,
         translate_frame3, fasta_scan, fasta_scan_lengths, fasta_scan_symbols, fasta_scan_tm_bins, fasta_lines, joined_places, joined_tm_bins,
         joined_sliding, joined_orfs, joined_codons, genome_comparison, labelled_records, tm_means, tm_mean_range, tm_default_threshold, tm_chart,
-        sliding_shares, sliding_series, previews, symbol_flags, overlap_lengths, unique_reads, seed_reads, read_overlaps, sample_reads, assemble, identity_profile, best_shift, containment,
+        sliding_shares, sliding_series, previews, symbol_flags, tm_chart_layers, series_layers, symbol_lines, kmer_lines, overlap_lengths, kmer_counts_k21, kmer_freq_k13, read_graph, read_graph_reduced, sample_coverage, assemble_coverage, assemble_longest, unique_reads, seed_reads, read_overlaps, sample_reads, assemble, identity_profile, best_shift, containment,
     )
     return {f.__name__: f for f in names}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sequences as S
 from ..operators import orfs, reads, symbols, windows
 from ..sources import fasta, splits
 
@@ -18,6 +19,17 @@ def fasta_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"symbols": symbols.symbol_table(found), "records": records, "summary": summary, "files": fasta.file_sizes(spark, path)}
 
 
+def symbol_lines(symbols_: DataFrame) -> DataFrame:
+    """(ord, line): the symbol table as the lines of a list: symbol, count, percentage."""
+    line = F.format_string("%-2s %d %s", F.col("symbol"), F.col("n"), S.percent_text(F.col("pct")))
+    return symbols_.select("ord", line.alias("line"))
+
+
+def kmer_lines(frequencies: DataFrame) -> DataFrame:
+    """(kmer, line): a k-mer frequency table as lines."""
+    return frequencies.select("kmer", F.format_string("%s: %d (%s)", F.col("kmer"), F.col("n"), S.share_text(F.col("freq"))).alias("line"))
+
+
 def sliding_view(sequences: DataFrame, window: int = 5, step: int = 1) -> DataFrame:
     """The composition series of each sequence, full or reduced by its number of windows."""
     return windows.series(sequences, window, step)
@@ -35,7 +47,7 @@ def tm_view(
     if windows_per_bin < 256 or target < 32:
         raise ValueError("a bin has at least 256 windows and a chart 32 bins")
     bins = windows.merge_bins(windows.tm_bins(sequences, k, windows_per_bin, sodium), target)
-    return {"bins": bins, "summary": windows.tm_summary(bins), "chart": windows.chart(bins), "thresholds": windows.thresholds(bins, limits)}
+    return {"bins": bins, "summary": windows.tm_summary(bins), "chart": windows.chart(bins), "thresholds": windows.thresholds(bins, limits), "layers": windows.chart_layers(bins, limits)}
 
 
 def codon_comparison(labelled: DataFrame, first: str, second: str, min_len: int = orfs.MIN_ORF) -> dict[str, DataFrame]:

@@ -5,13 +5,8 @@ be split and is read by one task per file. seq_id numbers records by file name,
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import sequences as S
 from . import splits
@@ -80,30 +75,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq_id"), "value")
 
 
-def sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, file, header, seq) as ``records``, for files that are gzip by name in any case or
-    by their first two bytes. Whole files are read, each by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                header, parts, found = None, [], []
-                for line in (*data.decode("utf-8", "replace").splitlines(), ">"):
-                    line = line.strip()
-                    if line.startswith(">"):
-                        if header is not None:
-                            found.append((header, "".join(parts)))
-                        header, parts = line[1:].strip(), []
-                    elif line:
-                        parts.append(line)
-                yield pa.RecordBatch.from_pydict({"file": [file] * len(found), "no": list(range(len(found))), "header": [h for h, _ in found], "seq": [s for _, s in found]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInArrow(run, "file string, no long, header string, seq string")
-    order = F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy("file"))
-    numbered = rows.select("file").distinct().withColumn("_f", order)
-    return rows.join(numbered, "file").select((F.col("_f").cast("long") * 2**33 + F.col("no")).alias("seq_id"), "file", "header", "seq")
+def sniffed(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(seq_id, file, header, seq) as ``records``, for files that are gzip by name or by their first
+    two bytes."""
+    return splits.joined(splits.pieces(spark, path, splits.RECORDS, glob, sniff=True))
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -90,20 +90,27 @@ What greedy assembly of short reads cannot settle
 """
 
 
-def chart_image(points: DataFrame, path: str, title: str, x: str = "x", y: str = "y", bars: bool = False, limits: list[float] | None = None) -> None:
-    """A PNG of a chart's points, where matplotlib is there. The points are few by contract."""
+def chart_image(layers: DataFrame, path: str, title: str) -> None:
+    """A PNG of the layers of one chart (see ``windows.chart_layers``), where matplotlib is there. It
+    only draws what the table says; charts are few points by contract."""
     try:
         import matplotlib
 
         matplotlib.use("Agg")
         from matplotlib import pyplot
     except ImportError as error:
-        raise RuntimeError("charts need matplotlib; the points are in the DataFrame") from error
-    rows = points.select(x, y).orderBy(x).collect()
+        raise RuntimeError("charts need matplotlib; the layers are in the DataFrame") from error
+    found: dict[tuple, list] = {}
+    for row in layers.select("layer", "series", "x", "y", "colour").orderBy("layer", "series", "x").collect():
+        found.setdefault((row.layer, row.series, row.colour), []).append((row.x, row.y))
     figure, axes = pyplot.subplots(figsize=(12, 4.2))
-    (axes.bar if bars else axes.plot)([r[0] for r in rows], [r[1] for r in rows])
-    for i, limit in enumerate(limits or ()):
-        axes.axhline(limit, color=f"C{1 + i % 5}")
+    for (layer, series, colour), points in found.items():
+        if layer == "limit":
+            axes.set_ylim(**{"bottom" if series == "low" else "top": points[0][1]})
+        elif layer == "grid":
+            axes.axhline(points[0][1], color="0.85", linewidth=0.8)
+        else:
+            axes.plot([p[0] for p in points], [p[1] for p in points], color=f"C{colour}", label=series)
     axes.set_title(title)
-    figure.savefig(path, dpi=150)
+    figure.savefig(path, dpi=100)
     pyplot.close(figure)

@@ -8,14 +8,17 @@ prefix sum over the summaries, one row a range, says what each one carries on fr
 adding that to the pieces makes their places absolute. Neither a record nor a file ever meets in
 one task, no line is moved, and no order of rows is relied on beyond that inside a range.
 
-Gzip cannot be split: such a file is one range. A line is a value, so one of gigabytes is not
+Gzip cannot be split: such a file is one range, also if only its first bytes say what it is; those
+are inflated as they stream through a task, member by member. A line is a value, so one of gigabytes is not
 read in parts; files with wrapped lines, as FASTA usually is, have no such limit."""
 
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,8 @@ from .shared import ship
 NO_HEADER = "(no header)"
 #: Symbols of a piece at most, but for one line.
 PIECE = 1 << 18
+#: Pieces that leave a task together.
+OUT = 1_000
 
 _UPPER = bytes.maketrans(string.ascii_lowercase.encode(), string.ascii_uppercase.encode())
 _NO_BASE = bytes(b for b in range(256) if b not in b"ACGTacgt")
@@ -108,43 +113,117 @@ def _title(line: bytes) -> str:
     return line.decode("utf-8", "replace").strip().removeprefix(">").strip()
 
 
+def _pieces(rows: Iterator[tuple[str, int, list[bytes]]], style: Style) -> Iterator[pa.RecordBatch]:
+    """The pieces of lines that come as (file, block, some of its lines)."""
+    now: _Range | None = None
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _TYPES)], _NAMES)
+
+    for file, block, lines in rows:
+        if now is None or now.at != (file, block):
+            if now is not None:
+                now.flush(False)
+                if now.out:
+                    yield batch_of(now.out)
+            now = _Range(file, block, style)
+        for line in lines:
+            now.add(line)
+        if len(now.out) >= OUT:
+            yield batch_of(now.out)
+            now.out = []
+    if now is not None:
+        now.flush(False)
+        if now.out:
+            yield batch_of(now.out)
+
+
 def _cut(style: Style):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: _Range | None = None
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
-
-        for batch in batches:
-            rows = zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist())
-            for file, block, line in rows:
-                if now is None or now.at != (file, block):
-                    if now is not None:
-                        now.flush(False)
-                        if now.out:
-                            yield batch_of(now.out)
-                    now = _Range(file, block, style)
-                now.add(line)
-            if now is not None and now.out:
-                yield batch_of(now.out)
-                now.out = []
-        if now is not None:
-            now.flush(False)
-            if now.out:
-                yield batch_of(now.out)
+        return _pieces(((f, b, [v]) for batch in batches for f, b, v in zip(*_columns(batch))), style)
 
     return run
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[list, list, list]:
+    return batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()
+
+
+def _inflated(style: Style):
+    """Pieces of gzip files whose bytes come in order, cut at the byte of a line end."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes]]]:
+        rows = (row for batch in batches for row in zip(*_columns(batch)))
+        for file, own in groupby(rows, key=lambda r: r[0]):
+            engine, rest, begun = zlib.decompressobj(31), b"", False
+            for data in chain((r[2] for r in own), (None,)):
+                # the reader took the line ends away; at the end of the file one may be missing
+                more = b"\n" if data is None else (b"\n" if begun else b"") + data
+                if data is None and engine.eof:
+                    break
+                begun = True
+                text = [rest]
+                while more:
+                    if engine.eof:
+                        if not more.strip(b"\0"):
+                            break
+                        engine = zlib.decompressobj(31)
+                    text.append(engine.decompress(more))
+                    more = engine.unused_data
+                *whole, rest = b"".join(text).split(b"\n")
+                if whole:
+                    yield file, 0, whole
+            if rest:
+                yield file, 0, [rest]
+            if not engine.eof:
+                raise ValueError(f"{file} ends inside a gzip member")
+
+    return lambda batches: _pieces(lines(batches), style)
+
+
 def ranges(spark: SparkSession, path: str, style: Style, glob: str | None = None) -> DataFrame:
     """(file, block, rel, off, header, whole, part): the pieces, with places relative to ranges.
     ``glob`` chooses files of a folder by name.
 
     A header comes with the first piece of its record; ``whole`` marks pieces that are all of a
     record."""
-    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     ship(spark)
-    return lines.mapInArrow(_cut(style), _SCHEMA)
+    return _lines(spark, path, glob).select("file", "block", "value").mapInArrow(_cut(style), _SCHEMA)
+
+
+def _lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(file, block, at, value): lines, whose bytes are as in the file."""
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=glob)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def sniffed_ranges(spark: SparkSession, path: str, style: Style, glob: str | None = None) -> DataFrame:
+    """``ranges`` of files that may be gzip whatever their names: by their first two bytes, which the
+    driver reads. A gzip file without the name of one goes through one task in order, none of it is
+    held but a line."""
+    ship(spark)
+    files = spark.read.text(path, pathGlobFilter=glob).inputFiles()
+    hidden = [f for f in files if not f.endswith(".gz") and _first_bytes(spark, f) == b"\x1f\x8b"]
+    plain = sorted(set(files) - set(hidden))
+    parts = []
+    if plain:
+        parts.append(_lines(spark, plain).select("file", "block", "value").mapInArrow(_cut(style), _SCHEMA))
+    if hidden:
+        ordered = _lines(spark, hidden).repartition("file").sortWithinPartitions("file", "block", "at")
+        parts.append(ordered.select("file", "block", "value").mapInArrow(_inflated(style), _SCHEMA))
+    if not parts:
+        return ranges(spark, path, style, glob)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _first_bytes(spark: SparkSession, file: str) -> bytes:
+    """The first two bytes of a file in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(x for x in (stream.read(), stream.read()) if x >= 0)
+    finally:
+        stream.close()
 
 
 def summaries(found: DataFrame) -> DataFrame:
@@ -179,13 +258,13 @@ def carried(summary: DataFrame, lead: bool) -> DataFrame:
     return numbered.select("file", "block", "before", "open", "begun", "lead", F.min("_ahead").over(file).alias("first_id"))
 
 
-def pieces(spark: SparkSession, path: str, style: Style, glob: str | None = None) -> DataFrame:
+def pieces(spark: SparkSession, path: str, style: Style, glob: str | None = None, sniff: bool = False) -> DataFrame:
     """(seq_id, file, record, offset, header, whole, seq): the records of all files in pieces.
 
     record counts from 1 in each file; offset is the place of a piece in its record; seq_id numbers
     the records of all files from 0, by file name, then place. One piece of a record has its
-    header, the others have null."""
-    found = ranges(spark, path, style, glob)
+    header, the others have null. With ``sniff`` files may be gzip whatever their names."""
+    found = (sniffed_ranges if sniff else ranges)(spark, path, style, glob)
     out = found.join(carried(summaries(found), style.lead), ["file", "block"]).select(
         "file", "begun", "lead", "first_id", "whole", "header", F.col("part").alias("seq"),
         (F.col("before") + F.col("rel")).alias("record"), (F.col("off") + F.when(F.col("rel") == 0, F.col("open")).otherwise(0)).alias("offset"),

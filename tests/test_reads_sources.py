@@ -138,15 +138,18 @@ def test_overlaps_and_seed(spark):
     assert pair.select(reads.overlap_length(F.col("b"), F.col("a"), 2)).first()[0] == 0
 
 
-def slide(a, b):
-    """The best shift by comparing symbol by symbol."""
-    s, l, sign = (a, b, -1) if len(a) < len(b) else (b, a, 1)
-    best = (0, 0.0)
-    for off in range(-len(s), len(l)):
-        on = [(i, i + off) for i in range(len(s)) if 0 <= i + off < len(l)]
-        if on and (x := sum(s[i] == l[j] for i, j in on) / len(on)) > best[1]:
-            best = (off * sign, x)
-    return best
+def aligned(a, b):
+    """The best shift from its definition: pad the longer sequence and compare every window of it.
+    A shift is positive if ``b`` is the shorter one or both are equally long."""
+    short, long_, sign = (a, b, -1) if len(a) < len(b) else (b, a, 1)
+    m = len(short)
+    padded = "-" * (m - 1) + long_ + "-" * (m - 1)
+    scores = {}
+    for begin in range(len(padded) - m + 1):
+        pairs = [(x, y) for x, y in zip(short, padded[begin : begin + m]) if y != "-"]
+        scores[begin - m + 1] = sum(x == y for x, y in pairs) / len(pairs)
+    top = max(scores.values())
+    return (min(k for k, v in scores.items() if v == top) * sign, top) if top else (0, 0.0)
 
 
 def test_identity(spark):
@@ -156,11 +159,85 @@ def test_identity(spark):
     df = spark.createDataFrame(pairs, "pair_id long, a string, b string")
     got = {r.pair_id: (r.shift, r.identity) for r in reads.best_shift(reads.identity_profile(df)).collect()}
     for i, a, b in pairs:
-        assert got[i] == slide(a, b)
+        assert got[i] == aligned(a, b)
     inside = {r.pair_id: (r.a_in_b, r.b_in_a) for r in reads.containment(df).collect()}
     assert inside == {i: (a in b, b in a) for i, a, b in pairs}
 
 
+def test_placement_of_long_sequences(spark):
+    rng = random.Random(12)
+    whole = "".join(rng.choice("ACGTN") for _ in range(20_000))
+    pairs = [(0, whole, whole[7_000:9_000]), (1, whole[150:700], whole), (2, whole, whole[::-1]), (3, "Äß" * 100, "ßÄ" * 90), (4, None, "A"), (5, "", "A")]
+    profile = reads.identity_profile(spark.createDataFrame(pairs, "pair_id long, a string, b string"), 50)
+    best = {r.pair_id: (r.shift, r.identity) for r in reads.best_shift(profile).collect()}
+    assert best[0] == (7_000, 1.0) and best[1] == (-150, 1.0) and best[3][1] == 1.0 and not {4, 5} & set(best)
+    some = {(r.pair_id, r.off): r.matches for r in profile.where("pair_id = 2 and off % 997 = 0").collect()}
+    assert some and all(n == sum(x == y for x, y in zip(whole[::-1][max(0, -off) :], whole[max(0, off) :])) for (_, off), n in some.items())
+
+
+def longest_by_text(seqs, k):
+    """Greedy assembly that looks at every read and every overlap in each step."""
+    contig = max(seqs, key=len)
+    left = list(range(len(seqs)))
+    left.remove(seqs.index(contig))
+    for turn in (False, True):
+        flip = (lambda t: t[::-1]) if turn else (lambda t: t)
+        now = flip(contig)
+        while len(contig) >= k:
+            fits = [(n, -i) for i in left for n in range(k, min(len(seqs[i]), len(now)) + 1) if now.endswith(flip(seqs[i])[:n])]
+            if not fits:
+                break
+            n, i = max(fits)
+            now += flip(seqs[-i])[n:]
+            left.remove(-i)
+        contig = flip(now)
+    return contig
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_assembly_equals_a_search_of_all_overlaps(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for a in range(12):
+        text = "".join(rng.choice("ACGT"[: 2 + a % 3]) for _ in range(150))
+        rows += [(a, i, text[s : s + n]) for i, s, n in reads.sample_plan(150, 25, 5, 30, seed + a)]
+    unique = reads.unique_reads(spark.createDataFrame(rows, "assembly_id int, read_id int, seq string"), ("assembly_id",))
+    got = {r.assembly_id: r.contig for r in reads.assemble(unique, 6, "longest").collect()}
+    for a in range(12):
+        assert got[a] == longest_by_text(list(dict.fromkeys(r[2] for r in rows if r[0] == a)), 6)
+    exact = {r.assembly_id: r.contig for r in reads.assemble(unique, 6).collect()}
+    assert exact == {a: grow(list(dict.fromkeys(r[2] for r in rows if r[0] == a)), 6) for a in range(12)}
+
+
+def test_overlap_graph_and_its_reduction(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACG") for _ in range(120))
+    rows = [(i // 30, i, text[s : s + n]) for i, s, n in reads.sample_plan(120, 60, 8, 30, 3)]
+    unique = reads.unique_reads(spark.createDataFrame(rows, "g int, read_id int, seq string"), ("g",))
+    seqs = {(r.g, r.uid): r.seq for r in unique.collect()}
+    graph = reads.overlap_graph(unique, 5, ("g",))
+    want = {}
+    for (g, u), a in seqs.items():
+        for (h, v), b in seqs.items():
+            fits = [n for n in range(5, min(len(a), len(b))) if a.endswith(b[:n])] if g == h and u != v else []
+            if fits:
+                want[g, u, v] = max(fits)
+    assert {tuple(r)[:3]: r.overlap for r in graph.collect()} == want and want
+    far = {e: len(seqs[e[:2]]) - n for e, n in want.items()}
+    implied = {(g, u, w) for (g, u, v), x in far.items() for (h, t, w), y in far.items() if g == h and v == t and far.get((g, u, w)) == x + y}
+    assert {tuple(r)[:3] for r in reads.reduced_graph(graph, unique, ("g",)).collect()} == set(want) - implied and implied
+
+
+def test_sampling_by_coverage(spark, sequences):
+    df = sequences("ACGT" * 500, "ACG", "", None, "A" * 45)
+    got = reads.sample_reads_by_coverage(df, 5.0, 40, 60).collect()
+    text = {0: "ACGT" * 500, 1: "ACG", 4: "A" * 45}
+    assert all(r.seq == text[r.seq_id][r.start : r.start + r.len] for r in got) and {r.seq_id for r in got} == {0, 1, 4}
+    assert sum(r.seq_id == 0 for r in got) == 200 and {r.seq for r in got if r.seq_id == 1} == {"ACG"}
+    with pytest.raises(ValueError):
+        reads.sample_reads_by_coverage(df, 0)
+
+
 def test_streaming_bins_equal_batch(spark, tmp_path):
     rng = random.Random(8)
     text = "".join(rng.choice("ACGTn") for _ in range(900))

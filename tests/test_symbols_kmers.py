@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -103,3 +104,40 @@ def test_scalar_functions(spark):
 
 def test_genetic_code():
     assert len(GENETIC_CODE) == 64 and GENETIC_CODE["AUG"] == "M" and [GENETIC_CODE[s] for s in S.STOPS] == ["*"] * 3
+
+
+@pytest.mark.parametrize("k", [1, 3, 15, 40])
+def test_kmers_of_any_text(sequences, k):
+    rng = random.Random(k)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("ACGT", 200), ("AÄß漢😀 ", 90), ("A", 70), ("ACGT", k), ("", 0))]
+    texts.append("".join(chr(97 + rng.randrange(500)) for _ in range(150)))
+    found = kmers.kmer_presence(sequences(*texts, None), k).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - k + 1):
+            n, first = want.get((i, t[p : p + k]), (0, p))
+            want[i, t[p : p + k]] = (n + 1, first)
+    assert {(r.seq_id, r.kmer): (r.n, r.first_pos) for r in found} == want
+    counts = Counter()
+    for (_, kmer), (n, _) in want.items():
+        counts[kmer] += n
+    assert {r.kmer: r.n for r in kmers.kmer_counts(sequences(*texts), k).collect()} == counts
+
+
+@pytest.mark.parametrize("k,m", [(5, 5), (12, 4), (21, 9), (33, 20)])
+def test_long_kmers_by_runs(sequences, k, m):
+    rng = random.Random(k)
+    base = "".join(rng.choice("ACGT") for _ in range(400))
+    texts = [base, base[50:300] + "nn" + base[:90].lower(), "A" * 200, "ACGT" * 30, base[:k], base[: k - 1], ""]
+    clean = ["".join(c for c in t.upper() if c in "ACGT") for t in texts]
+    want = Counter(t[i : i + k] for t in clean for i in range(len(t) - k + 1))
+    df = kmers.long_kmer_counts(sequences(*texts, None), k, m)
+    assert {r.kmer: r.n for r in df.collect()} == want
+    # runs say of every window which it is, and are far fewer than windows
+    _, begin, end = kmers.runs_of_kmers(clean[0].encode(), k, m)
+    assert [i for a, b in zip(begin, end) for i in range(a, b - k + 1)] == list(range(len(base) - k + 1))
+
+
+def test_long_kmers_are_listed_only_where_they_occur(sequences):
+    got = kmers.kmer_frequencies(sequences("ACGT" * 10, "N" * 30), 14).collect()
+    assert {r.kmer for r in got} == {("ACGT" * 5)[i : i + 14] for i in range(4)} and {r.total for r in got} == {27 + 17}
