@@ -104,6 +104,11 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 _shipped: set[str] = set()
 #: Rows of an Arrow batch at most, so batches of texts stay small on both sides.
 BATCH_ROWS = 1_000

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, id_back, id_key, materialize, shared_dir, unused
+from .common import SEPARATORS, id_back, id_key, materialize, named, shared_dir, unused
 
 BUCKETS = 64
 #: A digest with over a thousandth of the rows counts as hot; by counting there are at most
@@ -177,10 +177,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     touched = materialize(per_id.where("not all"), "touched")
     marked = docs.withColumn(key, id_key())
     mixed = touched.where("any").select(key)
-    single = marked.join(touched.select(key), key, "left_anti").select(*docs.columns)
+    single = marked.join(touched.select(key), key, "left_anti").select(*named(docs))
     stay = found.where("kept").select(F.col("k").alias(key), F.col("digest").alias(body), F.col("points").alias(size))
     stay = stay.join(mixed, key, "left_semi")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     told = marked.join(mixed, key, "left_semi").withColumns({body: digest(F.col("text")), size: F.char_length(text).cast("long")})
-    rest = told.join(stay, [key, body, size], "left_semi").dropDuplicates([key, body, size]).select(*docs.columns)
+    rest = told.join(stay, [key, body, size], "left_semi").dropDuplicates([key, body, size]).select(*named(docs))
     return single.unionByName(rest)

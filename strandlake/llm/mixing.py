@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_back, id_key, materialize
+from .common import id_back, id_key, materialize, named
 
 #: Points of one bisection pass: 2**4 - 1, so a pass halves the interval four times.
 _POINTS = 15
@@ -177,7 +177,10 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, target: Target) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture has it, with all columns unchanged."""
+    """The rows of ``docs``, each as often as the mixture has it, with all columns unchanged.
+
+    Nulls, empty and very long texts, repeated rows and ties as in ``mix``; an empty table stays
+    empty."""
     planned = materialize(plan(materialize(measure(docs), "measured"), target), "plan")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key().alias("k"), _source().alias("s"))
+    whole = docs.select(F.struct(*named(docs)).alias("row"), id_key().alias("k"), _source().alias("s"))
     return _copies(whole, planned, target.seed).select("row.*")

@@ -13,8 +13,6 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    a link; pairs that fail it need no look at the sets.
 2. Documents with equal sets form a class; only its smallest doc_id goes on.
 3. Table keys with one class only are dropped, and of keys with the same members all but one.
-   The tables of the first offset come first: a large group of copies meets in all tables, and is
-   one component by the time of the others, of which only buckets with several components are left.
 4. Buckets are cut into slices of ``block`` members. In each slice every pair is screened by
    sketch. A survivor is taken to link its two sides for the rest of that slice, so a group of
    copies yields a spanning tree and not all its pairs.
@@ -43,8 +41,7 @@ from .texthash import Chunk, chunks, grams, mix
 
 SHINGLE = 5
 SIDE = 10
-#: Key i of the first collection meets keys i + offset of the second; the first offset's tables
-#: are looked at before the others.
+#: Key i of the first collection meets keys i + offset of the second.
 OFFSETS = (0, 1, 3, 6)
 BLOCK = 512
 #: Pairs to confirm, and members of reopened groups, that a task has on average.
@@ -360,23 +357,20 @@ def _settled(width: int, percent: int):
 
 
 def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
-    """(key, id, half, slices, late): the members of buckets with several classes, each in a slice;
-    late are those of other tables than the first offset's."""
+    """(key, id, half, slices): the members of buckets with several classes, each in a slice."""
     partners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + d) % side).alias("j")) for i in range(side) for d in OFFSETS))
-    late = F.pmod(F.col("t.j") - F.col("t.i"), F.lit(side)) != OFFSETS[0]
     keyed = reps.select("id", "a", "b", F.explode(partners).alias("t")).select(
-        F.xxhash64("t", F.col("a")[F.col("t.i")], F.col("b")[F.col("t.j")]).alias("key"), "id", late.alias("late")
+        F.xxhash64("t", F.col("a")[F.col("t.i")], F.col("b")[F.col("t.j")]).alias("key"), "id"
     )
     counted = (
-        keyed.groupBy("key", "late")
+        keyed.groupBy("key")
         .agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who"))
         .where("lo < hi")
     )
     # buckets with the same members need one look
-    first = counted.groupBy("size", "lo", "hi", "who").agg(F.min(F.struct("late", "key")).alias("f"))
-    kept = materialize(first.select("f.key", "size"), "buckets")
+    kept = materialize(counted.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
     # the key's members are unique, so only its hot side needs splitting, which AQE does
-    return keyed.join(kept, "key").select("key", "id", "late", *_sliced(F.col("size"), block))
+    return keyed.join(kept, "key").select("key", "id", *_sliced(F.col("size"), block))
 
 
 def _sliced(size: Column, block: int) -> list[Column]:
@@ -397,6 +391,18 @@ def _across(members: DataFrame) -> DataFrame:
     return paired.select("key", F.least("half", "o").alias("p"), F.greatest("half", "o").alias("q"), "half", "id")
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, hubs: DataFrame, end: str, other: str, n: int) -> DataFrame:
+    """``pairs`` with the text of one end. The texts of ``hubs`` (end, k, _parts) are copied, so that
+    no task has more than PARTNERS pairs of one on average."""
+    mine = hubs.where(F.col("end") == end).select(F.col("k").alias(end), "_parts")
+    part = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = pairs.join(mine, end, "left").withColumn("_part", part).drop("_parts").repartition(n, end, "_part")
+    copies = texts.withColumnRenamed("k", end).join(mine, end, "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+    copies = copies.select(end, F.col("text").alias(f"t{end}"), every).repartition(n, end, "_part")
+    return dealt.join(copies, [end, "_part"]).drop("_part")
+
+
 class _Links:
     """Confirmed links so far, and the components that they make."""
 
@@ -414,25 +420,15 @@ class _Links:
     def _judged(self, found: DataFrame) -> DataFrame:
         """(x, y, linked) of the pairs, by the words of their texts."""
         n = tasks(found, PAIRS)
-        pairs = found.select("x", "y").repartition(n, "x", "y").distinct()
-        ends = found.select(F.explode(F.array("x", "y")).alias("k")).repartition(n, "k").distinct()
-        texts = materialize(self.texts.join(ends, "k", "left_semi"), "compared")
-        both = self._with_text(self._with_text(pairs, texts, "x", "y", n), texts, "y", "x", n)
+        pairs = materialize(found.select("x", "y").repartition(n, "x", "y").distinct(), "distinct")
+        both_ends = F.explode(F.array(*(F.struct(F.lit(c).alias("end"), F.col(c).alias("k")) for c in "xy"))).alias("e")
+        degrees = materialize(pairs.select(both_ends).groupBy("e.end", "e.k").agg(F.count("*").alias("n")), "degrees")
+        texts = materialize(self.texts.join(degrees.select("k"), "k", "left_semi"), "compared")
+        hubs = degrees.where(F.col("n") > PARTNERS).select("end", "k", F.ceil(F.col("n") / F.lit(PARTNERS)).cast("int").alias("_parts"))
+        both = _with_text(_with_text(pairs, texts, hubs, "x", "y", n), texts, hubs, "y", "x", n)
         each = map_arrow(both.select("x", "y", "tx", "ty"), _compared(self.width, self.percent), "x long, y long, linked boolean")
         return materialize(each.repartition(n, "x", "y").groupBy("x", "y").agg(F.max("linked").alias("linked")), "judged")
 
-    def _with_text(self, pairs: DataFrame, texts: DataFrame, end: str, other: str, n: int) -> DataFrame:
-        """``pairs`` with the text of one end. A text of many pairs is copied, so that no task has
-        more than PARTNERS pairs of it on average."""
-        hubs = pairs.groupBy(end).agg(F.count("*").alias("_n")).where(F.col("_n") > PARTNERS)
-        hubs = materialize(hubs.select(end, F.ceil(F.col("_n") / F.lit(PARTNERS)).cast("int").alias("_parts")), "hubs")
-        part = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")
-        dealt = pairs.join(hubs, end, "left").withColumn("_part", part).drop("_parts").repartition(n, end, "_part")
-        copies = texts.withColumnRenamed("k", end).join(hubs, end, "left")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
-        copies = copies.select(end, F.col("text").alias(f"t{end}"), every).repartition(n, end, "_part")
-        return dealt.join(copies, [end, "_part"]).drop("_part")
-
     def _add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.roots = materialize(components(self.links), "roots")
@@ -506,10 +502,7 @@ def near_dedup(
     # whatever may be compared, read from the documents once; the list of ids grows with them
     texts = materialize(base.join(members.select(F.col("id").alias("k")).distinct().hint("merge"), "k", "left_semi"), "texts")
     links = _Links(texts, reps.select("id", "n", "sketch"), width, percent)
-    links.search(_within(members.where("not late")))
-    rest = links.several(members.where("late"))
-    if not rest.isEmpty():
-        links.search(_within(rest.drop("label")))
+    links.search(_within(members))
     apart = links.several(members.where("slices > 1"))
     if not apart.isEmpty():
         links.search(_across(apart.drop("label")))

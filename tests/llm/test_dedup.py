@@ -83,7 +83,8 @@ def test_near_dedup_copies_the_text_of_a_hub(docs_of, spark, monkeypatch):
     texts = docs_of(rows).select(F.col("doc_id").alias("k"), "text")
     links = near_dedup._Links(texts, None, 5, 85)
     pairs = spark.createDataFrame([(0, i) for i in range(1, 161)], "x long, y long")
-    dealt = links._with_text(pairs, texts, "x", "y", 40)
+    hubs = spark.createDataFrame([("x", 0, 20)], "end string, k long, _parts int")
+    dealt = near_dedup._with_text(pairs, texts, hubs, "x", "y", 40)
     loads = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert dealt.count() == 160 and {r.tx for r in dealt.collect()} == {" ".join(base)} and max(loads) < 80
     counts = [near_dedup.common_shingles(*([w.encode() for w in t.split()] for t in (rows[-1][1], r[1])), 5) for r in rows[:-1]]

@@ -46,7 +46,7 @@ def test_stages(spark, folder):
     texts = [key(r.text) for r in distinct.collect()]
     assert len(texts) == len(set(texts)) == len({key(r.text) for r in good.collect()})
     unlike = materialize(pipeline.unlike_documents(spark, distinct, folder), "c")
-    want = {k for k, v in near_by_hand([(r.doc_id, r.text) for r in distinct.collect()]).items() if v[2]}
+    want = {k for k, v in near_by_hand([(r.doc_id, r.text) for r in distinct.collect()], 80).items() if v[2]}
     assert unlike.columns == columns and {r.doc_id for r in unlike.collect()} == want
     mixed = materialize(pipeline.mixed_documents(spark, unlike, folder), "d")
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} == want
@@ -63,6 +63,18 @@ def test_stages_keep_columns_whose_names_clash(spark, folder):
     assert unlike.columns == docs.columns and sorted((r["_K"] or "") for r in unlike.collect()) == ["", "x", "z"]
 
 
+def test_stages_of_no_documents_and_of_odd_names(spark, folder):
+    names = "doc_id long, text string, source string, `a.b` string, `c``d` int"
+    rows = [(1, "a b c d e f g", "s", "x", 7), (2, "h i j k l m n " * 3_000, "t", "y", 8), (3, "", None, None, None)]
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        for stage in (pipeline.good_documents, pipeline.distinct_documents, pipeline.unlike_documents, pipeline.mixed_documents):
+            kept = stage(spark, docs, folder)
+            assert kept.columns == docs.columns
+            if stage is not pipeline.good_documents:
+                assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect()}
+        assert {r.doc_id for r in pipeline.packed_sequences(spark, docs, folder).collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_near_stage_drops_similarity_of_four_fifths(spark, folder):
     rows = []
     for i in range(8):
