@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import exact_dedup, mixing, near_dedup, packing, quality
-from strandlake.llm.common import clean, documents, id_key, materialize, unused, written
+from strandlake.llm.common import clean, documents, id_key, materialize, named, unused, written
 from strandlake.llm.queries import TARGET, tokenizer_path
 
 #: Near duplicates have this similarity at least; the query op8 has a contract of its own.
@@ -45,7 +45,7 @@ def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.near_dedup(docs, side=NEAR_SIDE, percent=NEAR_PERCENT).groupBy(id_key().alias(on)).agg(F.max("kept").alias("kept"))
     # those to drop are far fewer than those to keep, so their list is the smaller side
     dropped = materialize(found.where("not kept").select(on), "dropped")
-    return docs.withColumn(on, id_key()).join(dropped, on, "left_anti").select(*docs.columns)
+    return docs.withColumn(on, id_key()).join(dropped, on, "left_anti").select(*named(docs))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
