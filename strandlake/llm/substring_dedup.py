@@ -248,9 +248,12 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, t
     processed whole, one to a chunk. An empty table gives an empty result. Other columns are
     ignored, whatever their names."""
     text = F.col("text").cast("string")
-    # t, half of a digest, splits rows that share an id, so none of their lists meet
-    digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
-    base = docs.select(id_key().alias("k"), digest.alias("t"), text.alias("text"))
+    ids = docs.select(id_key().alias("k"))
+    repeated = materialize(ids.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(True).alias("again")), "repeated")
+    # t, half of a digest, splits rows that share an id, so none of their lists meet; it is empty where the id is one row's
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
+    base = docs.select(id_key().alias("k"), text.alias("text")).join(repeated, "k", "left")
+    base = base.select("k", F.when(F.col("again"), digest).otherwise(F.lit(bytearray())).alias("t"), "text")
     supers = map_arrow(base.select("k", "text"), _super_edges(width, anchor, True), "h long, k long, label long")
     nodes = (
         supers.groupBy("h")
