@@ -203,7 +203,10 @@ def sniffed_ranges(spark: SparkSession, path: str, style: Style, glob: str | Non
     held but a line."""
     ship(spark)
     files = spark.read.text(path, pathGlobFilter=glob).inputFiles()
-    hidden = [f for f in files if not f.endswith(".gz") and _first_bytes(spark, f) == b"\x1f\x8b"]
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    # files whose names say so are inflated by Spark's reader
+    told = lambda f: f.lower().endswith(".gzip") or codecs.getCodec(_hadoop_path(spark, f)) is not None
+    hidden = [f for f in files if not told(f) and _first_bytes(spark, f) == b"\x1f\x8b"]
     plain = sorted(set(files) - set(hidden))
     parts = []
     if plain:
@@ -216,9 +219,13 @@ def sniffed_ranges(spark: SparkSession, path: str, style: Style, glob: str | Non
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _hadoop_path(spark: SparkSession, file: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+
+
 def _first_bytes(spark: SparkSession, file: str) -> bytes:
     """The first two bytes of a file in any store that Spark reaches."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    at = _hadoop_path(spark, file)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
     try:
         return bytes(x for x in (stream.read(), stream.read()) if x >= 0)
