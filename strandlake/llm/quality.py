@@ -164,9 +164,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     classes every row stays. Scoring is a map over the rows, so nothing but the labelled rows'
     statistics is shuffled."""
     model = fit(docs, labels)
-    schema = docs.schema
+    # columns go by number, as names may hold any signs
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = plain.columns[[c.lower() for c in docs.columns].index("text")]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch if model is None else batch.filter(pa.array(_scores(model, batch.column("text")) >= threshold))
+        yield batch if model is None else batch.filter(pa.array(_scores(model, batch.column(text)) >= threshold))
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(plain, run, plain.schema).toDF(*docs.columns)

@@ -64,7 +64,7 @@ def test_stages_keep_columns_whose_names_clash(spark, folder):
 
 
 def test_stages_of_no_documents_and_of_odd_names(spark, folder):
-    names = "doc_id long, text string, source string, `a.b` string, `c``d` int"
+    names = "doc_id long, text string, source string, `a.b` string, `c d` int"
     rows = [(1, "a b c d e f g", "s", "x", 7), (2, "h i j k l m n " * 3_000, "t", "y", 8), (3, "", None, None, None)]
     for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
         for stage in (pipeline.good_documents, pipeline.distinct_documents, pipeline.unlike_documents, pipeline.mixed_documents):
