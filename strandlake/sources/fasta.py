@@ -45,25 +45,16 @@ def concatenated(parts: DataFrame, by: tuple[str, ...] = (), column: str = "seq"
 
 
 def acgt(spark: SparkSession, path: str) -> DataFrame:
-    """(seq): the A, C, G, T of all lines that are no headers, concatenated."""
+    """(seq): the A, C, G, T of all lines that are no headers, concatenated into one value."""
     out = concatenated(base_pieces(spark, path), order="_at")
     if out.where(F.length("seq") > 0).isEmpty():
         raise ValueError("no A, C, G or T in the file")
     return out
 
 
-def base_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(_at, seq): the bases of all lines that are no headers, in pieces, with a key in their order
-    (``operators.concat`` analyses them as one sequence without joining them)."""
-    found = splits.ranges(spark, path, splits.BASES)
-    return found.where(F.length("part") > 0).select(F.struct("file", "block", "rel", "off").alias("_at"), F.col("part").alias("seq"))
-
-
 def raw_or_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq): all lines but headers and blank ones, stripped, upper-cased and joined."""
-    stripped = _lines(spark, path).select("seq_id", F.regexp_replace("value", "^\\s+|\\s+$", "").alias("value"))
-    kept = stripped.where((F.col("value") != "") & ~F.col("value").startswith(">"))
-    return concatenated(kept.select("seq_id", F.upper("value").alias("seq")))
+    """(seq): all lines but headers and blank ones, stripped, upper-cased and joined into one value."""
+    return concatenated(raw_pieces(spark, path), order="_at")
 
 
 def single(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +62,20 @@ def single(spark: SparkSession, path: str) -> DataFrame:
     return raw_or_fasta(spark, path).select(S.acgt_only(F.col("seq")).alias("seq"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq_id"), "value")
+def base_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(_at, seq): the bases of all lines that are no headers, in pieces, with a key in their order
+    (``operators.concat`` analyses them as one sequence without joining them)."""
+    return _all_pieces(spark, path, splits.BASES)
+
+
+def raw_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(_at, seq): all lines that are no headers, stripped and upper-cased, as ``base_pieces``."""
+    return _all_pieces(spark, path, splits.RECORDS).withColumn("seq", F.upper("seq"))
+
+
+def _all_pieces(spark: SparkSession, path: str, style: splits.Style) -> DataFrame:
+    found = splits.ranges(spark, path, style)
+    return found.where(F.length("part") > 0).select(F.struct("file", "block", "rel", "off").alias("_at"), F.col("part").alias("seq"))
 
 
 def sniffed(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

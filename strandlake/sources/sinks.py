@@ -44,6 +44,7 @@ def nutrition_json(first: list[str], second: list[str], names: tuple[str, str] =
 
 
 def nutrition_markdown(first: list[str], second: list[str], titles: tuple[str, str] = ("SARS-CoV-2", "Influenza")) -> str:
+    # fixed values: the headings and labels
     def named(aas: list[str]) -> str:
         return ", ".join(f"{aa} ({nutrition_of(aa)['name']})" for aa in aas)
 
