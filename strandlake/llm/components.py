@@ -2,7 +2,8 @@
 
 Each partition first contracts its own edges, which leaves at most one per node.
 Neighbourhood minima come from map-side partial sums and a join with a unique side, so a hub
-never meets in one task. Each round's edges are written to the shared folder."""
+never meets in one task. Each round's edges are written to the shared folder. Up to ``EDGES``
+edges are one task's share anyway, and are contracted at once."""
 
 from __future__ import annotations
 
@@ -64,6 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
     ship(edges.sparkSession)
     linked = edges.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
     n = tasks(linked, EDGES)
+    if n == 1:
+        # one task's share of edges: contracting them leaves the stars of whole components
+        now = materialize(linked.repartition(1).mapInArrow(released(_contracted), "u long, v long"), "links")
+        return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     now = materialize(linked.mapInArrow(released(_contracted), "u long, v long").repartition(n, "u").distinct(), "links")
     before = None
     while True:

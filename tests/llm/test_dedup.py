@@ -232,7 +232,9 @@ def test_sketch_never_exceeds_the_difference():
         assert far <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("each", [5, 100_000])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(C, "EDGES", each)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (300, 200), (300, 250)]
     df = spark.createDataFrame(edges, "x long, y long").repartition(5)
     got = {r.id: r.root for r in C.components(df).collect()}
