@@ -372,7 +372,7 @@ def symbol_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_counts_k21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.long_kmer_counts(_docs(spark, sf_dir), 21)
+    return kmers.base_kmer_counts(_docs(spark, sf_dir), 21, clean=True)
 
 
 def kmer_freq_k13(spark: SparkSession, sf_dir: str) -> DataFrame:

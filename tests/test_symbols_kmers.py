@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -141,3 +142,27 @@ def test_long_kmers_by_runs(sequences, k, m):
 def test_long_kmers_are_listed_only_where_they_occur(sequences):
     got = kmers.kmer_frequencies(sequences("ACGT" * 10, "N" * 30), 14).collect()
     assert {r.kmer for r in got} == {("ACGT" * 5)[i : i + 14] for i in range(4)} and {r.total for r in got} == {27 + 17}
+
+
+@pytest.mark.parametrize("k,windows", [(1, 8), (13, 100), (21, 7), (31, 1000), (70, 50)])
+def test_base_kmers_by_numbers(sequences, k, windows):
+    rng = random.Random(k)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    texts = [base, base[50:250] + "nß" + base[:90].lower() + "\U0001f600" + base[:80], "A" * 400, "ACGT" * 30, base[:k], base[: k - 1], "", "N" * 90]
+    for clean in (False, True):
+        want = Counter()
+        for t in ("".join(c for c in t.upper() if c in "ACGT") if clean else t for t in texts):
+            for i in range(len(t) - k + 1):
+                want[t[i : i + k] if set(t[i : i + k]) <= set("ACGT") else None] += 1
+        rows = kmers.base_kmer_counts(sequences(*texts, None), k, clean=clean, windows=windows).collect()
+        assert len(rows) == len(want) and {r.kmer: r.n for r in rows} == want
+
+
+def test_a_frequent_kmer_is_a_row_a_count(spark, sequences):
+    """What meets in one task does not grow with how often a k-mer occurs, and no part has them all."""
+    one, two = (kmers.base_kmer_counts(sequences("ACGT" * 2000 * n), 21) for n in (1, 2))
+    for df, n in ((one, 7980), (two, 15980)):
+        assert {r.n for r in df.collect()} <= {n // 4, n // 4 + 1} and df.count() == 4
+    words, _ = kmers.base_windows(["".join(random.Random(1).choices("ACGT", k=50_000)).encode(), b"AT" * 9000], 21)
+    parts = [(b, len(v) // 8) for batch in kmers._dealt(words, 0) for b, v in zip(batch.column("bucket").to_pylist(), batch.column("kmers").to_pylist())]
+    assert len(parts) > 4000 and max(n for _, n in parts) < 50 and sum(n for _, n in parts) == len(np.unique(words))
