@@ -232,12 +232,12 @@ def base_kmer_counts(sequences: DataFrame, k: int, column: str = "seq", clean: b
     return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "kmer string, n long")
 
 
-def kmer_frequencies(sequences: DataFrame, k: int, column: str = "seq") -> DataFrame:
+def kmer_frequencies(sequences: DataFrame, k: int, column: str = "seq", clean: bool = False) -> DataFrame:
     """(kmer, n, total, freq): every k-mer over A, C, G, T, with zeros for absent ones; above
-    ``MAX_DOMAIN`` only those that occur.
+    ``MAX_DOMAIN`` only those that occur. ``clean`` takes a sequence's bases only, upper-cased.
 
     total is the number of windows of any content; sequences shorter than k have none."""
-    every = fixed(base_kmer_counts(sequences, k, column))  # read for the total too
+    every = fixed(base_kmer_counts(sequences, k, column, clean))  # read for the total too
     total = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     counts = every.where("kmer is not null")
     if k <= MAX_DOMAIN:

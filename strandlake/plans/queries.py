@@ -79,11 +79,11 @@ def validate_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_freq_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.kmer_frequencies(_bases(spark, sf_dir), 2)
+    return kmers.kmer_frequencies(_docs(spark, sf_dir), 2, clean=True)
 
 
 def kmer_freq_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.kmer_frequencies(_bases(spark, sf_dir), 3)
+    return kmers.kmer_frequencies(_docs(spark, sf_dir), 3, clean=True)
 
 
 def kmer_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +377,7 @@ def kmer_counts_k21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmer_freq_k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Too many possible k-mers to list those that are absent."""
-    return kmers.kmer_frequencies(_bases(spark, sf_dir), 13)
+    return kmers.kmer_frequencies(_docs(spark, sf_dir), 13, clean=True)
 
 
 def read_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

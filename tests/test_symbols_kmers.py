@@ -166,3 +166,14 @@ def test_a_frequent_kmer_is_a_row_a_count(spark, sequences):
     words, _ = kmers.base_windows(["".join(random.Random(1).choices("ACGT", k=50_000)).encode(), b"AT" * 9000], 21)
     parts = [(b, len(v) // 8) for batch in kmers._dealt(words, 0) for b, v in zip(batch.column("bucket").to_pylist(), batch.column("kmers").to_pylist())]
     assert len(parts) > 4000 and max(n for _, n in parts) < 50 and sum(n for _, n in parts) == len(np.unique(words))
+
+
+def test_frequencies_of_the_bases_in_any_text(spark, sequences, capsys):
+    """One pass over the texts, which is read for the total too; equal to cleaning them first."""
+    df = sequences("ACGTnnACGT acgt", "hello GATTACA", "", None)
+    for k in (2, 14):
+        found = kmers.kmer_frequencies(df, k, clean=True)
+        found.explain()
+        assert "MapInArrow" not in capsys.readouterr().out
+        before = kmers.kmer_frequencies(df.withColumn("seq", S.acgt_only(F.col("seq"))), k)
+        assert sorted(found.collect()) == sorted(before.collect())
