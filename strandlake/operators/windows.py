@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import sequences as S
+from ..sources.shared import fixed
 from . import arrays, concat
 
 #: Windows up to which a full series is given, and the points of a reduced one.
@@ -60,6 +61,15 @@ def sliding_frequencies(sequences: DataFrame, window: int, step: int, column: st
     return sliding_counts(sequences, window, step, column, keep).select("seq_id", "win_idx", *map(share, "acgt"))
 
 
+def _neighbours(bases: bytes, begin: np.ndarray, window: int, per: int) -> tuple | None:
+    """(place, windows, a, c, g, t): sums over ``per`` neighbouring windows each."""
+    if not len(begin):
+        return None
+    cuts = np.arange(0, len(begin), per)
+    sums = (np.add.reduceat(c, cuts) for c in _counted(bases, begin, window))
+    return np.arange(len(cuts)), np.diff(np.append(cuts, len(begin))), *sums
+
+
 def downsampled(sequences: DataFrame, window: int, step: int, width: int, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, bucket, windows, a, c, g, t): sums of base counts over ceil(windows / width)
     neighbouring windows. Shares are sums over windows * window."""
@@ -69,11 +79,7 @@ def downsampled(sequences: DataFrame, window: int, step: int, width: int, column
     def kernel(text: bytes) -> tuple | None:
         bases = arrays.bases_of(text)
         begin = np.arange(0, len(bases) - window + 1, step)
-        if not len(begin):
-            return None
-        cuts = np.arange(0, len(begin), -(-len(begin) // width))
-        sums = (np.add.reduceat(c, cuts) for c in _counted(bases, begin, window))
-        return np.arange(len(cuts)), np.diff(np.append(cuts, len(begin))), *sums
+        return _neighbours(bases, begin, window, -(-len(begin) // width))
 
     rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
     return arrays.apply(rows, "seq", ("seq_id",), "bucket long, windows long, a long, c long, g long, t long", kernel)
@@ -82,12 +88,17 @@ def downsampled(sequences: DataFrame, window: int, step: int, width: int, column
 def series(sequences: DataFrame, window: int, step: int, full: int = FULL_WINDOWS, points: int = CHART_POINTS, column: str = "seq", keep: str = "seq_id") -> DataFrame:
     """(seq_id, x, a, c, g, t) shares in [0, 1]: all windows of a sequence that has up to
     ``full``, or ``points`` averages of one that has more."""
-    windows = S.window_count(F.length(S.acgt_only(F.coalesce(F.col(column), F.lit("")))), window, step)
-    small, large = sequences.where(windows <= full), sequences.where(windows > full)
-    share = lambda total: [S.clamp01(F.col(b) / total).cast("float").alias(b) for b in "acgt"]
-    one = sliding_counts(small, window, step, column, keep).select("seq_id", F.col("win_idx").alias("x"), *share(F.lit(window)))
-    many = downsampled(large, window, step, points, column, keep)
-    return one.unionByName(many.select("seq_id", F.col("bucket").alias("x"), *share(F.col("windows") * window)))
+    if min(points, window, step) < 1:
+        raise ValueError("window, step and points must be positive")
+
+    def kernel(text: bytes) -> tuple | None:
+        bases = arrays.bases_of(text)
+        begin = np.arange(0, len(bases) - window + 1, step)
+        return _neighbours(bases, begin, window, 1 if len(begin) <= full else -(-len(begin) // points))
+
+    rows = sequences.select(F.col(keep).alias("seq_id"), F.col(column).alias("seq"))
+    sums = arrays.apply(rows, "seq", ("seq_id",), "x long, windows long, a long, c long, g long, t long", kernel)
+    return sums.select("seq_id", "x", *(S.clamp01(F.col(b) / (F.col("windows") * window)).cast("float").alias(b) for b in "acgt"))
 
 
 def reduce_series(values: DataFrame, width: int, by: str = "seq_id", x: str = "x", columns: tuple[str, ...] = ("a", "c", "g", "t")) -> DataFrame:
@@ -241,8 +252,8 @@ def chart(bins: DataFrame) -> DataFrame:
 COLOURS = 5
 
 
-def _layer(rows: DataFrame, layer: str, series: Column, x: Column, y: Column, colour: Column) -> DataFrame:
-    return rows.select("seq_id", F.lit(layer).alias("layer"), series.cast("string").alias("series"), x.cast("long").alias("x"), y.cast("double").alias("y"), colour.cast("int").alias("colour"))
+def _layer(rows: DataFrame, layer: Column, series: Column, x: Column, y: Column, colour: Column) -> DataFrame:
+    return rows.select("seq_id", layer.alias("layer"), series.cast("string").alias("series"), x.cast("long").alias("x"), y.cast("double").alias("y"), colour.cast("int").alias("colour"))
 
 
 def chart_layers(bins: DataFrame, values: list[float] | None = None) -> DataFrame:
@@ -252,25 +263,27 @@ def chart_layers(bins: DataFrame, values: list[float] | None = None) -> DataFram
     Layers: ``line`` has a point for each bin; ``limit`` the lower and the upper end of the axis
     (series low and high); ``bar`` a point over each bin for each threshold, which is its series, in
     one of ``COLOURS`` colours. Without ``values`` the threshold is the mean of the bin means."""
+    bins = fixed(bins)  # read for each layer
     points = chart(bins)
     ends = points.groupBy("seq_id").agg(F.min("y_low").alias("low"), F.max("y_high").alias("high"))
     none = F.lit(None)
     bars = thresholds(bins, values)
-    out = _layer(points, "line", F.lit("mean_tm"), F.col("x"), F.col("y"), F.lit(0))
+    out = _layer(points, F.lit("line"), F.lit("mean_tm"), F.col("x"), F.col("y"), F.lit(0))
     for end in ("low", "high"):
-        out = out.unionByName(_layer(ends, "limit", F.lit(end), none, F.col(end), none))
-    return out.unionByName(_layer(bars, "bar", F.col("ord"), F.col("bin"), F.col("threshold"), F.col("ord") % COLOURS + 1))
+        out = out.unionByName(_layer(ends, F.lit("limit"), F.lit(end), none, F.col(end), none))
+    return out.unionByName(_layer(bars, F.lit("bar"), F.col("ord"), F.col("bin"), F.col("threshold"), F.col("ord") % COLOURS + 1))
 
 
 def series_layers(shares: DataFrame) -> DataFrame:
     """(seq_id, layer, series, x, y, colour) of a composition chart: a ``line`` for each base, ``grid``
-    lines at the quarters, and the ``limit`` 0 and 1."""
-    lines = [_layer(shares, "line", F.lit(b), F.col("x"), F.col(b), F.lit(i)) for i, b in enumerate("acgt")]
-    ids = shares.select("seq_id").distinct()
-    grid = ids.select("seq_id", F.explode(F.array(*(F.lit(q / 4) for q in range(5)))).alias("q"))
-    out = _layer(grid, "grid", F.col("q"), F.lit(None), F.col("q"), F.lit(None))
-    for name, end in (("low", 0.0), ("high", 1.0)):
-        out = out.unionByName(_layer(ids, "limit", F.lit(name), F.lit(None), F.lit(end), F.lit(None)))
-    for line in lines:
-        out = out.unionByName(line)
-    return out
+    lines at the quarters, and the ``limit`` 0 and 1.
+
+    The shares are written once, and each is read as the points of its four lines."""
+    shares = fixed(shares)
+    points = F.array(*(F.struct(F.lit(b).alias("series"), F.col(b).cast("double").alias("y"), F.lit(i).alias("colour")) for i, b in enumerate("acgt")))
+    lines = shares.select("seq_id", "x", F.explode(points).alias("p"))
+    ends = [*(("grid", str(q / 4), q / 4) for q in range(5)), ("limit", "low", 0.0), ("limit", "high", 1.0)]
+    around = F.array(*(F.struct(F.lit(a).alias("layer"), F.lit(b).alias("series"), F.lit(y).alias("y")) for a, b, y in ends))
+    edges = shares.select("seq_id").distinct().select("seq_id", F.explode(around).alias("p"))
+    out = _layer(edges, F.col("p.layer"), F.col("p.series"), F.lit(None), F.col("p.y"), F.lit(None))
+    return out.unionByName(_layer(lines, F.lit("line"), F.col("p.series"), F.col("x"), F.col("p.y"), F.col("p.colour")))

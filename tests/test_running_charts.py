@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,19 @@ def test_options_fall_back():
     assert read({"k": "x", "bin": "10", "width": "5", "sodium": "-1", "other": "1"}) == TemperatureOptions(bin=256, width=32)
     got = read({"k": "11", "bin": "500", "width": "64", "sodium": "0.1", "thresholds": "20, x,25.5,"})
     assert got == TemperatureOptions(11, 500, 64, 0.1, (20.0, 25.5))
+
+
+def test_layers_read_the_sequences_once(spark, sequences, capsys):
+    """A series is one pass over its sequences, and what is drawn of it reads the series."""
+    df = sequences("ACGTGGCCAA" * 60, "ACGTACGTAC", "AC", "", None)
+    shares = windows.series(df, 10, 1, 100, 8)
+    shares.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    for layers in (windows.series_layers(shares), windows.chart_layers(windows.tm_bins(df, windows_per_bin=256))):
+        layers.explain()
+        assert "MapInArrow" not in capsys.readouterr().out
+    rows = windows.series_layers(shares.unionByName(shares.where("seq_id = 1"))).collect()
+    got = Counter((r.seq_id, r.layer) for r in rows)
+    assert got == {(0, "line"): 32, (1, "line"): 8, **{(i, "grid"): 5 for i in (0, 1)}, **{(i, "limit"): 2 for i in (0, 1)}}
+    line = {(r.series, round(r.y, 6), r.colour) for r in rows if r.seq_id == 1 and r.layer == "line"}
+    assert line == {("a", 0.3, 0), ("c", 0.3, 1), ("g", 0.2, 2), ("t", 0.2, 3)}
