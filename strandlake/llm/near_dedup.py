@@ -22,7 +22,8 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    their texts go to one task, which compares them all word by word. No further round is needed.
 6. Each bucket is sliced in its own way, so the slices of a large group of copies, which meets in
    many buckets, are joined by then at linear cost. Only buckets that still have several
-   components are compared across slices, in pairs of slices, each a unit of bounded size.
+   components are compared across slices, in pairs of slices, each a unit of bounded size; the
+   largest component's slices meet only those of the others.
 """
 
 from __future__ import annotations
@@ -384,11 +385,29 @@ def _within(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("half").alias("p"), F.col("half").alias("q"), "half", "id")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Units of two different slices each."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("o")
-    paired = members.select("key", "id", "half", other).where("o <> half")
-    return paired.select("key", F.least("half", "o").alias("p"), F.greatest("half", "o").alias("q"), "half", "id")
+def _across(members: DataFrame, block: int) -> DataFrame:
+    """Units of two slices each, for ``members`` (key, id, label, ...) of buckets of several components.
+
+    The largest component of a bucket needs no look inside itself, so its slices meet those of the
+    others only: each of its members goes along once where the others fill one slice."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+    own, others = (F.ceil(n / F.lit(block)).cast("long") for n in (F.col("top.n"), F.col("size") - F.col("top.n")))
+    inside = F.col("label") == F.col("top.label")
+    mine = members.join(largest, "key").select("key", "id", inside.alias("inside"), own.alias("own"), others.alias("others"))
+    mine = mine.withColumn("at", F.pmod(F.xxhash64("id", "key"), F.when(F.col("inside"), F.col("own")).otherwise(F.col("others"))))
+
+    def unit(p: Column, q: Column, half: Column) -> Column:
+        return F.struct(p.alias("p"), q.alias("q"), half.alias("half"))
+
+    def each(n: str, make: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
+
+    at, one, zero = F.col("at"), F.lit(1).cast("long"), F.lit(0).cast("long")
+    # slices of the largest component count down from -1
+    larger = each("others", lambda j: unit(-one - at, j, zero))
+    rest = F.concat(each("own", lambda m: unit(-one - m, at, one)), each("others", lambda j: unit(F.least(at, j), F.greatest(at, j), at)))
+    return mine.select("key", "id", F.explode(F.when(F.col("inside"), larger).otherwise(rest)).alias("u")).select("key", "u.p", "u.q", "u.half", "id")
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, hubs: DataFrame, end: str, other: str, n: int) -> DataFrame:
@@ -505,7 +524,7 @@ def near_dedup(
     links.search(_within(members))
     apart = links.several(members.where("slices > 1"))
     if not apart.isEmpty():
-        links.search(_across(apart.drop("label")))
+        links.search(_across(apart, block))
     out = signed.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     if links.roots is not None:
         out = out.join(links.roots, "id", "left")

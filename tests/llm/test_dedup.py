@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,3 +345,24 @@ def test_linked_members_join_what_exact_sets_link(monkeypatch, size):
 
     assert {tuple(sorted(e)) for e in forest} <= links and parts(forest) == parts(links)
     assert len(forest) == len(set(labels.tolist())) - len(parts(links))
+
+
+@pytest.mark.parametrize("sizes", [(2000, 3), (900, 700, 1), (600, *[1] * 150)])
+def test_across_slices_the_largest_component_goes_along_once(spark, sizes):
+    """Every two members of different components meet, in rows that grow with the members and not
+    with their square where one component is nearly all of a bucket."""
+    label = [i for i, n in enumerate(sizes) for _ in range(n)]
+    rows = [(7, i, 0, 4, x) for i, x in enumerate(label)]
+    units = near_dedup._across(spark.createDataFrame(rows, "key long, id long, half long, slices long, label long"), 100).collect()
+    if sizes == (2000, 3):
+        assert len(units) == 2000 + 3 * 21
+    met = {}
+    for r in units:
+        met.setdefault((r.p, r.q), []).append((r.id, r.half))
+    assert max(map(len, met.values())) <= 300
+    pairs = np.zeros((len(label),) * 2, bool)
+    for (p, q), found in met.items():
+        ids, half = (np.array(x) for x in zip(*found))
+        pairs[np.ix_(ids, ids)] |= (half[:, None] != half[None, :]) | (p == q)
+    names = np.array(label)
+    assert pairs[names[:, None] != names[None, :]].all()
