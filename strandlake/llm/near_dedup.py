@@ -13,6 +13,9 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    a link; pairs that fail it need no look at the sets.
 2. Documents with equal sets form a class; only its smallest doc_id goes on.
 3. Table keys with one class only are dropped, and of keys with the same members all but one.
+   Buckets of over ``block`` members that overlap are a *family*, which near copies fill in nearly
+   every table. Where all pairs of a family are fewer than those of its buckets, it takes their
+   place, as one bucket that is sliced in ``SLICINGS`` ways: all pairs that met still meet.
 4. Buckets are cut into slices of ``block`` members. In each slice every pair is screened by
    sketch. A survivor is taken to link its two sides for the rest of that slice, so a group of
    copies yields a spanning tree and not all its pairs.
@@ -20,8 +23,8 @@ summing over the numbers of keys that agree), so 40 of the 100 tables are formed
    links. Where a guess of step 4 proves wrong, it may have hidden another link: that group is
    screened again without guesses, which finds the members near to one of another component, and
    their texts go to one task, which compares them all word by word. No further round is needed.
-6. Each bucket is sliced in its own way, so the slices of a large group of copies, which meets in
-   many buckets, are joined by then at linear cost. Only buckets that still have several
+6. Each bucket and slicing has slices of its own, so those of a large group of copies are joined
+   by then at linear cost. Only buckets that still have several
    components are compared across slices, in pairs of slices, each a unit of bounded size; the
    largest component's slices meet only those of the others.
 """
@@ -45,6 +48,8 @@ SIDE = 10
 #: Key i of the first collection meets keys i + offset of the second.
 OFFSETS = (0, 1, 3, 6)
 BLOCK = 512
+#: Ways in which a family is sliced. It has that many rows a member within slices.
+SLICINGS = 3
 #: Pairs to confirm, and members of reopened groups, that a task has on average.
 PAIRS = 5_000
 #: Pairs of one text that are confirmed together; a text with more is copied.
@@ -358,7 +363,8 @@ def _settled(width: int, percent: int):
 
 
 def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
-    """(key, id, half, slices): the members of buckets with several classes, each in a slice."""
+    """(key, id, half, across): the members of buckets with several classes, each in a slice.
+    ``across``: members of other slices are to be met, and this key is the one for that."""
     partners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit((i + d) % side).alias("j")) for i in range(side) for d in OFFSETS))
     keyed = reps.select("id", "a", "b", F.explode(partners).alias("t")).select(
         F.xxhash64("t", F.col("a")[F.col("t.i")], F.col("b")[F.col("t.j")]).alias("key"), "id"
@@ -369,15 +375,35 @@ def _buckets(reps: DataFrame, side: int, block: int) -> DataFrame:
         .where("lo < hi")
     )
     # buckets with the same members need one look
-    kept = materialize(counted.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
+    kept = materialize(counted.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size", "lo"), "buckets")
     # the key's members are unique, so only its hot side needs splitting, which AQE does
-    return keyed.join(kept, "key").select("key", "id", *_sliced(F.col("size"), block))
-
-
-def _sliced(size: Column, block: int) -> list[Column]:
-    slices = F.ceil(size / F.lit(block)).cast("long")
+    found = materialize(keyed.join(kept, "key").select("key", "id", "size", "lo"), "members")
+    large = found.where(F.col("size") > block)
+    if large.isEmpty():
+        return _sliced(found, block)
+    return _sliced(found.where(F.col("size") <= block), block).unionByName(materialize(_families(large, block), "large"))
+
+
+def _families(large: DataFrame, block: int) -> DataFrame:
+    """(key, id, half, across) for ``large`` (key, id, size, lo), whole buckets with their smallest
+    ids: the members of families, and of the buckets that are better left alone."""
+    roots = materialize(components(large.select(F.col("lo").alias("x"), F.col("id").alias("y"))), "families")
+    buckets = large.where("id = lo").join(roots, "id").select("key", "size", "root")
+    pairs = buckets.groupBy("root").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    # each family also has fewer rows than its buckets then: none of them is larger than it
+    fewer = roots.groupBy("root").agg(F.count("*").alias("size")).join(pairs, "root").where(F.col("pairs") >= SLICINGS * F.col("size") * F.col("size"))
+    worth = materialize(fewer.select("root", "size"), "worth")
+    slicing = F.explode(F.array(*(F.lit(i) for i in range(SLICINGS)))).alias("slicing")
+    each = roots.join(worth, "root").select("root", "id", "size", slicing).withColumn("key", F.xxhash64("root", "slicing"))
+    alone = large.join(buckets.join(worth, "root", "left_anti").select("key"), "key", "left_semi")
+    return _sliced(alone, block).unionByName(_sliced(each, block, F.col("slicing") == 0))
+
+
+def _sliced(members: DataFrame, block: int, once: Column | None = None) -> DataFrame:
+    """(key, id, half, across) of ``members`` (key, id, size, ...)."""
+    slices = F.ceil(F.col("size") / F.lit(block)).cast("long")
     # buckets with much the same members are sliced differently, so what one slice parts another joins
-    return [F.pmod(F.xxhash64("id", "key"), slices).alias("half"), slices.alias("slices")]
+    return members.select("key", "id", F.pmod(F.xxhash64("id", "key"), slices).alias("half"), ((slices > 1) & (F.lit(True) if once is None else once)).alias("across"))
 
 
 def _within(members: DataFrame) -> DataFrame:
@@ -517,12 +543,12 @@ def near_dedup(
     reps = materialize(
         filled.join(classes.withColumnRenamed("id", "k"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k", "d1", "d2"]).withColumnRenamed("k", "id"), "representatives"
     )
-    members = materialize(_buckets(reps, side, block), "members")
+    members = _buckets(reps, side, block)
     # whatever may be compared, read from the documents once; the list of ids grows with them
     texts = materialize(base.join(members.select(F.col("id").alias("k")).distinct().hint("merge"), "k", "left_semi"), "texts")
     links = _Links(texts, reps.select("id", "n", "sketch"), width, percent)
     links.search(_within(members))
-    apart = links.several(members.where("slices > 1"))
+    apart = links.several(members.where("across"))
     if not apart.isEmpty():
         links.search(_across(apart, block))
     out = signed.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")

@@ -366,3 +366,24 @@ def test_across_slices_the_largest_component_goes_along_once(spark, sizes):
         pairs[np.ix_(ids, ids)] |= (half[:, None] != half[None, :]) | (p == q)
     names = np.array(label)
     assert pairs[names[:, None] != names[None, :]].all()
+
+
+def test_a_family_of_near_copies_is_sliced_once_for_all_tables(spark):
+    """Members that meet in many large buckets have a few rows each, whatever their number is, and
+    all pairs that met in a bucket still meet; a bucket that overlaps with no other stays."""
+    rng, side, block = random.Random(4), 10, 20
+    for members in (200, 400):
+        near = [(i, [rng.randrange(2) for _ in range(side)], [rng.randrange(2) for _ in range(side)]) for i in range(members)]
+        alone = [(1000 + i, [10 * i + n for n in range(90, 90 + side)], [7] + [9 * i + n for n in range(9000, 8999 + side)]) for i in range(130)]
+        alone = [(k, [8, *a[1:]], b) for k, a, b in alone]
+        reps = spark.createDataFrame(near + alone, "id long, a array<long>, b array<long>")
+        rows = near_dedup._buckets(reps, side, block).collect()
+        own = [r for r in rows if r.id < 1000]
+        # a member has 40 tables, and about a quarter of all meet it in each
+        assert len(own) == near_dedup.SLICINGS * members and sum(r.across for r in own) == members
+        assert len({r.key for r in own if r.across}) == 1
+        assert {r.id for r in rows if r.across and r.id >= 1000} == {k for k, _, _ in alone}
+        sizes = {}
+        for r in own:
+            sizes[r.key, r.half] = sizes.get((r.key, r.half), 0) + 1
+        assert max(sizes.values()) <= 2 * block
