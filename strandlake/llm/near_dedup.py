@@ -393,9 +393,11 @@ def _families(large: DataFrame, block: int) -> DataFrame:
     # each family also has fewer rows than its buckets then: none of them is larger than it
     fewer = roots.groupBy("root").agg(F.count("*").alias("size")).join(pairs, "root").where(F.col("pairs") >= SLICINGS * F.col("size") * F.col("size"))
     worth = materialize(fewer.select("root", "size"), "worth")
+    # lists of families and of large buckets are broadcast: they have less than a row for ``block``
+    # of their members, who stay where they are and don't meet in one task
     slicing = F.explode(F.array(*(F.lit(i) for i in range(SLICINGS)))).alias("slicing")
-    each = roots.join(worth, "root").select("root", "id", "size", slicing).withColumn("key", F.xxhash64("root", "slicing"))
-    alone = large.join(buckets.join(worth, "root", "left_anti").select("key"), "key", "left_semi")
+    each = roots.join(F.broadcast(worth), "root").select("root", "id", "size", slicing).withColumn("key", F.xxhash64("root", "slicing"))
+    alone = large.join(F.broadcast(buckets.join(worth, "root", "left_anti").select("key")), "key", "left_semi")
     return _sliced(alone, block).unionByName(_sliced(each, block, F.col("slicing") == 0))
 
 
@@ -420,7 +422,7 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
     own, others = (F.ceil(n / F.lit(block)).cast("long") for n in (F.col("top.n"), F.col("size") - F.col("top.n")))
     inside = F.col("label") == F.col("top.label")
-    mine = members.join(largest, "key").select("key", "id", inside.alias("inside"), own.alias("own"), others.alias("others"))
+    mine = members.join(F.broadcast(largest), "key").select("key", "id", inside.alias("inside"), own.alias("own"), others.alias("others"))
     mine = mine.withColumn("at", F.pmod(F.xxhash64("id", "key"), F.when(F.col("inside"), F.col("own")).otherwise(F.col("others"))))
 
     def unit(p: Column, q: Column, half: Column) -> Column:
@@ -517,7 +519,7 @@ class _Links:
         """``members`` with labels, of the buckets that still have several components."""
         now = self.labelled(members)
         more = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        return materialize(now.join(more, "key", "left_semi"), "apart")
+        return materialize(now.join(F.broadcast(more), "key", "left_semi"), "apart")
 
 
 def near_dedup(
